@@ -8,9 +8,11 @@ from doclens.llm.decontaminate import op1_decontaminate
 from doclens.llm.fingerprint import op7_fingerprint
 from doclens.llm.html import op5_html
 from doclens.llm.langid import op8_language_id
+from doclens.llm.ngram_join import op9_ngram_join
+from doclens.llm.ngram_lm import op2_lm_score
 from doclens.llm.pii import op10_pii
 from doclens.llm.token_counts import op6_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_chat, op4_bpe, op5_html, op6_token_counts, op7_fingerprint, op8_language_id, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_lm_score, op3_chat, op4_bpe, op5_html, op6_token_counts, op7_fingerprint, op8_language_id, op9_ngram_join, op10_pii)}
 
 SQL: dict[str, str] = {}
