@@ -7,11 +7,11 @@ the Jaccard similarity of their sets is at least num/den.
 1. Equal sets are one node. Sizes fall into bands whose ends differ by num/den, so linked sets stand in one band or in neighbours. In a band, linked
    sets differ in at most k shingles. The hashed domain is parted in n1 pieces of three parts each; signatures are all subsets of two parts of each piece. As 2 * n1 > k, some
    piece holds at most one difference, so linked sets share a signature.
-2. Sets that share a signature are compared with the least node among them only (first within a block of input, then
-   across blocks), never with each other, so work and rows are in proportion to a bucket's size.
-3. Links that this leaves out are found exactly. Let c be the least node of u and v, and du, dv their differences from c.
+2. Sets that share a signature are compared with one of them only, their hub (first within a block of input, then
+   across blocks), never with each other, so work and rows are in proportion to a bucket's size. The hub is the node that shares most signatures.
+3. Links that this leaves out are found exactly. Let u and v have been compared with a hub c, and differ from it by du and dv.
    If u and v link and not both link with c, du and dv overlap in more than a known number of elements. Prefixes of du and dv, elements that c lacks first, therefore share
-   an element; (c, element) is a new, smaller bucket, treated like 2. Least nodes grow along such a chain, so it ends. No partner is capped.
+   an element; (c, element) is a new, smaller bucket, treated like 2. No pair is compared twice, so this ends; no partner is capped.
 4. Groups are the connected components of the links.
 
 Defined cases: null and empty texts have an empty set and stand alone; a row without an id takes no part (null component);
@@ -91,18 +91,32 @@ def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def stars(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, their least nodes, distinct pairs of a node and the least node of a key that it has)."""
+def ordered(nodes: np.ndarray, degrees: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct nodes, the likeliest hub first; each row's place among them): by the degrees' sums, then the nodes."""
+    distinct, of = np.unique(nodes, return_inverse=True)
+    sums = np.bincount(of, degrees, len(distinct))
+    order = np.lexsort((distinct, -sums))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return distinct[order], place[of]
+
+
+def stars(keys: np.ndarray, nodes: np.ndarray, degrees: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys, their hubs, degrees of the hubs, distinct pairs of a node and the hub of a key that it has). Without degrees, a node's is the number of rows that share its keys."""
     if not len(keys):
-        return keys, nodes, np.zeros((0, 2), np.int64)
+        return keys, nodes, np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
     order = np.argsort(keys, kind="stable")
     keys, nodes = keys[order], nodes[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    least = np.minimum.reduceat(nodes, first)
-    each = np.repeat(least, np.diff(np.append(first, len(keys))))
-    other = nodes != each
-    pairs = np.unique(np.stack([nodes[other], each[other]], 1), axis=0) if other.any() else np.zeros((0, 2), np.int64)
-    return keys[first], least, pairs
+    size = np.diff(np.append(first, len(keys)))
+    degrees = np.repeat(size - 1, size) if degrees is None else degrees[order]
+    distinct, place = ordered(nodes, degrees)
+    sums = np.bincount(place, degrees).astype(np.int64)
+    best = np.minimum.reduceat(place, first)
+    each = np.repeat(best, size)
+    other = np.flatnonzero(place != each)
+    pair = np.unique(place[other] * len(distinct) + each[other])
+    return keys[first], distinct[best], sums[best], np.stack([distinct[pair // len(distinct)], distinct[pair % len(distinct)]], 1)
 
 
 def _blocks(size: int, num: int, den: int, shards: int):
@@ -113,16 +127,16 @@ def _blocks(size: int, num: int, den: int, shards: int):
     def flush(ids, sizes, nodes, sigs) -> Iterator[pa.RecordBatch]:
         shown = np.array(nodes, np.int64)
         owner = np.repeat(shown, [len(x) for x in sigs])
-        keys, owner, pairs = stars(np.concatenate(sigs) if sigs else np.zeros(0, np.uint64), owner)
+        keys, owner, degree, pairs = stars(np.concatenate(sigs), owner)
         low = keys & np.uint64((1 << 40) - 1)
         shard = (((keys >> np.uint64(40)) * np.uint64(shards)) >> np.uint64(24)).astype(np.int32)
         order = np.lexsort((owner, shard))
-        low, shard, owner = low[order], shard[order], owner[order]
+        low, shard, owner, degree = low[order], shard[order], owner[order], degree[order]
         rows: list[tuple] = []
         for a, b in _runs(shard):
             o = owner[a:b]
             first = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]]))
-            value = packed(o[first], np.diff(np.append(first, b - a)).astype(np.uint32), (low[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32), (low[a:b] >> np.uint64(32)).astype(np.uint8))
+            value = packed(o[first], degree[a:b][first], np.diff(np.append(first, b - a)).astype(np.uint32), (low[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32), (low[a:b] >> np.uint64(32)).astype(np.uint8))
             rows.append((int(shard[a]), value, None, None))
         known = np.array([i is not None for i in ids], bool)
         numbers = np.array([i or 0 for i in ids], np.int64)
@@ -156,27 +170,29 @@ OUT = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("u", pa.int64()), (
 
 
 def _buckets(t: pa.Table) -> pa.Table:
-    """Reduce side: members as (doc_id, n, node, null), candidates as (null, null, node, least node)."""
-    keys, nodes, found, out = [], [], [], []
+    """Reduce side: members as (doc_id, n, node, null), candidates as (null, null, node, hub)."""
+    keys, nodes, degrees, found, out = [], [], [], [], []
     for sigs, members, pairs in zip(t["sigs"].to_pylist(), t["members"].to_pylist(), t["pairs"].to_pylist()):
         if sigs is not None:
-            owner, runs, low, high = unpacked(sigs)
+            owner, degree, runs, low, high = unpacked(sigs)
             keys.append(low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32))
             nodes.append(np.repeat(owner, runs))
+            # A node's degree is spread over its rows, so that the sum of rows is the sum over blocks.
+            degrees.append(np.repeat(degree / np.maximum(runs, 1), runs))
         if members is not None:
             ids, known, sizes, own = unpacked(members)
             out.append(pa.table([pa.array(ids, mask=~known), pa.array(sizes), pa.array(own), pa.nulls(len(ids), pa.int64())], schema=OUT))
         if pairs is not None:
             found.append(np.stack(unpacked(pairs), 1))
     if keys:
-        found.append(stars(np.concatenate(keys), np.concatenate(nodes))[2])
+        found.append(stars(np.concatenate(keys), np.concatenate(nodes), np.concatenate(degrees))[3])
     pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
     none = pa.nulls(len(pairs), pa.int64())
     out.append(pa.table([none, none, pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], schema=OUT))
     return pa.concat_tables(out)
 
 
-PREFIX = "u long, c long, linked boolean, one binary, two binary"
+TOLD = "u long, c long, rank long, linked boolean, one binary, two binary"
 
 
 def _compare(num: int, den: int):
@@ -184,8 +200,8 @@ def _compare(num: int, den: int):
     kappa = (den - num) / (den + num)
 
     def run(batch):
-        out = {"u": batch.column(0), "c": batch.column(1), "linked": [], "one": [], "two": []}
-        for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+        out = {"u": batch.column(0), "c": batch.column(1), "rank": batch.column(2), "linked": [], "one": [], "two": []}
+        for a, b in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
             a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
             shared = np.intersect1d(a, b, assume_unique=True)
             union = len(a) + len(b) - len(shared)
@@ -210,12 +226,13 @@ def _compare(num: int, den: int):
 
 def _elements(batch):
     """A row for each element of the prefixes."""
-    out = {c: [] for c in ("c", "kind", "e", "u", "linked")}
-    for u, c, linked, one, two in zip(*(batch.column(i).to_pylist() for i in range(5))):
+    names = ("c", "kind", "u", "rank", "linked", "new")
+    out = {n: [] for n in (*names, "e")}
+    for u, c, rank, linked, new, one, two in zip(*(batch.column(i).to_pylist() for i in range(7))):
         for kind, raw in ((1, one), (2, two)):
             if raw:
                 e = np.frombuffer(raw, np.int64).tolist()
-                for name, value in (("c", c), ("kind", kind), ("u", u), ("linked", linked)):
+                for name, value in zip(names, (c, kind, u, rank, linked, new)):
                     out[name] += [value] * len(e)
                 out["e"] += e
     return out
@@ -246,21 +263,26 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     if sets.groupBy("node").count().filter("count > 1").limit(1).count():  # repeated rows
         sets = sets.groupBy("node").agg(F.first("set").alias("set"))
 
-    found = None
+    # The more nodes a hub was compared with, the earlier it is a hub again.
+    ranks = pairs.groupBy("c").agg(F.count("*").alias("rank")).withColumnRenamed("c", "node")
+    sets = written(sets.join(ranks, "node", "left").select("node", "set", F.coalesce("rank", F.lit(0).cast("long")).alias("rank")), "ranked")
+    a = sets.select(F.col("node").alias("u"), F.col("set").alias("a"), "rank")
+    b = sets.select(F.col("node").alias("c"), F.col("set").alias("b"))
+    told = None
     while True:
-        a = sets.select(F.col("node").alias("u"), F.col("set").alias("a"))
-        b = sets.select(F.col("node").alias("c"), F.col("set").alias("b"))
-        told = written(arrow_map(pairs.join(a, "u").join(b, "c").select("u", "c", "a", "b"), _compare(num, den), PREFIX), "told")
-        new = told.filter("linked").select(F.col("u").alias("a"), F.col("c").alias("b"))
-        found = new if found is None else found.unionByName(new)
-        # Only centres with an unlinked node beside another can hide a link.
-        open_ = told.groupBy("c").agg(F.count("*").alias("n"), F.count_if(~F.col("linked")).alias("m")).filter("n > 1 and m > 0")
-        prefixes = arrow_map(told.join(open_, "c", "left_semi").select("u", "c", "linked", "one", "two"), _elements, "c long, kind int, e long, u long, linked boolean")
+        new = written(arrow_map(pairs.join(a, "u").join(b, "c").select("u", "c", "rank", "a", "b"), _compare(num, den), TOLD), "told").withColumn("new", F.lit(True))
+        told = new if told is None else told.withColumn("new", F.lit(False)).unionByName(new)
+        # Only hubs with an unlinked node beside another can hide a link, and only where something was added.
+        open_ = told.groupBy("c").agg(F.count("*").alias("n"), F.count_if(~F.col("linked")).alias("m"), F.bool_or("new").alias("more")).filter("n > 1 and m > 0 and more")
+        prefixes = arrow_map(told.join(open_, "c", "left_semi").select("u", "c", "rank", "linked", "new", "one", "two"), _elements, "c long, kind int, u long, rank long, linked boolean, new boolean, e long")
         key = ["c", "kind", "e"]
-        bucket = prefixes.groupBy(key).agg(F.min("u").alias("least"), F.max("u").alias("most"), F.bool_or("linked").alias("some"), F.bool_and("linked").alias("every")).filter("least <> most and (kind = 1 or some and not every)")
-        pairs = written(prefixes.join(bucket, key).filter("u <> least").select("u", F.col("least").alias("c")).distinct(), "pairs")
+        hub = F.max_by("u", F.struct("rank", -F.col("u"))).alias("hub")
+        bucket = prefixes.groupBy(key).agg(hub, F.min("u").alias("least"), F.max("u").alias("most"), F.bool_or("linked").alias("some"), F.bool_and("linked").alias("every"), F.bool_or("new").alias("more"))
+        bucket = bucket.filter("least <> most and more and (kind = 1 or some and not every)").select(*key, "hub")
+        wanted = prefixes.join(bucket, key).filter("u <> hub").select("u", F.col("hub").alias("c")).distinct()
+        pairs = written(wanted.join(told, ["u", "c"], "left_anti"), "pairs")
         if pairs.isEmpty():
-            return members, found
+            return members, told.filter("linked").select(F.col("u").alias("a"), F.col("c").alias("b"))
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 4, den: int = 5) -> DataFrame:
