@@ -7,12 +7,14 @@ the Jaccard similarity of their sets is at least num/den.
 1. Equal sets are one node. Sizes fall into bands whose ends differ by num/den, so linked sets stand in one band or in neighbours. In a band, linked
    sets differ in at most k shingles. The hashed domain is parted in n1 pieces of three parts each; signatures are all subsets of two parts of each piece. As 2 * n1 > k, some
    piece holds at most one difference, so linked sets share a signature.
-2. Sets that share a signature are compared with one of them only, their hub (first within a block of input, then
-   across blocks), never with each other, so work and rows are in proportion to a bucket's size. The hub is the node that shares most signatures.
-3. Links that this leaves out are found exactly. Let u and v have been compared with a hub c, and differ from it by du and dv.
+2. Sets that share a signature are joined to one of them only, their hub (first within a block of input, then
+   across blocks), never with each other, so rows are in proportion to a bucket's size. Connected candidates make a family; linked sets are always in one.
+3. A family of at most `FAMILY` nodes and `ELEMENTS` shingles is settled within one task, exactly: parity bitmaps bound
+   two sets' difference from below, and what they leave is compared in full unless it is connected already.
+4. A larger family is settled by comparing with hubs, in rounds of joins. Let u and v have been compared with a hub c, and differ from it by du and dv.
    If u and v link and not both link with c, du and dv overlap in more than a known number of elements. Prefixes of du and dv, elements that c lacks first, therefore share
-   an element; (c, element) is a new, smaller bucket, treated like 2. No pair is compared twice, so this ends; no partner is capped.
-4. Groups are the connected components of the links.
+   an element; (c, element) is a new, smaller bucket with a hub of its own. No pair is compared twice, so this ends; no partner is capped.
+5. Groups are the connected components of the links.
 
 Defined cases: null and empty texts have an empty set and stand alone; a row without an id takes no part (null component);
 rows of equal id are taken one by one and share the id; an empty table gives an empty result; other columns are ignored by
@@ -33,6 +35,8 @@ from doclens.llm.components import components
 
 #: Signatures that a task gathers before it sends them, and documents of which sets are sent by broadcast at most.
 CHUNK, SMALL = 2_000_000, 2_000_000
+#: Nodes and shingles of a family that one task settles at most; larger ones are settled by joins.
+FAMILY, ELEMENTS = 16_384, 8_000_000
 _words = WordHashes()
 
 
@@ -238,31 +242,59 @@ def _elements(batch):
     return out
 
 
-def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 4, den: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(members (doc_id, n_shingles, node), links between nodes (a, b) that connect all linked documents)."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
-    sent = rows.mapInArrow(_blocks(size, num, den, shards), "shard int, sigs binary, members binary, pairs binary")
-    both = written(sent.groupBy("shard").applyInArrow(_buckets, "doc_id long, n long, u long, c long"), "join")
-    members = both.filter("c is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("u").alias("node"))
-    pairs = both.filter("c is not null").select("u", "c").distinct()
+def settled(nodes: list[int], sets: list[np.ndarray], num: int, den: int) -> list[int]:
+    """The least node that each reaches by links, among the sets given."""
+    order = np.argsort([len(x) for x in sets], kind="stable")
+    nodes, sets = np.array(nodes)[order], [sets[i] for i in order]
+    size = np.array([len(x) for x in sets])
+    most = (den - num) * 2 * int(size[-1]) // (den + num)
+    bits = 1 << max(8, min(16, int(8 * most).bit_length()))
+    maps = np.stack([np.packbits((np.bincount((x & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).view(np.uint64) for x in sets])
+    label = np.arange(len(sets))
+    for i in range(len(sets) - 1):
+        j = np.arange(i + 1, np.searchsorted(size, int(size[i]) * den // num, "right"))
+        j = j[label[j] != label[i]]
+        if not len(j):
+            continue
+        apart = np.bitwise_count(maps[j] ^ maps[i]).sum(1, dtype=np.int64)
+        for k in j[apart * (den + num) <= (den - num) * (size[i] + size[j])].tolist():
+            if label[k] != label[i]:
+                shared = len(np.intersect1d(sets[i], sets[k], assume_unique=True))
+                if den * shared >= num * (len(sets[i]) + len(sets[k]) - shared):
+                    label[label == label[k]] = label[i]
+    least = np.full(len(sets), np.iinfo(np.int64).max)
+    np.minimum.at(least, label, nodes)
+    out = np.empty(len(sets), np.int64)
+    out[order] = least[label]
+    return out.tolist()
+
+
+def _families(num: int, den: int):
+    """(family, node, set) in order of families, to (node, root)."""
 
-    wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("c").alias("node"))).distinct()
-    named = members.filter("doc_id is not null and n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    chosen = written(named.join(wanted, "node", "left_semi"), "chosen")
-    if chosen.count() <= SMALL:  # 16 bytes each; beyond it the join shuffles
-        chosen = F.broadcast(chosen)
+    def run(batches):
+        held: dict[int, np.ndarray] = {}
+        now = None
 
-    def to_set(batch):
-        got = [(n, s) for n, t in zip(batch.column(0).to_pylist(), octets(batch, 1)) if node_of(s := shingle_set(t, size)) == n]
-        return {"node": [n for n, _ in got], "set": [s.tobytes() for _, s in got]}
+        def done():
+            names = list(held)
+            return pa.RecordBatch.from_pydict({"node": names, "root": settled(names, list(held.values()), num, den)}, pa.schema([("node", pa.int64()), ("root", pa.int64())]))
+
+        for batch in batches:
+            for family, node, raw in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if family != now and held:
+                    yield done()
+                    held.clear()
+                now = family
+                held[node] = np.frombuffer(raw, np.uint64)
+        if held:
+            yield done()
+
+    return run
 
-    sets = arrow_map(rows.join(chosen, "doc_id").select("node", "text"), to_set, "node long, set binary")
-    sets = written(sets, "sets")
-    if sets.groupBy("node").count().filter("count > 1").limit(1).count():  # repeated rows
-        sets = sets.groupBy("node").agg(F.first("set").alias("set"))
 
+def by_hubs(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) that connect all linked nodes, from candidate pairs (u, c) and sets (node, set): step 4."""
     # The more nodes a hub was compared with, the earlier it is a hub again.
     ranks = pairs.groupBy("c").agg(F.count("*").alias("rank")).withColumnRenamed("c", "node")
     sets = written(sets.join(ranks, "node", "left").select("node", "set", F.coalesce("rank", F.lit(0).cast("long")).alias("rank")), "ranked")
@@ -273,7 +305,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
         new = written(arrow_map(pairs.join(a, "u").join(b, "c").select("u", "c", "rank", "a", "b"), _compare(num, den), TOLD), "told").withColumn("new", F.lit(True))
         told = new if told is None else told.withColumn("new", F.lit(False)).unionByName(new)
         # Only hubs with an unlinked node beside another can hide a link, and only where something was added.
-        open_ = told.groupBy("c").agg(F.count("*").alias("n"), F.count_if(~F.col("linked")).alias("m"), F.bool_or("new").alias("more")).filter("n > 1 and m > 0 and more")
+        open_ = told.groupBy("c").agg(F.count("*").alias("n"), F.count_if(~F.col("linked")).alias("m"), F.bool_or("new").alias("more")).filter("n > 1 and m > 0 and more").select("c")
         prefixes = arrow_map(told.join(open_, "c", "left_semi").select("u", "c", "rank", "linked", "new", "one", "two"), _elements, "c long, kind int, u long, rank long, linked boolean, new boolean, e long")
         key = ["c", "kind", "e"]
         hub = F.max_by("u", F.struct("rank", -F.col("u"))).alias("hub")
@@ -282,13 +314,44 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
         wanted = prefixes.join(bucket, key).filter("u <> hub").select("u", F.col("hub").alias("c")).distinct()
         pairs = written(wanted.join(told, ["u", "c"], "left_anti"), "pairs")
         if pairs.isEmpty():
-            return members, told.filter("linked").select(F.col("u").alias("a"), F.col("c").alias("b"))
+            return told.filter("linked").select(F.col("u").alias("a"), F.col("c").alias("b"))
+
+
+def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 4, den: int = 5, family: int = FAMILY) -> tuple[DataFrame, DataFrame]:
+    """(members (doc_id, n_shingles, node), (node, root) of the nodes that have candidates)."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
+    sent = rows.mapInArrow(_blocks(size, num, den, shards), "shard int, sigs binary, members binary, pairs binary")
+    both = written(sent.groupBy("shard").applyInArrow(_buckets, "doc_id long, n long, u long, c long"), "join")
+    members = both.filter("c is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("u").alias("node"))
+    pairs = both.filter("c is not null").select("u", "c").distinct()
+
+    families = components(pairs.select(F.col("u").alias("a"), F.col("c").alias("b"))).withColumnRenamed("root", "family")
+    named = members.filter("doc_id is not null and n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
+    chosen = named.join(families, "node")
+    large = chosen.groupBy("family").agg(F.count("*").alias("nodes"), F.sum("n").alias("elements")).filter((F.col("nodes") > family) | (F.col("elements") > ELEMENTS)).select("family", F.lit(True).alias("large"))
+    chosen = written(chosen.join(large, "family", "left").select("doc_id", "node", "family", F.coalesce("large", F.lit(False)).alias("large")), "chosen")
+    few = chosen.count() <= SMALL  # 25 bytes each; beyond it the join shuffles
+
+    def to_set(batch):
+        got = [(n, f, large, s) for n, f, large, t in zip(*(batch.column(i).to_pylist() for i in range(3)), octets(batch, 3)) if node_of(s := shingle_set(t, size)) == n]
+        return {"node": [x[0] for x in got], "family": [x[1] for x in got], "large": [x[2] for x in got], "set": [x[3].tobytes() for x in got]}
+
+    sets = arrow_map(rows.join(F.broadcast(chosen) if few else chosen, "doc_id").select("node", "family", "large", "text"), to_set, "node long, family long, large boolean, set binary")
+    sets = written(sets, "sets")
+    small = sets.filter("not large").select("family", "node", "set").repartition("family").sortWithinPartitions("family")
+    roots = small.mapInArrow(_families(num, den), "node long, root long")
+    if chosen.filter("large").isEmpty():
+        return members, written(roots, "roots")
+    sets = sets.filter("large").groupBy("node").agg(F.first("set").alias("set"))
+    edges = by_hubs(pairs.join(chosen.filter("large").select(F.col("node").alias("u")), "u", "left_semi"), sets, num, den)
+    return members, written(roots.unionByName(components(edges)), "roots")
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 4, den: int = 5, family: int = FAMILY) -> DataFrame:
     """(id, n_shingles, component_id) for each row; the component's name is its least id."""
-    members, edges = links(docs, id_col, text_col, size, num, den)
-    roots = components(edges)
+    members, roots = linked(docs, id_col, text_col, size, num, den, family)
     rooted = members.join(roots, "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("root"))
     alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
     least = rooted.filter(~alone).groupBy("root").agg(F.min("doc_id").alias("component_id"))
