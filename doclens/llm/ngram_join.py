@@ -5,11 +5,13 @@ text is one shingle, a text without words has an empty set and no links. Two doc
 the Jaccard similarity of their sets is at least num/den.
 
 1. Equal sets are one node. Sizes fall into bands whose ends differ by num/den, so linked sets stand in one band or in neighbours. In a band, linked
-   sets differ in at most k shingles. The hashed domain is parted in n1 pieces of three parts each; signatures are all subsets of two parts of each piece. As 2 * n1 > k, some
-   piece holds at most one difference, so linked sets share a signature.
-2. Sets that share a signature are joined to one of them only, their hub (first within a block of input, then
-   across blocks), never with each other, so rows are in proportion to a bucket's size. Connected candidates make a family; linked sets are always in one.
-3. A family of at most `FAMILY` nodes and `ELEMENTS` shingles is settled within one task, exactly: parity bitmaps bound
+   sets differ in at most k shingles. The hashed domain is parted in n1 pieces of three parts each; signatures are all subsets of two parts of each piece. As 2 * (n1 - slack) > k,
+   at least slack + 1 pieces hold at most one difference, so linked sets share a signature in each of these.
+2. Up to `DIRECT` sets that share a signature make direct pairs. Where there is slack, two shared signatures are asked for, as one may be an accident, and parity bitmaps refute pairs that can't
+   link. A larger bucket counts as lost for its sets. A set that lost no more than the slack spares is found by direct pairs all the same; only sets that lost more ("poor", as in large
+   groups of near copies) are joined to one of them, their hub, and so are sets beyond `LOCAL` in a block of input. So rows are in proportion to a bucket's size. Pairs that stand
+   connect sets to families; linked sets are always in one.
+3. A family of at most `FAMILY` nodes and `ELEMENTS` shingles is settled within one task, exactly: bitmaps bound
    two sets' difference from below, and what they leave is compared in full unless it is connected already.
 4. A larger family is settled by comparing with hubs, in rounds of joins. Let u and v have been compared with a hub c, and differ from it by du and dv.
    If u and v link and not both link with c, du and dv overlap in more than a known number of elements. Prefixes of du and dv, elements that c lacks first, therefore share
@@ -36,7 +38,9 @@ from doclens.llm.components import components
 #: Signatures that a task gathers before it sends them, and documents of which sets are sent by broadcast at most.
 CHUNK, SMALL = 2_000_000, 2_000_000
 #: Nodes and shingles of a family that one task settles at most; larger ones are settled by joins.
-FAMILY, ELEMENTS = 16_384, 8_000_000
+FAMILY, ELEMENTS = 16_384, 16_000_000
+#: Sets of one signature up to which all pairs are made, a bounded number for each set; and sets of a block beyond which only their hub is sent on.
+DIRECT, LOCAL = 24, 64
 _words = WordHashes()
 
 
@@ -64,18 +68,22 @@ class Bands:
 
     def pieces(self, band: int) -> tuple[int, int]:
         """(n1, slack): some slack + 1 of the n1 pieces hold at most one difference. (0, 0) if linked sets are equal."""
-        self.band(self.ends[-1] + 1) if band >= len(self.ends) else None
+        while band >= len(self.ends):
+            self.band(self.ends[-1] + 1)
         k = (self.den - self.num) * 2 * self.ends[band] // (self.den + self.num)
         if not k:
             return 0, 0
         least = (k + 2) // 2
-        slack = 0 if least < 8 else 1
+        slack = 0 if least < 8 else 2 if least < 24 else 6
         return least + slack, slack
 
 
-def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
-    """Of a sorted set, for its own band and the next. A pair of empty parts says nothing and is left out, unless there are more such pieces than slack."""
-    out, b = [], bands.band(len(s))
+def signatures(s: np.ndarray, bands: Bands) -> tuple[np.ndarray, int, int]:
+    """Of a sorted set, for its own band and the next; how many signatures a linked set shares at least, 1 or 2; and how many pieces may be lost beside.
+
+    A pair of empty parts says nothing; where one piece has such a pair, it is left out, as a lost one.
+    """
+    out, b, need, spare = [], bands.band(len(s)), 2, 255
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(s), dtype=np.uint64)])
     for band in (b, b + 1):
         n1, slack = bands.pieces(band)
@@ -91,36 +99,51 @@ def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
         both = [(0, 1), (0, 2), (1, 2)]
         void = np.stack([~(full[:, i] | full[:, j]) for i, j in both], 1)
         sig = np.stack([mix(mix(part[:, i] + mix(name + np.uint64(x))) + part[:, j]) for x, (i, j) in enumerate(both)], 1)
-        out.append(sig.ravel() if void.any(1).sum() > slack else sig[~void])
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
-
-
-def ordered(nodes: np.ndarray, degrees: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct nodes, the likeliest hub first; each row's place among them): by the degrees' sums, then the nodes."""
-    distinct, of = np.unique(nodes, return_inverse=True)
-    sums = np.bincount(of, degrees, len(distinct))
-    order = np.lexsort((distinct, -sums))
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    return distinct[order], place[of]
+        lost = int(void.any(1).sum())
+        drop = bool(slack) and lost == 1
+        out.append(sig[~void] if drop else sig.ravel())
+        need = min(need, 2 if slack else 1)
+        spare = min(spare, slack + 1 - (2 if slack else 1) - drop)
+    return (np.concatenate(out), need, spare) if out else (np.zeros(0, np.uint64), 1, 0)
 
 
-def stars(keys: np.ndarray, nodes: np.ndarray, degrees: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct keys, their hubs, degrees of the hubs, distinct pairs of a node and the hub of a key that it has). Without degrees, a node's is the number of rows that share its keys."""
-    if not len(keys):
-        return keys, nodes, np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
-    order = np.argsort(keys, kind="stable")
+def buckets(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, nodes, where each key begins, how many nodes it has): sorted and distinct."""
+    order = np.lexsort((nodes, keys))
     keys, nodes = keys[order], nodes[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    size = np.diff(np.append(first, len(keys)))
-    degrees = np.repeat(size - 1, size) if degrees is None else degrees[order]
-    distinct, place = ordered(nodes, degrees)
-    sums = np.bincount(place, degrees).astype(np.int64)
-    best = np.minimum.reduceat(place, first)
-    each = np.repeat(best, size)
-    other = np.flatnonzero(place != each)
-    pair = np.unique(place[other] * len(distinct) + each[other])
-    return keys[first], distinct[best], sums[best], np.stack([distinct[pair // len(distinct)], distinct[pair % len(distinct)]], 1)
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
+    keys, nodes = keys[new], nodes[new]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys, nodes, first, np.diff(np.append(first, len(keys)))
+
+
+def distinct_pairs(pairs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (a, b), each once, and how often each stood there."""
+    both = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
+    if not len(both):
+        return both, np.zeros(0, np.int64)
+    names, at = np.unique(both, return_inverse=True)
+    code, times = np.unique(at.reshape(-1, 2) @ np.array([len(names), 1]), return_counts=True)
+    return np.stack([names[code // len(names)], names[code % len(names)]], 1), times
+
+
+def stars(nodes: np.ndarray, first: np.ndarray, size: np.ndarray, big: np.ndarray) -> np.ndarray:
+    """(node, least node) in each of the buckets that are `big`."""
+    rest = np.repeat(first[big], size[big] - 1)
+    at = np.flatnonzero(np.repeat(big, size))
+    return np.stack([nodes[np.setdiff1d(at, first[big], assume_unique=True)], nodes[rest]], 1)
+
+
+def direct(nodes: np.ndarray, first: np.ndarray, size: np.ndarray, upto: int) -> list[np.ndarray]:
+    """All pairs of each bucket of two to `upto` nodes."""
+    out = []
+    for n in range(2, upto + 1):
+        if len(begin := first[size == n]):
+            block = nodes[begin[:, None] + np.arange(n)]
+            i, j = np.triu_indices(n, 1)
+            out.append(np.stack([block[:, i].ravel(), block[:, j].ravel()], 1))
+    return out
 
 
 def _blocks(size: int, num: int, den: int, shards: int):
@@ -128,19 +151,25 @@ def _blocks(size: int, num: int, den: int, shards: int):
     names = ("shard", "sigs", "members", "pairs")
     schema = pa.schema([("shard", pa.int32()), *((n, pa.binary()) for n in names[1:])])
 
-    def flush(ids, sizes, nodes, sigs) -> Iterator[pa.RecordBatch]:
+    def flush(ids, sizes, nodes, sigs, traits) -> Iterator[pa.RecordBatch]:
         shown = np.array(nodes, np.int64)
         owner = np.repeat(shown, [len(x) for x in sigs])
-        keys, owner, degree, pairs = stars(np.concatenate(sigs), owner)
+        keys, owner, first, count = buckets(np.concatenate(sigs), owner)
+        pairs = distinct_pairs([stars(owner, first, count, count > LOCAL)])[0]
+        trait = dict(zip(nodes, traits))
+        hub = np.repeat(count > LOCAL, count)  # their keys' other nodes aren't sent
+        sent = ~hub
+        sent[first] = True
+        keys, owner, hub = keys[sent], owner[sent], hub[sent]
         low = keys & np.uint64((1 << 40) - 1)
         shard = (((keys >> np.uint64(40)) * np.uint64(shards)) >> np.uint64(24)).astype(np.int32)
         order = np.lexsort((owner, shard))
-        low, shard, owner, degree = low[order], shard[order], owner[order], degree[order]
+        low, shard, owner, hub = low[order], shard[order], owner[order], hub[order]
         rows: list[tuple] = []
         for a, b in _runs(shard):
             o = owner[a:b]
             first = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]]))
-            value = packed(o[first], degree[a:b][first], np.diff(np.append(first, b - a)).astype(np.uint32), (low[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32), (low[a:b] >> np.uint64(32)).astype(np.uint8))
+            value = packed(o[first], np.array([trait[x] for x in o[first].tolist()], np.uint16), np.diff(np.append(first, b - a)).astype(np.uint32), (low[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32), (low[a:b] >> np.uint64(32)).astype(np.uint8), hub[a:b])
             rows.append((int(shard[a]), value, None, None))
         known = np.array([i is not None for i in ids], bool)
         numbers = np.array([i or 0 for i in ids], np.int64)
@@ -148,17 +177,17 @@ def _blocks(size: int, num: int, den: int, shards: int):
         yield pa.RecordBatch.from_pydict({n: [r[i] for r in rows] for i, n in enumerate(names)}, schema)
 
     def run(batches):
-        bands, held, n = Bands(num, den), ([], [], [], []), 0
+        bands, held, n = Bands(num, den), ([], [], [], [], []), 0
         for batch in batches:
             for i, t in zip(batch.column(0).to_pylist(), octets(batch, 1)):
                 s = shingle_set(t, size)
-                sig = signatures(s, bands) if len(s) and i is not None else np.zeros(0, np.uint64)
-                for x, y in zip(held, (i, len(s), node_of(s), sig)):
+                sig, need, spare = signatures(s, bands) if len(s) and i is not None else (np.zeros(0, np.uint64), 1, 0)
+                for x, y in zip(held, (i, len(s), node_of(s), sig, need << 8 | max(0, spare))):
                     x.append(y)
                 n += len(sig) + 1
                 if n >= CHUNK:
                     yield from flush(*held)
-                    held, n = ([], [], [], []), 0
+                    held, n = ([], [], [], [], []), 0
         if held[0]:
             yield from flush(*held)
 
@@ -170,29 +199,47 @@ def _runs(sorted_values: np.ndarray) -> Iterator[tuple[int, int]]:
     return zip(at.tolist(), [*at[1:].tolist(), len(sorted_values)])
 
 
-OUT = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("u", pa.int64()), ("c", pa.int64())])
+#: Rows of the reduce side: members (doc_id, n, u), direct pairs (u, c, times that they share a signature, how often they must), sets of large buckets
+#: (u, c the bucket, what u spares, 1 if u stands for others) and pairs with a hub (u, c).
+MEMBER, PAIR, LARGE, STAR = range(4)
+OUT = pa.schema([("kind", pa.int32()), *((c, pa.int64()) for c in ("doc_id", "n", "u", "c", "x", "y"))])
 
 
 def _buckets(t: pa.Table) -> pa.Table:
-    """Reduce side: members as (doc_id, n, node, null), candidates as (null, null, node, hub)."""
-    keys, nodes, degrees, found, out = [], [], [], [], []
+    keys, nodes, sent, traits, out, hubs = [], [], [], [], [], []
+
+    def add(kind: int, **columns) -> None:
+        n = len(columns["u"])
+        out.append(pa.table([pa.array(np.full(n, kind, np.int32)), *(columns[f.name] if isinstance(columns.get(f.name), pa.Array) else pa.array(np.ascontiguousarray(columns[f.name]), f.type) if f.name in columns else pa.nulls(n, f.type) for f in list(OUT)[1:])], schema=OUT))
+
     for sigs, members, pairs in zip(t["sigs"].to_pylist(), t["members"].to_pylist(), t["pairs"].to_pylist()):
         if sigs is not None:
-            owner, degree, runs, low, high = unpacked(sigs)
+            owner, trait, runs, low, high, hub = unpacked(sigs)
+            sent.append(hub)
             keys.append(low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32))
             nodes.append(np.repeat(owner, runs))
-            # A node's degree is spread over its rows, so that the sum of rows is the sum over blocks.
-            degrees.append(np.repeat(degree / np.maximum(runs, 1), runs))
+            traits.append((owner, trait))
         if members is not None:
             ids, known, sizes, own = unpacked(members)
-            out.append(pa.table([pa.array(ids, mask=~known), pa.array(sizes), pa.array(own), pa.nulls(len(ids), pa.int64())], schema=OUT))
+            add(MEMBER, doc_id=pa.array(ids, mask=~known), n=sizes, u=own)
         if pairs is not None:
-            found.append(np.stack(unpacked(pairs), 1))
+            hubs.append(np.stack(unpacked(pairs), 1))
+    stars_ = distinct_pairs(hubs)[0]
+    add(STAR, u=stars_[:, 0], c=stars_[:, 1])
     if keys:
-        found.append(stars(np.concatenate(keys), np.concatenate(nodes), np.concatenate(degrees))[3])
-    pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-    none = pa.nulls(len(pairs), pa.int64())
-    out.append(pa.table([none, none, pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], schema=OUT))
+        all_, own_, hub = np.concatenate(keys), np.concatenate(nodes), np.concatenate(sent)
+        names, own, first, size = buckets(all_, own_)
+        who, at = np.unique(np.concatenate([o for o, _ in traits]), return_index=True)
+        trait = np.concatenate([x for _, x in traits])[at].astype(np.int64)
+        of = lambda x: trait[np.searchsorted(who, x)]
+        # A hub that stands for others of its block makes its bucket a large one.
+        big = (size > DIRECT) | np.isin(names[first], all_[hub])
+        pairs, times = distinct_pairs(direct(own, first, np.where(big, 0, size), DIRECT))
+        add(PAIR, u=pairs[:, 0], c=pairs[:, 1], x=times, y=np.minimum(of(pairs[:, 0]), of(pairs[:, 1])) >> 8)
+        rows = np.flatnonzero(np.repeat(big, size))
+        # Buckets of all shards keep apart by their whole key.
+        forced = np.isin(mix(names[rows]) ^ mix(own[rows].astype(np.uint64)), mix(all_[hub]) ^ mix(own_[hub].astype(np.uint64)))
+        add(LARGE, u=own[rows], c=(names[rows] | np.uint64(int(t["shard"][0].as_py()) << 40)).astype(np.int64), x=of(own[rows]) & 255, y=forced.astype(np.int64))
     return pa.concat_tables(out)
 
 
@@ -242,6 +289,40 @@ def _elements(batch):
     return out
 
 
+def bitmap(s: np.ndarray, bits: int) -> bytes:
+    """A parity bit for each residue: two sets differ in at least as many elements as their bitmaps in bits."""
+    return np.packbits((np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def width(n: int) -> int:
+    """Bits for a set of n elements."""
+    return 1 << max(8, min(18, int(2 * n).bit_length()))
+
+
+def folded(m: bytes, bits: int) -> np.ndarray:
+    """A bitmap at a smaller width."""
+    x = np.frombuffer(m, np.uint8)
+    while len(x) * 8 > bits:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
+def _standing(num: int, den: int):
+    """(u, c, sizes, bitmaps) to the pairs that bitmaps don't refute."""
+
+    def run(batch):
+        u, c = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        kept = []
+        for i, (n, m, a, b) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(2, 6)))):
+            bits = 8 * min(len(a), len(b))
+            apart = int(np.bitwise_count(folded(a, bits) ^ folded(b, bits)).sum(dtype=np.int64))
+            if apart * (den + num) <= (den - num) * (n + m):
+                kept.append(i)
+        return {"a": [u[i] for i in kept], "b": [c[i] for i in kept]}
+
+    return run
+
+
 def settled(nodes: list[int], sets: list[np.ndarray], num: int, den: int) -> list[int]:
     """The least node that each reaches by links, among the sets given."""
     order = np.argsort([len(x) for x in sets], kind="stable")
@@ -249,7 +330,7 @@ def settled(nodes: list[int], sets: list[np.ndarray], num: int, den: int) -> lis
     size = np.array([len(x) for x in sets])
     most = (den - num) * 2 * int(size[-1]) // (den + num)
     bits = 1 << max(8, min(16, int(8 * most).bit_length()))
-    maps = np.stack([np.packbits((np.bincount((x & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).view(np.uint64) for x in sets])
+    maps = np.stack([np.frombuffer(bitmap(x, bits), np.uint64) for x in sets])
     label = np.arange(len(sets))
     for i in range(len(sets) - 1):
         j = np.arange(i + 1, np.searchsorted(size, int(size[i]) * den // num, "right"))
@@ -323,30 +404,48 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
     sent = rows.mapInArrow(_blocks(size, num, den, shards), "shard int, sigs binary, members binary, pairs binary")
-    both = written(sent.groupBy("shard").applyInArrow(_buckets, "doc_id long, n long, u long, c long"), "join")
-    members = both.filter("c is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("u").alias("node"))
-    pairs = both.filter("c is not null").select("u", "c").distinct()
-
-    families = components(pairs.select(F.col("u").alias("a"), F.col("c").alias("b"))).withColumnRenamed("root", "family")
-    named = members.filter("doc_id is not null and n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
-    chosen = named.join(families, "node")
-    large = chosen.groupBy("family").agg(F.count("*").alias("nodes"), F.sum("n").alias("elements")).filter((F.col("nodes") > family) | (F.col("elements") > ELEMENTS)).select("family", F.lit(True).alias("large"))
-    chosen = written(chosen.join(large, "family", "left").select("doc_id", "node", "family", F.coalesce("large", F.lit(False)).alias("large")), "chosen")
-    few = chosen.count() <= SMALL  # 25 bytes each; beyond it the join shuffles
+    both = written(sent.groupBy("shard").applyInArrow(_buckets, "kind int, doc_id long, n long, u long, c long, x long, y long"), "join")
+    members = both.filter(F.col("kind") == MEMBER).select("doc_id", F.col("n").alias("n_shingles"), F.col("u").alias("node"))
+    pairs = both.filter(F.col("kind") == PAIR).groupBy("u", "c").agg(F.sum("x").alias("times"), F.min("y").alias("need")).filter("times >= need").select("u", "c", F.lit(False).alias("star"))
+    large = both.filter(F.col("kind") == LARGE).select("u", F.col("c").alias("bucket"), "x", "y")
+    poor = large.groupBy("u").agg(F.count("*").alias("lost"), F.min("x").alias("spare"), F.max("y").alias("forced")).filter("lost > spare or forced = 1").select("u")
+    poor = large.join(poor, "u", "left_semi").select("u", "bucket")
+    hubs = poor.groupBy("bucket").agg(F.min("u").alias("c"))
+    stars_ = poor.join(hubs, "bucket").select("u", "c").unionByName(both.filter(F.col("kind") == STAR).select("u", "c")).filter("u <> c").distinct()
+    pairs = written(pairs.unionByName(stars_.withColumn("star", F.lit(True))).groupBy("u", "c").agg(F.bool_or("star").alias("star")), "candidates")
+
+    # Sets of the nodes that have candidates, from one document of each.
+    ends = pairs.select(F.explode(F.array("u", "c")).alias("node")).distinct()
+    named = members.filter("doc_id is not null and n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    chosen = written(named.join(ends, "node", "left_semi").select("doc_id", "node"), "chosen")
+    few = chosen.count() <= SMALL  # 16 bytes each; beyond it the join shuffles
 
     def to_set(batch):
-        got = [(n, f, large, s) for n, f, large, t in zip(*(batch.column(i).to_pylist() for i in range(3)), octets(batch, 3)) if node_of(s := shingle_set(t, size)) == n]
-        return {"node": [x[0] for x in got], "family": [x[1] for x in got], "large": [x[2] for x in got], "set": [x[3].tobytes() for x in got]}
+        got = [(n, s) for n, t in zip(batch.column(0).to_pylist(), octets(batch, 1)) if node_of(s := shingle_set(t, size)) == n]
+        return {"node": [n for n, _ in got], "n": [len(s) for _, s in got], "map": [bitmap(s, width(len(s))) for _, s in got], "set": [s.tobytes() for _, s in got]}
 
-    sets = arrow_map(rows.join(F.broadcast(chosen) if few else chosen, "doc_id").select("node", "family", "large", "text"), to_set, "node long, family long, large boolean, set binary")
+    sets = arrow_map(rows.join(F.broadcast(chosen) if few else chosen, "doc_id").select("node", "text"), to_set, "node long, n long, map binary, set binary")
     sets = written(sets, "sets")
-    small = sets.filter("not large").select("family", "node", "set").repartition("family").sortWithinPartitions("family")
-    roots = small.mapInArrow(_families(num, den), "node long, root long")
-    if chosen.filter("large").isEmpty():
+    if not sets.groupBy("node").count().filter("count > 1").isEmpty():  # repeated rows
+        sets = sets.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "map", "set")))
+
+    maps = sets.select("node", "n", "map")
+    u, c = maps.toDF("u", "un", "um"), maps.toDF("c", "cn", "cm")
+    standing = arrow_map(pairs.filter("not star").join(u, "u").join(c, "c").select("u", "c", "un", "cn", "um", "cm"), _standing(num, den), "a long, b long")
+    edges = written(standing.unionByName(pairs.filter("star").select(F.col("u").alias("a"), F.col("c").alias("b"))), "pairs")
+    families = components(edges).withColumnRenamed("root", "family")
+
+    held = families.join(maps.select("node", "n"), "node")
+    large = held.groupBy("family").agg(F.count("*").alias("nodes"), F.sum("n").alias("elements")).filter((F.col("nodes") > family) | (F.col("elements") > ELEMENTS)).select("family", F.lit(True).alias("large"))
+    families = written(families.join(large, "family", "left").select("node", "family", F.coalesce("large", F.lit(False)).alias("large")), "families")
+    small = families.filter("not large").join(sets.select("node", "set"), "node").select("family", "node", "set")
+    roots = small.repartition("family").sortWithinPartitions("family").mapInArrow(_families(num, den), "node long, root long")
+    large = families.filter("large").select("node")
+    if large.isEmpty():
         return members, written(roots, "roots")
-    sets = sets.filter("large").groupBy("node").agg(F.first("set").alias("set"))
-    edges = by_hubs(pairs.join(chosen.filter("large").select(F.col("node").alias("u")), "u", "left_semi"), sets, num, den)
-    return members, written(roots.unionByName(components(edges)), "roots")
+    rest = edges.select(F.col("a").alias("u"), F.col("b").alias("c")).join(large.withColumnRenamed("node", "u"), "u", "left_semi")
+    links = by_hubs(rest, sets.select("node", "set").join(large, "node", "left_semi"), num, den)
+    return members, written(roots.unionByName(components(links)), "roots")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 4, den: int = 5, family: int = FAMILY) -> DataFrame:
