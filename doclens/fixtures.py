@@ -80,6 +80,16 @@ FIXTURES: dict[str, Fixture] = {
         ],
     ),
     "bib": ("file_no bigint, text string", [(0, "@article{k1,\n title = {A {Study} of Rivers},\n year=1999}\n@book{k2, title=\"On Nets\"}\n@misc{k3, note={x}}")]),
+    "paper": (
+        "doc_id bigint, text string",
+        [
+            (1, "\\begin{document}\\begin{table}\\caption{Costs}\\label{tab:cost}\\begin{tabularx}{\\textwidth}{l>{\\centering}X*{2}{p{2cm}}}a&b&c&d\\end{tabularx}\\end{table}\\end{document}"),
+            (2, "\\section{Start}\\label{s}\\label{s2}\n\\begin{figure}\\begin{subfigure}[b]{0.7\\textwidth}\\includegraphics[width=\\linewidth]{p.png}\\caption{left}\\end{subfigure}\\begin{subfigure}{3cm}\\includegraphics{q}\\end{subfigure}\\caption{Plan}\\end{figure}\\appendix\\section*{Thanks}\\subsection{More}"),
+            (3, "% \\begin{table}\n\\begin{table*}\\begin{minipage}{4cm}\\begin{tabularx}{4cm}{XX}a&b\\end{tabularx}note\\end{minipage}\\end{table*}"),
+            (4, "\\begin{tabular}{ll}a\n& b \\\\\nc & \\makecell{d}\\end{tabular}\\includegraphics[ % x\n width=1in]{z}"),
+            (5, ""),
+        ],
+    ),
     "fonts_xml": ("doc_id bigint, member string, text string", [(1, "word/document.xml", '<w:rFonts w:ascii="CMR10" w:hAnsi="CMTT8"/><w:rFonts w:cs="Arial"/>'), (1, "word/styles.xml", '<w:rFonts w:ascii="CMR10" w:eastAsia="CMR10"/>'), (1, "docProps/app.xml", '<x w:ascii="CMR10"/>')]),
 }
 

@@ -189,3 +189,19 @@ def column_widths(total: Column, widths: Column) -> Column:
 def twips(width: Column) -> Column:
     """Inches to 1/1440 inch, at least 1."""
     return F.greatest(F.bround(width * 1440).cast("int"), F.lit(1))
+
+
+def joined(parts: Column, trimmed: bool = False) -> Column:
+    """Text nodes of an element, array<struct<ord, text>>, in order; a paragraph's are trimmed as a whole."""
+    text = F.array_join(F.transform(F.array_sort(parts), lambda p: p["text"]), "")
+    return F.trim(text) if trimmed else text
+
+
+def accepts(path: Column, *extensions: str) -> Column:
+    """Whether a file has one of the extensions, in any case."""
+    return F.lower(F.regexp_extract(path, r"(\.[^./\\]*)$", 1)).isin(*extensions)
+
+
+def own_number(line: Column, page_no: Column) -> Column:
+    """Whether a line is the number of its page, counted from 1."""
+    return F.trim(line) == (page_no + 1).cast("string")

@@ -656,3 +656,218 @@ def s13_page_layout(spark, sf):
 @query("SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'CMR10', 'serif', CAST(3 AS BIGINT)), (1, 'CMTT8', 'mono', 1)) AS t(doc_id, name, class, n)")
 def f23_a13_font_counts(spark, sf):
     return S.font_counts(fixture(spark, "fonts_xml"))
+
+
+# LaTeX over a fixture of sources.
+
+PAPER = values("paper")
+
+
+def lit(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+@query("SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'Costs'), (2, 'left'), (2, 'Plan')) AS t(doc_id, body)")
+def t2_groups(spark, sf):
+    """The group behind each caption."""
+    return tex.table_of(fixture(spark, "paper"), lambda t: [(tex.group(t, m.end())[0],) for m in tex.commands(t, "caption")], "body string").select("doc_id", "body")
+
+
+@query(f"SELECT doc_id, CAST(strpos(text, b) - 1 AS INTEGER) AS start, CAST(strpos(text, e) + length(e) - 1 AS INTEGER) AS stop FROM {PAPER} JOIN (VALUES (1, '\\begin{{table}}', '\\end{{table}}'), (3, '\\begin{{table*}}', '\\end{{table*}}')) AS w(d, b, e) ON d = doc_id")
+def t4_table_floats(spark, sf):
+    return tex.table_of(fixture(spark, "paper"), lambda t: tex.environments(t, tex.TABLES), "start int, stop int").select("doc_id", "start", "stop")
+
+
+@query("SELECT CAST(2 AS BIGINT) AS doc_id, CAST(0.7 AS DOUBLE) AS ratio")
+def t5_wide_panels(spark, sf):
+    return tex.table_of(fixture(spark, "paper"), tex.wide_panels, "start int, stop int, ratio double").select("doc_id", "ratio")
+
+
+@query("SELECT CAST(2 AS BIGINT) AS doc_id, CAST(0 AS INTEGER) AS image, CAST(0.7 AS DOUBLE) AS ratio")
+def t6_wide_images(spark, sf):
+    return tex.table_of(fixture(spark, "paper"), tex.wide_images, "image int, ratio double").select("doc_id", "image", "ratio")
+
+
+@query("SELECT CAST(1 AS BIGINT) AS doc_id, CAST(1 AS INTEGER) AS number, 'Costs' AS caption")
+def t7_w7_table_records(spark, sf):
+    return audit.source_records(fixture(spark, "paper"), "tables").select("doc_id", "number", "caption")
+
+
+@query("SELECT CAST(2 AS BIGINT) AS doc_id, 'Figure 1.' AS prefix, 'Plan' AS caption UNION ALL SELECT 2, '(a)', 'left'")
+def t8_t9_figure_records(spark, sf):
+    f, p = (audit.source_records(fixture(spark, "paper"), k).select("doc_id", "prefix", "caption") for k in ("figures", "panels"))
+    return f.unionByName(p)
+
+
+@query("SELECT * FROM (VALUES (CAST(2 AS BIGINT), CAST(0 AS INTEGER), CAST(0.7 AS DOUBLE)), (2, 1, NULL)) AS t(doc_id, ord, ratio)")
+def t10_panel_ratios(spark, sf):
+    return tex.table_of(fixture(spark, "paper"), tex.panels, "start int, stop int, ratio double").select("doc_id", "ord", "ratio")
+
+
+@query("SELECT * FROM (VALUES (CAST(2 AS BIGINT), CAST(0 AS INTEGER), CAST(1 AS INTEGER), false, 'Start', 's,s2'), (2, 1, 1, true, 'Thanks', ''), (2, 2, 2, false, 'More', '')) AS t(doc_id, ord, level, starred, title, labels)")
+def t11_headings(spark, sf):
+    f = lambda t: [(h["level"], h["starred"], h["title"], ",".join(h["labels"])) for h in tex.headings(t)]
+    return tex.table_of(fixture(spark, "paper"), f, "level int, starred boolean, title string, labels string")
+
+
+@query("SELECT * FROM (VALUES (CAST(1 AS BIGINT), '\\textwidth', 'l>{\\centering}X*{2}{p{2cm}}'), (3, '4cm', 'XX'), (4, NULL, 'll')) AS t(doc_id, total, spec)")
+def t13_column_specs(spark, sf):
+    return tex.table_of(fixture(spark, "paper"), tex.column_specs, "total string, spec string").select("doc_id", "total", "spec")
+
+
+@query("SELECT * FROM (VALUES (CAST(1 AS BIGINT), '-,-,2cm,2cm', 'lcll'), (3, '-,-', 'll'), (4, '-,-', 'll')) AS t(doc_id, widths, letters)")
+def t14_t15_columns(spark, sf):
+    f = lambda t: [(",".join(w or "-" for w in tex.widths(s)), tex.alignment(s)) for _, s in tex.column_specs(t)]
+    return tex.table_of(fixture(spark, "paper"), f, "widths string, letters string").select("doc_id", "widths", "letters")
+
+
+@query("SELECT CAST(1 AS BIGINT) AS doc_id, concat(chr(10), '\\begin{document}', chr(10), '\\textbf{Table 1.} Costs', chr(10), chr(10), '\\begin{tabular}{lcll}a&b&c&d\\end{tabular}', chr(10), '\\end{document}', chr(10)) AS source")
+def t16_standalone_tables(spark, sf):
+    return tex.table_of(fixture(spark, "paper"), lambda t: [(s,) for s in tex.standalone_tables(t)], "source string").select("doc_id", "source")
+
+
+@query("SELECT * FROM (VALUES (CAST(2 AS BIGINT), CAST(0 AS INTEGER), 'p.png'), (2, 1, 'q'), (4, 0, 'z')) AS t(doc_id, ord, path)")
+def s10_images(spark, sf):
+    return tex.table_of(fixture(spark, "paper"), lambda t: [(p,) for *_, p in tex.images(t)], "path string")
+
+
+@query(f"SELECT doc_id, CASE doc_id WHEN 1 THEN replace(replace(text, '\\caption{{Costs}}', ''), '\\begin{{table}}', concat(chr(10), chr(10), '\\textbf{{Table 1.}} Costs', chr(10), chr(10), '\\begin{{table}}')) ELSE text END AS text FROM {PAPER}")
+def p16_lifted_captions(spark, sf):
+    return fixture(spark, "paper").select("doc_id", tex.rewritten(F.col("text"), tex.lifted_captions).alias("text"))
+
+
+@query(
+    f"SELECT doc_id, CASE doc_id WHEN 1 THEN replace(replace(text, '\\begin{{tabularx}}{{\\textwidth}}{{l>{{\\centering}}X*{{2}}{{p{{2cm}}}}}}', '\\begin{{tabular}}{{lcll}}'), '\\end{{tabularx}}', '\\end{{tabular}}')"
+    f" WHEN 3 THEN replace(replace(text, '\\begin{{tabularx}}{{4cm}}{{XX}}', '\\begin{{tabular}}{{ll}}'), '\\end{{tabularx}}', '\\end{{tabular}}')"
+    f" WHEN 4 THEN replace(replace(text, concat('a', chr(10), '& b'), 'a & b'), '\\makecell{{d}}', '\\begin{{tabular}}{{c}}d\\end{{tabular}}') ELSE text END AS text FROM {PAPER}"
+)
+def p17_plain_tables(spark, sf):
+    return fixture(spark, "paper").select("doc_id", tex.rewritten(F.col("text"), tex.plain_tables).alias("text"))
+
+
+@query(f"SELECT doc_id, CASE doc_id WHEN 3 THEN replace(replace(replace(replace(text, '\\begin{{tabularx}}{{4cm}}{{XX}}', '\\begin{{tabular}}{{ll}}'), '\\end{{tabularx}}', '\\end{{tabular}}'), '\\begin{{minipage}}{{4cm}}', ''), '\\end{{minipage}}', '') ELSE text END AS text FROM {PAPER}")
+def p18_unboxed_tables(spark, sf):
+    return fixture(spark, "paper").select("doc_id", tex.rewritten(F.col("text"), tex.unboxed_tables).alias("text"))
+
+
+@query(f"SELECT doc_id, CASE doc_id WHEN 4 THEN replace(text, concat('a', chr(10), '& b'), 'a & b') ELSE text END AS text FROM {PAPER}")
+def p19_joined_rows(spark, sf):
+    return fixture(spark, "paper").select("doc_id", tex.rewritten(F.col("text"), tex.joined_rows).alias("text"))
+
+
+@query(f"SELECT doc_id, CASE doc_id WHEN 4 THEN replace(text, concat('[ % x', chr(10), ' width=1in]'), '[width=1in]') ELSE text END AS text FROM {PAPER}")
+def p21_image_options(spark, sf):
+    return fixture(spark, "paper").select("doc_id", tex.rewritten(F.col("text"), tex.flat_image_options).alias("text"))
+
+
+# Small projections, orders and sets.
+
+
+@query("SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'Costs of x by year'), (2, 'plain')) AS t(id, text)")
+def p8_plain_captions(spark, sf):
+    rows = [(1, "Costs \\emph{of $x$}  by~year"), (2, "plain")]
+    return spark.createDataFrame(rows, "id long, text string").select("id", T.plain_caption(F.col("text")).alias("text"))
+
+
+@query(f"SELECT doc_id, container_no, string_agg(text, '' ORDER BY run_no) AS text, trim(string_agg(text, '' ORDER BY run_no)) AS trimmed FROM {values('runs')} GROUP BY ALL")
+def p11_p12_element_texts(spark, sf):
+    parts = F.collect_list(F.struct(F.col("run_no").alias("ord"), "text"))
+    return fixture(spark, "runs").groupBy("doc_id", "container_no").agg(parts.alias("p")).select("doc_id", "container_no", T.joined(F.col("p")).alias("text"), T.joined(F.col("p"), True).alias("trimmed"))
+
+
+@query("SELECT * FROM (VALUES ('3 pages, 2 spaces restored'), ('')) AS t(message)")
+def p13_messages(spark, sf):
+    d = spark.createDataFrame([(3, 0, 2), (0, 0, 0)], "p int, r int, s int")
+    return d.select(T.summary_message(F.col("p"), F.col("r"), F.col("s")).alias("message"))
+
+
+@query(f"SELECT doc_id, container_no, run_no, coalesce(vert_align IN ('superscript', 'subscript'), false) AS shifted FROM {values('runs')}")
+def f14_shifted(spark, sf):
+    return fixture(spark, "runs").select("doc_id", "container_no", "run_no", T.is_shifted(F.col("vert_align")).alias("shifted"))
+
+
+@query("SELECT 0 AS page_no, 'one' AS line UNION ALL SELECT 0, '2' UNION ALL SELECT 1, '1'")
+def f1_own_numbers(spark, sf):
+    d = spark.createDataFrame([(0, "one"), (0, " 1 "), (0, "2"), (1, "1"), (1, "2")], "page_no int, line string")
+    return d.filter(~T.own_number(F.col("line"), F.col("page_no")))
+
+
+@query(f"WITH {BLOCKS_SQL} SELECT doc_id, page_no, block_no FROM blocks WHERE math_share >= 0.25")
+def f12_seeds(spark, sf):
+    return G.blocks(fixture(spark, "spans")).filter(F.col("math_share") >= G.MATH_SHARE).select("doc_id", "page_no", "block_no")
+
+
+@query(f"SELECT path, lower(regexp_extract(path, '(\\.[^./\\\\]*)$', 1)) IN ('.tex', '.pdf') AS ok FROM {values('files')}")
+def f22_accepted_files(spark, sf):
+    return fixture(spark, "files").select("path", T.accepts(F.col("path"), ".tex", ".pdf").alias("ok"))
+
+
+@query()
+def j2_j3_j4_covers(spark, sf):
+    rows = [("table", "northstation", "north station NS01"), ("paragraph", "alpha beta gamma", "alpha gamma delta"), ("paragraph", "ification", "verification score"), ("table", "abc", "abc")]
+    d = spark.createDataFrame(rows, "kind string, text string, target string")
+    return d.select("kind", "text", F.round(M.element_cover("kind", "text", "target"), 6).alias("score"))
+
+
+@query("SELECT * FROM (VALUES (CAST(1 AS BIGINT), CAST(0 AS INTEGER), CAST(2 AS INTEGER)), (1, 2, 5)) AS t(doc_id, record_no, ord)")
+def j10_headings_in_order(spark, sf):
+    r = spark.createDataFrame([(1, 0, "Methods", 1), (1, 1, "Deep matter", 3), (1, 2, "Sources", 2)], "doc_id long, record_no int, text string, level int")
+    p = spark.createDataFrame([(1, 1, "Methods", 2), (1, 2, "Methods", 1), (1, 3, "Zzz", 1), (1, 5, "Source", 2)], "doc_id long, ord int, text string, level int")
+    return M.match_in_order(r, p, by_level=True).select("doc_id", "record_no", "ord")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+def e3_labelled(spark, sf):
+    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").intersect(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id"))
+
+
+@query("SELECT source, lang FROM documents INTERSECT ALL SELECT source, lang FROM documents WHERE doc_id % 2 = 0")
+def e4_bag_intersection(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    return d.select("source", "lang").intersectAll(d.filter("doc_id % 2 = 0").select("source", "lang"))
+
+
+@query("SELECT doc_id AS id, 'document' AS kind FROM documents UNION ALL SELECT page_id, 'page' FROM pages UNION ALL SELECT item_id, 'item' FROM benchmark")
+def e5_e6_concatenation(spark, sf):
+    one = lambda t, c, k: spark.read.parquet(f"{sf}/{t}.parquet").select(F.col(c).alias("id"), F.lit(k).alias("kind"))
+    return one("documents", "doc_id", "document").unionByName(one("pages", "page_id", "page")).unionByName(one("benchmark", "item_id", "item"))
+
+
+@query("SELECT source, arg_min(doc_id, (-n_chars, doc_id)) AS longest, min(doc_id) AS first_doc FROM documents GROUP BY source")
+def o8_o9_first_and_longest(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    return d.groupBy("source").agg(F.min_by("doc_id", F.struct(-F.col("n_chars"), "doc_id")).alias("longest"), F.min("doc_id").alias("first_doc"))
+
+
+@query(f"SELECT doc_id, page_no, y0, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY y0) AS k FROM {values('drawings')}")
+def o1_top_order(spark, sf):
+    from pyspark.sql import Window
+
+    return fixture(spark, "drawings").select("doc_id", "page_no", "y0", F.row_number().over(Window.partitionBy("doc_id", "page_no").orderBy("y0")).cast("long").alias("k"))
+
+
+@query("SELECT doc_id, words, ord FROM (VALUES (CAST(1 AS BIGINT), 'a', CAST(1 AS INTEGER)), (1, 'b', 2), (1, 'and 1 more', 3), (2, 'z', 1)) AS t(doc_id, words, ord)")
+def o5_o6_report(spark, sf):
+    f = spark.createDataFrame([(1, 0, 0, "a"), (1, 0, 4, "b"), (1, 1, 0, "c"), (2, 0, 0, "z")], "doc_id long, page_no int, start int, words string")
+    return R.report(f, 2).select("doc_id", "words", "ord")
+
+
+@query("SELECT CAST(1 AS BIGINT) AS doc_id, CAST(0 AS INTEGER) AS page_no UNION ALL SELECT 1, 2")
+def w10_heading_breaks(spark, sf):
+    boxes = spark.createDataFrame([(1, 0, 700.0), (1, 1, 690.0), (1, 2, 500.0), (1, 3, None)][:3], "doc_id long, page_no int, y1 double")
+    openings = spark.createDataFrame([(1, 0, "1 First"), (1, 1, "2.1 Next Part"), (1, 2, "text")], "doc_id long, page_no int, opening string")
+    return G.deliberate_breaks(boxes, openings)
+
+
+@query("SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'fewer tables', '0 of 1'), (1, 'table caption not found', 'Table 1.'), (1, 'table caption incomplete', 'Costs'), (2, 'fewer images', '0 of 2'), (2, 'figure caption incomplete', 'Plan'), (2, 'panel not found', 'left'), (3, 'fewer tables', '0 of 1'), (4, 'fewer tables', '0 of 1'), (4, 'fewer images', '0 of 1'), (1, 'link missing', 'tab:cost'), (2, 'link different', 's')) AS t(doc_id, finding, detail)")
+def u1_u5_u13_u14_audit(spark, sf):
+    e = spark.createDataFrame([(2, 0, "paragraph", "Figure 1. Another", "", False)], "doc_id long, ord int, kind string, text string, style string, has_drawing boolean")
+    shown = spark.createDataFrame([(2, 0, "s", "2")], "doc_id long, ord int, anchor string, text string")
+    expected = spark.createDataFrame([(1, "tab:cost", "1"), (2, "s", "1")], "doc_id long, key string, number string")
+    return audit.audit(fixture(spark, "paper"), e, fixture(spark, "entries"), shown, expected)
+
+
+@query("SELECT doc_id, finding, detail FROM (VALUES (CAST(1 AS BIGINT), 'citation without an entry', 'k2'), (1, 'citation without an entry', 'k3'), (1, 'fewer bibliography paragraphs', '0 of 3'), (1, 'title not in the bibliography', 'A Study of Rivers'), (1, 'fewer images', '0 of 1'), (1, 'reference to an undefined label', 'tab:res'), (1, 'reference to an undefined label', 'a'), (1, 'reference to an undefined label', 'b'), (2, 'reference to an undefined label', 'fig:map')) AS t(doc_id, finding, detail)")
+def u10_u12_audit(spark, sf):
+    e = spark.createDataFrame([], "doc_id long, ord int, kind string, text string, style string, has_drawing boolean")
+    return audit.audit(fixture(spark, "sources"), e, fixture(spark, "entries"), fixture(spark, "links").limit(0), spark.createDataFrame([], "doc_id long, key string, number string"))
