@@ -1,9 +1,9 @@
 """Token counts of documents in flat token files without an index.
 
 A flat file is a run of ids in which an end-of-document id closes each document. It is held as fixed-size blocks of
-bytes (file, block, data), wherever document borders fall. Each block is searched for separators with one vectorised comparison and
-yields its first and last separator and the lengths in between; a prefix scan over the
-blocks' summaries, a few numbers each, gives every block the start of the document that is open at
+bytes (file, block, data), wherever document borders fall. Each block is read once and searched for separators with one vectorised comparison;
+only their places go on. A prefix scan over the
+blocks gives every block its offset and the start of the document that is open at
 its beginning, and thereby the documents that cross borders.
 
 Defined cases: an empty document counts 0 tokens; tokens after a file's last separator are a document that is
@@ -23,7 +23,7 @@ from doclens.llm import bpe
 from doclens.llm.common import arrow_map, table, written
 
 #: Tokens in a block: small enough that a batch of rows fits in memory, large enough that the summaries are few.
-BLOCK = 1 << 18
+BLOCK = 1 << 16
 
 
 def blocks_of_files(spark: SparkSession, path: str, width: int = 4, block: int = BLOCK) -> DataFrame:
@@ -62,33 +62,35 @@ def write_blocks(docs: DataFrame, path: str, eod: int, text_col: str = "text", b
 def count_documents(blocks: DataFrame, eod: int, dtype: str = "<u4") -> DataFrame:
     """(file, doc_no, start, n_tokens, closed): every document's place and tokens, its separator not counted.
 
-    Blocks are read twice, for their summaries and for the lengths; only summaries are shuffled.
+    Tokens stay where they are: a block sends its number of tokens and four bytes for each separator.
     """
     width = np.dtype(dtype).itemsize
 
-    def separators(data: bytes | None) -> tuple[np.ndarray, int]:
-        ids = np.frombuffer(data or b"", dtype, len(data or b"") // width)
-        return np.flatnonzero(ids == eod), len(ids)
-
-    def summary(batch):
-        got = [separators(d) for d in batch.column(2).to_pylist()]
-        return {"file": batch.column(0), "block": batch.column(1), "n": [n for _, n in got], "seps": [len(s) for s, _ in got], "last": [int(s[-1]) if len(s) else None for s, _ in got]}
+    def separators(batch):
+        out = {"file": batch.column(0), "block": batch.column(1), "n": [], "seps": [], "n_seps": [], "last": []}
+        for data in batch.column(2).to_pylist():
+            ids = np.frombuffer(data or b"", dtype, len(data or b"") // width)
+            at = np.flatnonzero(ids == eod).astype(np.int32)
+            out["n"].append(len(ids))
+            out["seps"].append(at.tobytes())
+            out["n_seps"].append(len(at))
+            out["last"].append(int(at[-1]) if len(at) else None)
+        return out
 
-    s = arrow_map(blocks.select("file", "block", "data"), summary, "file string, block long, n long, seps long, last long")
-    # The scan: per file over its blocks' numbers, in two levels, so that a file of any length is never one task's.
+    s = arrow_map(blocks.select("file", "block", "data"), separators, "file string, block long, n long, seps binary, n_seps long, last long")
+    # The scan, in two levels, so that a file of any length is never one task's: within groups of blocks, then over the groups' sums.
     s = s.withColumn("group", F.floor(F.col("block") / 4096))
-    upto = Window.partitionBy("file", "group").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    within = s.select("file", "group", "block", "n", "seps", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("at"), F.coalesce(F.sum("seps").over(upto), F.lit(0)).alias("doc"), "last")
-    place = F.col("at") + F.col("last")
-    ends = Window.partitionBy("file", "group").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    within = within.select("file", "group", "block", "n", "seps", "at", "doc", F.max(place).over(ends).alias("open"), place.alias("end"))
-    groups = within.groupBy("file", "group").agg(F.sum("n").alias("gn"), F.sum("seps").alias("gs"), F.max("end").alias("gl"), F.max("block").alias("top"))
-    before = Window.partitionBy("file").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
-    groups = groups.select("file", "group", "top", F.coalesce(F.sum("gn").over(before), F.lit(0)).alias("at0"), F.coalesce(F.sum("gs").over(before), F.lit(0)).alias("doc0"), "gl", F.max("top").over(Window.partitionBy("file")).alias("final"))
-    groups = groups.withColumn("open0", F.max(F.col("at0") + F.col("gl")).over(before))
+    before = Window.partitionBy("file", "group").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    within = s.select("*", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("at"), F.coalesce(F.sum("n_seps").over(before), F.lit(0)).alias("doc"))
+    within = within.withColumn("end", F.col("at") + F.col("last")).withColumn("open", F.max("end").over(before))
+    groups = within.groupBy("file", "group").agg(F.sum("n").alias("gn"), F.sum("n_seps").alias("gs"), F.max("end").alias("gl"), F.max("block").alias("top"))
+    earlier = Window.partitionBy("file").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.select("file", "group", F.coalesce(F.sum("gn").over(earlier), F.lit(0)).alias("at0"), F.coalesce(F.sum("gs").over(earlier), F.lit(0)).alias("doc0"), "gl", F.max("top").over(Window.partitionBy("file")).alias("final"))
+    groups = groups.withColumn("open0", F.max(F.col("at0") + F.col("gl")).over(earlier))
     carry = within.join(groups, ["file", "group"]).select(
         "file",
-        "block",
+        "seps",
+        "n",
         (F.col("at0") + F.col("at")).alias("at"),
         (F.col("doc0") + F.col("doc")).alias("doc"),
         (F.coalesce(F.col("at0") + F.col("open"), F.col("open0"), F.lit(-1)) + 1).alias("begun"),
@@ -97,9 +99,8 @@ def count_documents(blocks: DataFrame, eod: int, dtype: str = "<u4") -> DataFram
 
     def lengths(batch):
         out = {c: [] for c in ("file", "doc_no", "start", "n_tokens", "closed")}
-        for file, data, at, doc, begun, final in zip(*(batch.column(i).to_pylist() for i in range(6))):
-            seps, n = separators(data)
-            ends = seps + at
+        for file, seps, n, at, doc, begun, final in zip(*(batch.column(i).to_pylist() for i in range(7))):
+            ends = np.frombuffer(seps, np.int32).astype(np.int64) + at
             starts = np.concatenate([[begun], ends[:-1] + 1]) if len(ends) else ends
             sizes, closed = (ends - starts).tolist(), [True] * len(ends)
             starts = starts.tolist()
@@ -113,8 +114,7 @@ def count_documents(blocks: DataFrame, eod: int, dtype: str = "<u4") -> DataFram
             out["closed"] += closed
         return out
 
-    joined = blocks.select("file", "block", "data").join(carry, ["file", "block"]).select("file", "data", "at", "doc", "begun", "final")
-    return arrow_map(joined, lengths, "file string, doc_no long, start long, n_tokens long, closed boolean")
+    return arrow_map(carry, lengths, "file string, doc_no long, start long, n_tokens long, closed boolean")
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
