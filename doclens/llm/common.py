@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -105,6 +107,13 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return mix(h + np.uint64(size))
 
 
+def trim() -> None:
+    """Hands memory that a worker no longer needs back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 _pack, _unpack = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 

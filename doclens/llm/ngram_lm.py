@@ -29,14 +29,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doclens.llm.common import GOLD, crc_mod, mix, octets, packed, table, unpacked, written
+from doclens.llm.common import GOLD, crc_mod, mix, octets, packed, table, trim, unpacked, written
 from doclens.llm.elias_fano import Trie
 from doclens.llm.ngram_join import _runs
 
 #: Hashes of the end, of what stands before a text and of what stands after it. A word has at least one byte, so none hashes these strings but by chance.
 END, BEFORE, AFTER = (xxhash.xxh64_intdigest(b"\0" + x) for x in (b"end", b"before", b"after"))
 #: Tokens that a task gathers before it sends them, and of a shard at most (about).
-CHUNK, SHARD = 3_000_000, 3_000_000
+CHUNK, SHARD = 2_000_000, 800_000
 
 
 def unigrams(training: DataFrame) -> DataFrame:
@@ -65,27 +65,29 @@ def _send(shards: int, hot: dict[int, int]):
     schema = pa.schema([("shard", pa.int32()), ("chunk", pa.int64()), ("trigrams", pa.binary()), ("header", pa.binary())])
 
     def flush(chunk: int, words: Ids, held: list[np.ndarray], docs: list[tuple]) -> Iterator[pa.RecordBatch]:
-        ids = np.concatenate(held)
-        sizes = np.array([len(x) for x in held])
+        ids, sizes = np.concatenate(held), np.array([len(x) for x in held])
+        held.clear()
         h = np.array([BEFORE, END, AFTER, *map(xxhash.xxh64_intdigest, words)], np.uint64)
-        doc = np.repeat(np.arange(len(held), dtype=np.uint32), sizes)
+        doc = np.repeat(np.arange(len(sizes), dtype=np.uint32), sizes)
         # Split words: their place in a list of their own, by the word before them.
         classes = np.array([hot.get(x, 0) for x in h.tolist()] if hot else np.zeros(len(h)), np.int64)
         offset = len(h) + np.concatenate([[0], np.cumsum(classes)])[:-1]
         before = np.concatenate([ids[:1], ids[:-1]])
         split = np.flatnonzero(classes[ids])
         of = (mix(h[before[split]]) % classes[ids[split]].astype(np.uint64)).astype(np.int64)
-        own = ids.astype(np.int64)
+        own = ids.copy()
         own[split] = offset[ids[split]] + of
+        del before, split, of
         spread = np.repeat(np.arange(len(h)), classes)
         number = np.arange(len(spread)) - (offset - len(h))[spread]
         h = np.concatenate([h, mix(h[spread] + GOLD * (number + 1).astype(np.uint64))])
         # Trigrams within a document.
-        at = np.flatnonzero(doc[2:] == doc[:-2])
-        left, middle, right, doc = own[at], own[at + 1], ids[at + 2].astype(np.int64), doc[at]
+        ok = doc[2:] == doc[:-2]
+        left, middle, right, doc = own[:-2][ok], own[1:-1][ok], ids[2:][ok], doc[:-2][ok]
+        del own, ids, ok
         shard = (mix(h) % np.uint64(shards)).astype(np.int32)[middle]
         order = np.lexsort((left, middle, shard))
-        left, middle, right, doc, shard = left[order], middle[order], right[order], doc[order], shard[order]
+        shard = shard[order]
         mark = np.zeros(len(h), np.int64)
         ids_, held_out, n_tokens = zip(*docs)
         known = np.array([i is not None for i in ids_], bool)
@@ -93,13 +95,13 @@ def _send(shards: int, hot: dict[int, int]):
         rows = [(chunk % shards, chunk, None, header)]
         train = ~np.array(held_out, bool)
         for a, b in _runs(shard):
-            lo, mi, ri = left[a:b], middle[a:b], right[a:b]
+            lo, mi, ri, di = (x[order[a:b]] for x in (left, middle, right, doc))
             first = np.flatnonzero(np.concatenate([[True], mi[1:] != mi[:-1]]))
             mark[lo] = mark[ri] = 1
             used = np.flatnonzero(mark)
             mark[used] = np.arange(len(used))
             value = packed(
-                h[mi[first]], np.diff(np.append(first, b - a)).astype(np.uint32), h[used], mark[lo].astype(np.uint32), mark[ri].astype(np.uint32), doc[a:b], train[doc[a:b]]
+                h[mi[first]], np.diff(np.append(first, b - a)).astype(np.uint32), h[used], mark[lo].astype(np.uint32), mark[ri].astype(np.uint32), di, train[di]
             )
             mark[used] = 0
             rows.append((int(shard[a]), chunk, value, None))
@@ -121,9 +123,12 @@ def _send(shards: int, hot: dict[int, int]):
                 n += len(x)
                 if n >= CHUNK:
                     yield from flush(chunk, words, held, docs)
+                    trim()
                     chunk, words, held, docs, n = chunk + 1, Ids(), [], [], 0
         if held:
             yield from flush(chunk, words, held, docs)
+        del held, words
+        trim()
 
     return run
 
@@ -160,6 +165,7 @@ def _shard(total: int, distinct: int, hot_counts: dict[int, int], classes: dict[
             inverse = np.empty(len(key), np.int64)
             inverse[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
             del key
+            trim()
             c = np.add.reduceat(train[order].astype(np.int64), first)
             mi, li, ri = mi[at], li[at], ri[at]
             ended, begins = rs[ri] == np.uint64(AFTER), ls[li] == np.uint64(BEFORE)
@@ -176,6 +182,7 @@ def _shard(total: int, distinct: int, hot_counts: dict[int, int], classes: dict[
                 docs = np.flatnonzero(np.bincount(doc[a:b]))
                 sums = [np.bincount(doc[a:b], x[a:b])[docs] for x in (base, found, known)]
                 rows.append((c_, packed(docs.astype(np.uint32), sums[0], sums[1], sums[2].astype(np.uint32)), None))
+        trim()
         return pa.table([pa.array([r[i] for r in rows], PART.field(i).type) for i in range(3)], schema=PART)
 
     return run
