@@ -64,24 +64,25 @@ def near_copies(seed):
     return rows
 
 
-@pytest.mark.parametrize("family", [ngram_join.FAMILY, 2])
-def test_groups_against_brute_force(spark, family):
-    rows = near_copies(family)
+@pytest.mark.parametrize(("family", "size", "num", "den"), [(ngram_join.FAMILY, 4, 85, 100), (2, 4, 85, 100), (ngram_join.FAMILY, 5, 4, 5)])
+def test_groups_against_brute_force(spark, family, size, num, den):
+    rows = near_copies(family + num)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.groups(df, size=4, num=85, den=100, family=family).collect())
-    assert got == brute_groups(rows, 4, 85, 100)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.groups(df, size=size, num=num, den=den, family=family).collect())
+    assert got == brute_groups(rows, size, num, den)
 
 
 def test_linked_sets_share_a_signature():
     import numpy as np
 
-    rng, bands = np.random.default_rng(5), ngram_join.Bands(85, 100)
-    for n in (7, 13, 50, 200, 1000):
+    rng = np.random.default_rng(5)
+    for num, den, n in ((num, den, n) for num, den in ((85, 100), (4, 5)) for n in (7, 13, 50, 200, 1000)):
+        bands = ngram_join.Bands(num, den)
         for _ in range(40):
             a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
-            d = int(rng.integers(0, n * 15 // 185 + 1))
+            d = int(rng.integers(0, n * (den - num) // (den + num) + 1))
             b = np.unique(np.concatenate([a[d:], rng.integers(0, 2**64, d, dtype=np.uint64)]))
-            if 100 * len(np.intersect1d(a, b)) >= 85 * len(np.union1d(a, b)) and d:
+            if den * len(np.intersect1d(a, b)) >= num * len(np.union1d(a, b)) and d:
                 (x, need, _), (y, other, _) = ngram_join.signatures(a, bands), ngram_join.signatures(b, bands)
                 assert len(np.intersect1d(x, y)) >= min(need, other)
 
