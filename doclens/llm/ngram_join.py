@@ -5,8 +5,9 @@ text is one shingle, a text without words has an empty set and no links. Two doc
 the Jaccard similarity of their sets is at least num/den.
 
 1. Equal sets are one node. Sizes fall into bands whose ends differ by num/den, so linked sets stand in one band or in neighbours. In a band, linked
-   sets differ in at most k shingles. The hashed domain is parted in n1 pieces of three parts each; signatures are all subsets of two parts of each piece. As 2 * (n1 - slack) > k,
-   at least slack + 1 pieces hold at most one difference, so linked sets share a signature in each of these.
+   sets differ in at most k shingles. The hashed domain is parted in n1 pieces of n2 parts each; signatures are all subsets of n2 - k2 parts of each piece. As (k2 + 1) * (n1 - slack) > k,
+   at least slack + 1 pieces hold at most k2 differences, so linked sets share a signature in each of these. (n2, k2) is (3, 1), or (5, 2) for loose
+   similarities, whose signatures would otherwise hold so few shingles that shared passages give many accidental ones.
 2. Up to `DIRECT` sets that share a signature make direct pairs. Where there is slack, two shared signatures are asked for, as one may be an accident, and parity bitmaps refute pairs that can't
    link. A larger bucket counts as lost for its sets. A set that lost no more than the slack spares is found by direct pairs all the same; only sets that lost more ("poor", as in large
    groups of near copies) are joined to one of them, their hub, and so are sets beyond `LOCAL` in a block of input. So rows are in proportion to a bucket's size. Pairs that stand
@@ -25,6 +26,7 @@ rows of equal id are taken one by one and share the id; an empty table gives an
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,6 +61,8 @@ class Bands:
 
     def __init__(self, num: int, den: int):
         self.num, self.den, self.ends = num, den, [0]
+        self.n2, self.k2 = (3, 1) if 6 * (den - num) <= den else (5, 2)
+        self.subsets = list(itertools.combinations(range(self.n2), self.n2 - self.k2))
 
     def band(self, n: int) -> int:
         while self.ends[-1] < n:
@@ -67,13 +71,13 @@ class Bands:
         return int(np.searchsorted(self.ends, n))
 
     def pieces(self, band: int) -> tuple[int, int]:
-        """(n1, slack): some slack + 1 of the n1 pieces hold at most one difference. (0, 0) if linked sets are equal."""
+        """(n1, slack): some slack + 1 of the n1 pieces hold at most k2 differences. (0, 0) if linked sets are equal."""
         while band >= len(self.ends):
             self.band(self.ends[-1] + 1)
         k = (self.den - self.num) * 2 * self.ends[band] // (self.den + self.num)
         if not k:
             return 0, 0
-        least = (k + 2) // 2
+        least = k // (self.k2 + 1) + 1
         slack = 0 if least < 8 else 2 if least < 24 else 6
         return least + slack, slack
 
@@ -89,16 +93,17 @@ def signatures(s: np.ndarray, bands: Bands) -> tuple[np.ndarray, int, int]:
         n1, slack = bands.pieces(band)
         if not n1:
             continue
-        parts = 3 * n1
+        parts = bands.n2 * n1
         at = ((s >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)  # in order, as s is sorted
         counts = np.bincount(at.astype(np.int64), minlength=parts)
         ends = np.cumsum(counts)
-        part = (sums[ends] - sums[ends - counts] + counts.astype(np.uint64)).reshape(n1, 3)
-        full = counts.reshape(n1, 3) > 0
-        name = (np.arange(n1, dtype=np.uint64) + (np.uint64(band) << np.uint64(32))) * np.uint64(3)
-        both = [(0, 1), (0, 2), (1, 2)]
-        void = np.stack([~(full[:, i] | full[:, j]) for i, j in both], 1)
-        sig = np.stack([mix(mix(part[:, i] + mix(name + np.uint64(x))) + part[:, j]) for x, (i, j) in enumerate(both)], 1)
+        part = mix(sums[ends] - sums[ends - counts] + counts.astype(np.uint64)).reshape(n1, bands.n2)
+        full = counts.reshape(n1, bands.n2) > 0
+        name = (np.arange(n1, dtype=np.uint64) + (np.uint64(band) << np.uint64(32))) * np.uint64(64)
+        # A subset's parts are told apart by their place: each is multiplied by an odd number of its own.
+        weighed = part * (np.arange(bands.n2, dtype=np.uint64) * np.uint64(2) + np.uint64(0x9E3779B97F4A7C15))
+        sig = np.stack([mix(mix(name + np.uint64(x)) + weighed[:, sub].sum(1, dtype=np.uint64)) for x, sub in enumerate(map(list, bands.subsets))], 1)
+        void = np.stack([~full[:, sub].any(1) for sub in map(list, bands.subsets)], 1)
         lost = int(void.any(1).sum())
         drop = bool(slack) and lost == 1
         out.append(sig[~void] if drop else sig.ravel())
@@ -161,7 +166,7 @@ def _blocks(size: int, num: int, den: int, shards: int):
         sent = ~hub
         sent[first] = True
         keys, owner, hub = keys[sent], owner[sent], hub[sent]
-        low = keys & np.uint64((1 << 40) - 1)
+        low = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)  # within a shard, of a bounded number of signatures; what falls together is told apart later
         shard = (((keys >> np.uint64(40)) * np.uint64(shards)) >> np.uint64(24)).astype(np.int32)
         order = np.lexsort((owner, shard))
         low, shard, owner, hub = low[order], shard[order], owner[order], hub[order]
@@ -169,7 +174,7 @@ def _blocks(size: int, num: int, den: int, shards: int):
         for a, b in _runs(shard):
             o = owner[a:b]
             first = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]]))
-            value = packed(o[first], np.array([trait[x] for x in o[first].tolist()], np.uint16), np.diff(np.append(first, b - a)).astype(np.uint32), (low[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32), (low[a:b] >> np.uint64(32)).astype(np.uint8), hub[a:b])
+            value = packed(o[first], np.array([trait[x] for x in o[first].tolist()], np.uint16), np.diff(np.append(first, b - a)).astype(np.uint32), low[a:b], hub[a:b])
             rows.append((int(shard[a]), value, None, None))
         known = np.array([i is not None for i in ids], bool)
         numbers = np.array([i or 0 for i in ids], np.int64)
@@ -214,9 +219,9 @@ def _buckets(t: pa.Table) -> pa.Table:
 
     for sigs, members, pairs in zip(t["sigs"].to_pylist(), t["members"].to_pylist(), t["pairs"].to_pylist()):
         if sigs is not None:
-            owner, trait, runs, low, high, hub = unpacked(sigs)
+            owner, trait, runs, low, hub = unpacked(sigs)
             sent.append(hub)
-            keys.append(low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32))
+            keys.append(low.astype(np.uint64))
             nodes.append(np.repeat(owner, runs))
             traits.append((owner, trait))
         if members is not None:
@@ -402,7 +407,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     """(members (doc_id, n_shingles, node), (node, root) of the nodes that have candidates)."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
+    shards = (Bands(num, den).k2 * 2 - 1) * max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)  # loose similarities have three times the signatures
     sent = rows.mapInArrow(_blocks(size, num, den, shards), "shard int, sigs binary, members binary, pairs binary")
     both = written(sent.groupBy("shard").applyInArrow(_buckets, "kind int, doc_id long, n long, u long, c long, x long, y long"), "join")
     members = both.filter(F.col("kind") == MEMBER).select("doc_id", F.col("n").alias("n_shingles"), F.col("u").alias("node"))
