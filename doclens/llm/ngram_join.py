@@ -34,11 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doclens.llm.common import WordHashes, arrow_map, mix, octets, packed, shingle_hashes, table, unpacked, written
+from doclens.llm.common import WordHashes, arrow_map, mix, octets, packed, shingle_hashes, table, trim, unpacked, written
 from doclens.llm.components import components
 
 #: Signatures that a task gathers before it sends them, and documents of which sets are sent by broadcast at most.
-CHUNK, SMALL = 2_000_000, 2_000_000
+CHUNK, SMALL = 1_000_000, 2_000_000
 #: Nodes and shingles of a family that one task settles at most; larger ones are settled by joins.
 FAMILY, ELEMENTS = 16_384, 16_000_000
 #: Sets of one signature up to which all pairs are made, a bounded number for each set; and sets of a block beyond which only their hub is sent on.
@@ -193,8 +193,12 @@ def _blocks(size: int, num: int, den: int, shards: int):
                 if n >= CHUNK:
                     yield from flush(*held)
                     held, n = ([], [], [], [], []), 0
+                    trim()
         if held[0]:
             yield from flush(*held)
+        del held
+        _words.clear()
+        trim()
 
     return run
 
@@ -244,6 +248,8 @@ def _buckets(t: pa.Table) -> pa.Table:
         rows = np.flatnonzero(np.repeat(big, size))
         # Buckets of all shards keep apart by their whole key.
         forced = np.isin(mix(names[rows]) ^ mix(own[rows].astype(np.uint64)), mix(all_[hub]) ^ mix(own_[hub].astype(np.uint64)))
+        del all_, own_
+        trim()
         add(LARGE, u=own[rows], c=(names[rows] | np.uint64(int(t["shard"][0].as_py()) << 40)).astype(np.int64), x=of(own[rows]) & 255, y=forced.astype(np.int64))
     return pa.concat_tables(out)
 
