@@ -36,7 +36,7 @@ from doclens.llm.ngram_join import _runs
 #: Hashes of the end, of what stands before a text and of what stands after it. A word has at least one byte, so none hashes these strings but by chance.
 END, BEFORE, AFTER = (xxhash.xxh64_intdigest(b"\0" + x) for x in (b"end", b"before", b"after"))
 #: Tokens that a task gathers before it sends them, and of a shard at most (about).
-CHUNK, SHARD = 2_000_000, 800_000
+CHUNK, SHARD = 3_000_000, 1_500_000
 
 
 def unigrams(training: DataFrame) -> DataFrame:
