@@ -104,8 +104,11 @@ class Trie:
             setattr(self, k, EliasFano(n, bits, part(k + ".low"), part(k + ".high")))
 
     @staticmethod
-    def build(m: np.ndarray, left: np.ndarray, r: np.ndarray, c: np.ndarray, ended: np.ndarray, n: tuple[int, int, int], discount: float = 0.75) -> bytes:
-        """Distinct training trigrams as ids below n = (middles, lefts, rights), in order of (m, left, r), and their counts. ended: nothing follows; r is then no word."""
+    def build(m: np.ndarray, left: np.ndarray, r: np.ndarray, c: np.ndarray, ended: np.ndarray, n: tuple[int, int, int], discount: float = 0.75, whole: tuple[np.ndarray, ...] | None = None) -> bytes:
+        """Distinct training trigrams as ids below n = (middles, lefts, rights), in order of (m, left, r), and their counts. ended: nothing follows; r is then no word.
+
+        whole: of middles that stand here in part only, (middles, counts, tokens that follow, distinct ones) and their bigrams (m * rights + r, in order; counts).
+        """
         nm, nl, nr = n
         count = np.bincount(m, c, nm).astype(np.int64)
         goes = ~ended
@@ -115,14 +118,26 @@ class Trie:
         types3 = np.bincount(back[goes], minlength=len(contexts))
         pairs, to_pair = np.unique((m * nr + r)[goes], return_inverse=True)
         c2 = np.bincount(to_pair, c[goes], len(pairs))
+        if whole:
+            *of_middles, wpairs, wc2 = whole
+            held, held_c2 = pairs, c2
+            pairs = np.union1d(held, wpairs)
+            c2 = np.zeros(len(pairs))
+            c2[np.searchsorted(pairs, held)] = held_c2
+            c2[np.searchsorted(pairs, wpairs)] = wc2
+            to_pair = np.searchsorted(pairs, held)[to_pair]
         pm = pairs // nr
         degree = np.bincount(pm, minlength=nm)
-        total2 = np.bincount(pm, c2, nm)
+        total2, types2 = np.bincount(pm, c2, nm), degree
+        if whole:
+            wm, wcount, wtotal, wtypes = of_middles
+            types2 = degree.copy()
+            count[wm], total2[wm], types2[wm] = wcount, wtotal, wtypes
         p2 = (c2 - discount) / total2[pm] if len(pairs) else np.zeros(0)
         start = np.concatenate([[0], np.cumsum(degree)])
         base = np.concatenate([[0], np.cumsum(degree[contexts // nl])]) if len(contexts) else np.zeros(1, np.int64)
         with np.errstate(divide="ignore", invalid="ignore"):
-            b2 = np.where(total2 > 0, discount * degree / total2, 1.0)
+            b2 = np.where(total2 > 0, discount * types2 / total2, 1.0)
             b3 = np.where(total3 > 0, discount * types3 / total3, 1.0)
         ctx = back[goes]
         third = base[ctx] + to_pair - start[m[goes]]

@@ -11,7 +11,8 @@ absolute discounting (D):
   seen, and adds it, so no second look-up is needed.
 
 Words that would overfill a shard (more than N / (2 * shards) training tokens; there are 2 * shards of them at most) are
-split by a hash class of the word before them: the model tells their classes apart, and no shard grows with one word.
+split by a hash class of the word before them, and no shard grows with one word. Contexts (left, middle) are whole in a class. Bigrams of split
+words are counted beforehand over all classes: counts are merged by (middle, right) and sent to the classes that hold the pair, so scores are those of an unsplit model.
 
 Defined cases: null counts as empty, a text of the end alone; without training texts N = V = 0 and every
 token has probability 1; rows are scored one by one, so repeated ids and texts keep their rows; a null id is not held out; an empty table gives
@@ -83,7 +84,7 @@ def _send(shards: int, hot: dict[int, int]):
         h = np.concatenate([h, mix(h[spread] + GOLD * (number + 1).astype(np.uint64))])
         # Trigrams within a document.
         ok = doc[2:] == doc[:-2]
-        left, middle, right, doc = own[:-2][ok], own[1:-1][ok], ids[2:][ok], doc[:-2][ok]
+        left, middle, right, doc = ids[:-2][ok], own[1:-1][ok], ids[2:][ok], doc[:-2][ok]
         del own, ids, ok
         shard = (mix(h) % np.uint64(shards)).astype(np.int32)[middle]
         order = np.lexsort((left, middle, shard))
@@ -133,13 +134,87 @@ def _send(shards: int, hot: dict[int, int]):
     return run
 
 
+def _send_hot(shards: int, hot: dict[int, int]):
+    """Map side: (shard, pairs), the bigrams of split words with their classes and training counts."""
+
+    def flush(words: Ids, held: list[np.ndarray], train: list[bool]) -> Iterator[pa.RecordBatch]:
+        ids, trained = np.concatenate(held), np.repeat(np.array(train, bool), [len(x) for x in held])
+        held.clear()
+        h = np.array([BEFORE, END, AFTER, *map(xxhash.xxh64_intdigest, words)], np.uint64)
+        classes = np.array([hot.get(x, 0) for x in h.tolist()], np.int64)
+        classes[1] = 0  # no word follows the end
+        offset = np.concatenate([[0], np.cumsum(classes)])[:-1]
+        at = np.flatnonzero(classes[ids])
+        own = offset[ids[at]] + (mix(h[ids[at - 1]]) % classes[ids[at]].astype(np.uint64)).astype(np.int64)
+        keys, to_key = np.unique(own * len(h) + ids[at + 1], return_inverse=True)
+        count = np.bincount(to_key, trained[at], len(keys)).astype(np.uint32)
+        of, right = keys // len(h), h[keys % len(h)]
+        spread = np.repeat(np.arange(len(h)), classes)
+        middle, number = h[spread][of], of - offset[spread][of]
+        name = mix(middle + GOLD * (number + 1).astype(np.uint64))
+        shard = (mix(middle ^ mix(right)) % np.uint64(shards)).astype(np.int32)
+        order = np.argsort(shard, kind="stable")
+        rows = [(int(shard[order[a]]), packed(*(x[order[a:b]] for x in (middle, name, right, count)))) for a, b in _runs(shard[order])]
+        yield pa.RecordBatch.from_pydict({"shard": pa.array([r[0] for r in rows], pa.int32()), "pairs": pa.array([r[1] for r in rows], pa.binary())})
+
+    def run(batches):
+        words, held, train, n = Ids(), [], [], 0
+        for batch in batches:
+            for out, t in zip(batch.column(0).to_pylist(), octets(batch, 1)):
+                w = t.lower().split()
+                x = np.empty(len(w) + 3, np.int32)
+                x[0], x[-2], x[-1] = 0, 1, 2
+                x[1:-2] = np.fromiter(map(words.__getitem__, w), np.int32, len(w))
+                held.append(x)
+                train.append(not out)
+                n += len(x)
+                if n >= CHUNK:
+                    yield from flush(words, held, train)
+                    trim()
+                    words, held, train, n = Ids(), [], [], 0
+        if held:
+            yield from flush(words, held, train)
+        del held, words
+        trim()
+
+    return run
+
+
+HOT = pa.schema([("shard", pa.int32()), ("pairs", pa.binary()), ("h", pa.int64()), ("total", pa.int64()), ("types", pa.int64())])
+
+
+def _merge_hot(shards: int):
+    """Reduce side: whole counts of bigrams, for the shards of the classes that hold them, and what follows each middle in sum (h, total, types)."""
+
+    def run(t: pa.Table) -> pa.Table:
+        middle, name, right, count = (np.concatenate(x) for x in zip(*map(unpacked, t["pairs"].to_pylist())))
+        order = np.lexsort((name, right, middle))
+        middle, name, right, count = middle[order], name[order], right[order], count[order].astype(np.int64)
+        new = np.concatenate([[True], (middle[1:] != middle[:-1]) | (right[1:] != right[:-1])])
+        first = np.flatnonzero(new)
+        whole = np.add.reduceat(count, first)
+        hs, to_h = np.unique(middle[first], return_inverse=True)
+        total, types = np.bincount(to_h, whole).astype(np.int64), np.bincount(to_h, whole > 0).astype(np.int64)
+        asked = new | np.concatenate([[True], name[1:] != name[:-1]])
+        c2 = whole[np.cumsum(new) - 1]
+        asked = np.flatnonzero(asked & (c2 > 0))
+        name, right, c2 = name[asked], right[asked], c2[asked]
+        shard = (mix(name) % np.uint64(shards)).astype(np.int32)
+        order = np.argsort(shard, kind="stable")
+        rows = [(int(shard[order[a]]), packed(*(x[order[a:b]] for x in (name, right, c2))), None, None, None) for a, b in _runs(shard[order])]
+        rows += [(None, None, *x) for x in zip(hs.astype(np.int64).tolist(), total.tolist(), types.tolist())]
+        return pa.table([pa.array([r[i] for r in rows], HOT.field(i).type) for i in range(5)], schema=HOT)
+
+    return run
+
+
 PART = pa.schema([("chunk", pa.int64()), ("sums", pa.binary()), ("header", pa.binary())])
 
 
-def _shard(total: int, distinct: int, hot_counts: dict[int, int], classes: dict[int, int], discount: float):
-    """Reduce side: a trie of the shard's training trigrams, looked up for all of them; sums per chunk and document."""
-    # Hashes of split words' classes, to their words' counts.
-    split = {int(x): hot_counts[h] for h, k in classes.items() for x in mix(np.uint64(h) + GOLD * np.arange(1, k + 1, dtype=np.uint64)).tolist()}
+def _shard(total: int, distinct: int, hot: dict[int, tuple[int, int, int]], classes: dict[int, int], discount: float):
+    """Reduce side: a trie of the shard's training trigrams, looked up for all of them; sums per chunk and document. hot: hash to count, tokens that follow, distinct ones."""
+    # Hashes of split words' classes, to what is known of their words.
+    split = {int(x): hot[h] for h, k in classes.items() for x in mix(np.uint64(h) + GOLD * np.arange(1, k + 1, dtype=np.uint64)).tolist()}
     room = np.log10(total + distinct + 1) if total else 0.0
 
     def run(t: pa.Table) -> pa.Table:
@@ -170,11 +245,15 @@ def _shard(total: int, distinct: int, hot_counts: dict[int, int], classes: dict[
             mi, li, ri = mi[at], li[at], ri[at]
             ended, begins = rs[ri] == np.uint64(AFTER), ls[li] == np.uint64(BEFORE)
             seen = np.flatnonzero(c > 0)
-            trie = Trie.mapped(Trie.build(mi[seen], li[seen], ri[seen], c[seen], ended[seen], (len(ms), nl, nr), discount))
+            whole = None
+            if parted := [(i, *split[x]) for i, x in enumerate(ms.tolist()) if x in split]:
+                pairs = [unpacked(x) for x in t["hot"].to_pylist() if x is not None]
+                name, r, c2 = (np.concatenate(x) for x in zip(*pairs)) if pairs else np.zeros((3, 0), np.uint64)
+                pair = np.searchsorted(ms, name) * nr + np.searchsorted(rs, r)
+                by = np.argsort(pair)
+                whole = (*np.array(parted, np.int64).T, pair[by], c2[by])
+            trie = Trie.mapped(Trie.build(mi[seen], li[seen], ri[seen], c[seen], ended[seen], (len(ms), nl, nr), discount, whole))
             found, alone, count = trie.score(mi, li, ri, begins, ended)
-            if split:
-                whole = np.array([split.get(x, 0) for x in ms.tolist()], np.int64)[mi]
-                count = np.where(whole > 0, whole, count)
             base = np.log10(count + 1.0) - room
             found = (found + np.where(alone, base, 0.0))[inverse]
             base, known = base[inverse], (count > 0)[inverse]
@@ -216,7 +295,13 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     most = max(1000, total // (2 * shards))
     hot = {r["h"] % (1 << 64): r["n"] for r in words.filter(F.col("n") > most).collect()}  # 2 * shards words at most
     classes = {h: -(-n // most) + 1 for h, n in hot.items()}
-    sent = rows.mapInArrow(_send(shards, classes), "shard int, chunk long, trigrams binary, header binary")
+    sent = rows.mapInArrow(_send(shards, classes), "shard int, chunk long, trigrams binary, header binary").withColumn("hot", F.lit(None).cast("binary"))
+    if hot:
+        merged = rows.select("held_out", "text").mapInArrow(_send_hot(shards, classes), "shard int, pairs binary").groupBy("shard")
+        merged = written(merged.applyInArrow(_merge_hot(shards), "shard int, pairs binary, h long, total long, types long"), "hot")
+        follow = {r["h"] % (1 << 64): (r["total"], r["types"]) for r in merged.filter("shard is null").groupBy("h").agg(F.sum("total").alias("total"), F.sum("types").alias("types")).collect()}
+        hot = {h: (n, *follow.get(h, (0, 0))) for h, n in hot.items()}
+        sent = sent.unionByName(merged.filter("shard is not null").select("shard", F.col("pairs").alias("hot")), allowMissingColumns=True)
     parts = sent.groupBy("shard").applyInArrow(_shard(total, distinct, hot, classes, discount), "chunk long, sums binary, header binary")
     return parts.groupBy("chunk").applyInArrow(_sum_up(total), SCORES)
 

@@ -163,6 +163,26 @@ def test_split_words_keep_counts(spark):
         assert r.base_score < r.score < 0
 
 
+def test_split_words_score_as_unsplit_ones(spark):
+    """Bigrams and contexts of hot words are whole, whatever the number of shards."""
+    rng = random.Random(11)
+    rows = [(i, " ".join(f"w{rng.randrange(300)} the of r{int(rng.expovariate(0.05))}" for _ in range(30))) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got, shards = {}, spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (1, 4, 16):  # with one shard no word is more than half of the tokens, so none is split
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got[n] = {r.doc_id: r for r in ngram_lm.score(df, F.col("doc_id") % 5 == 2).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", shards)
+    for i, t in rows:
+        a = got[1][i]
+        for n in (4, 16):
+            b = got[n][i]
+            assert (a.n_known, a.n_tokens, round(a.base_score, 9)) == (b.n_known, b.n_tokens, round(b.base_score, 9))
+            assert abs(a.score - b.score) < 0.01 * a.n_tokens, (n, i, a.score, b.score)  # 8-bit probabilities
+
+
 def test_trie_round_trip(tmp_path):
     import numpy as np
 
