@@ -1,7 +1,7 @@
 """Personal data: patterns propose spans, checksums confirm them, context words move the score.
 
 Kinds, in the order of results: email, ip, card, phone (base kinds), then iban
-(mod-97) and ssn. A base span stays whatever its score; an added span stays if its score reaches
+(mod-97, at the length of its country) and ssn. A base span stays whatever its score; an added span stays if its score reaches
 `min_score`. Offsets are code points, end exclusive.
 
 Defined cases: a null or empty text has no spans; rows with equal or null ids are
@@ -27,7 +27,16 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+IBAN = re.compile(r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}))")
+#: Characters of an account number by country; of other countries, each end before a blank is tried.
+IBAN_LENGTHS = {
+    c: n
+    for n, codes in {
+        15: "NO", 16: "BE", 18: "DK FK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+        24: "AD CZ DZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV HN", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in codes.split()
+}
 SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 NOT_DIGIT = re.compile(r"[^0-9]+")
 
@@ -69,6 +78,28 @@ def emails(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def ibans(text: str) -> list[tuple[int, int]]:
+    """Spans that mod-97 confirms: of the country's length, or of the longest end that no letter or digit follows."""
+    out, done = [], 0
+    for m in IBAN.finditer(text):
+        if m.start() < done:
+            continue
+        run, full = m[1], IBAN_LENGTHS.get(m[1][:2])
+        length = 0
+        ends = []
+        for i, c in enumerate(run, 1):
+            length += c != " "
+            after = text[m.start() + i : m.start() + i + 1]
+            if c != " " and not (after.isascii() and after.isalnum()) and (length == full if full else 15 <= length <= 34):
+                ends.append(i)
+        for i in reversed(ends):
+            if mod97(run[:i]):
+                done = m.start() + i
+                out.append((m.start(), done))
+                break
+    return out
+
+
 def found(text: str, min_score: float = 0.5) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, score), by kind, then start."""
     spans: list[tuple[str, int, int]] = [("email", *s) for s in emails(text)]
@@ -79,7 +110,7 @@ def found(text: str, min_score: float = 0.5) -> list[tuple[str, int, int, float]
             spans.append(("card", *m.span()))
     if "+" in text:
         spans += [("phone", *m.span()) for m in PHONE.finditer(text) if 9 <= len(NOT_DIGIT.sub("", m[0])) <= 15]
-    spans += [("iban", *m.span()) for m in IBAN.finditer(text) if 15 <= len(m[0].replace(" ", "")) <= 34 and mod97(m[0])]
+    spans += [("iban", *s) for s in ibans(text)]
     if "-" in text:
         spans += [("ssn", *m.span()) for m in SSN.finditer(text)]
     out = []

@@ -50,6 +50,21 @@ def test_pii_added_kinds_and_context():
     assert pii.redacted("write a@b.cd or +49 30 1234567!") == "write <EMAIL> or <PHONE>!"
 
 
+def test_ibans_before_other_capitals():
+    ibans = lambda t: [t[a:b] for k, a, b, _ in pii.found(t) if k == "iban"]
+    spaced, plain = "DE89 3704 0044 0532 0130 00", "DE89370400440532013000"
+    for t in (f"{spaced} BIC COBADEFF", f"{spaced} 12", f"AB12 CDEF 3456 7890 {spaced}"):
+        assert ibans(t) == [spaced], t
+    for t in (f"{plain} EUR", f"{plain} I said", f"{plain} Is it", f"pay {plain}", f"{plain}é"):
+        assert ibans(t) == [plain], t
+    assert ibans(f"{spaced} {plain} NO9386011117947 X") == [spaced, plain, "NO9386011117947"]
+    assert ibans(f"{plain}0") == ibans(f"X{plain}") == ibans(f"{plain}x") == []
+    # A country without a known length.
+    unknown = next(x for k in range(100) if pii.mod97(x := f"ZZ{k:02} 1234 5678 9012 345"))
+    assert ibans(f"{unknown} BIC AB") == [unknown]
+    assert pii.redacted(f"{plain} EUR") == "<IBAN> EUR"
+
+
 # BPE
 
 
