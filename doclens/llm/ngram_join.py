@@ -14,7 +14,8 @@ the Jaccard similarity of their sets is at least num/den.
    connect sets to families; linked sets are always in one.
 3. A family of at most `FAMILY` nodes and `ELEMENTS` shingles is settled within one task, exactly: bitmaps bound
    two sets' difference from below, and what they leave is compared in full unless it is connected already.
-4. A larger family is settled by comparing with hubs, in rounds of joins. Let u and v have been compared with a hub c, and differ from it by du and dv.
+4. A larger family is settled by comparing with hubs, in rounds of joins. Sets behind a block's hub are compared with the hubs of all its large buckets, too, so any two sets of a bucket
+   have one in common. Let u and v have been compared with a hub c, and differ from it by du and dv.
    If u and v link and not both link with c, du and dv overlap in more than a known number of elements. Prefixes of du and dv, elements that c lacks first, therefore share
    an element; (c, element) is a new, smaller bucket with a hub of its own. No pair is compared twice, so this ends; no partner is capped.
 5. Groups are the connected components of the links.
@@ -419,10 +420,12 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     members = both.filter(F.col("kind") == MEMBER).select("doc_id", F.col("n").alias("n_shingles"), F.col("u").alias("node"))
     pairs = both.filter(F.col("kind") == PAIR).groupBy("u", "c").agg(F.sum("x").alias("times"), F.min("y").alias("need")).filter("times >= need").select("u", "c", F.lit(False).alias("star"))
     large = both.filter(F.col("kind") == LARGE).select("u", F.col("c").alias("bucket"), "x", "y")
+    forced = large.filter("y = 1").select(F.col("u").alias("local"), "bucket").distinct()
     poor = large.groupBy("u").agg(F.count("*").alias("lost"), F.min("x").alias("spare"), F.max("y").alias("forced")).filter("lost > spare or forced = 1").select("u")
     poor = large.join(poor, "u", "left_semi").select("u", "bucket")
     hubs = poor.groupBy("bucket").agg(F.min("u").alias("c"))
-    stars_ = poor.join(hubs, "bucket").select("u", "c").unionByName(both.filter(F.col("kind") == STAR).select("u", "c")).filter("u <> c").distinct()
+    behind = both.filter(F.col("kind") == STAR).select("u", "c")
+    stars_ = poor.join(hubs, "bucket").select("u", "c").unionByName(behind).filter("u <> c").distinct()
     pairs = written(pairs.unionByName(stars_.withColumn("star", F.lit(True))).groupBy("u", "c").agg(F.bool_or("star").alias("star")), "candidates")
 
     # Sets of the nodes that have candidates, from one document of each.
@@ -455,6 +458,10 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     if large.isEmpty():
         return members, written(roots, "roots")
     rest = edges.select(F.col("a").alias("u"), F.col("b").alias("c")).join(large.withColumnRenamed("node", "u"), "u", "left_semi")
+    # A set behind a block's hub was not sent with its bucket: it meets the hub of each bucket in which it may stand.
+    above = forced.join(hubs, "bucket").select("local", "c").filter("local <> c").distinct()
+    met = behind.withColumnRenamed("c", "local").join(large.withColumnRenamed("node", "u"), "u", "left_semi").join(above, "local").select("u", "c")
+    rest = rest.unionByName(met).filter("u <> c").distinct()
     links = by_hubs(rest, sets.select("node", "set").join(large, "node", "left_semi"), num, den)
     return members, written(roots.unionByName(components(links)), "roots")
 

@@ -95,6 +95,28 @@ def test_buckets_direct_and_stars():
     assert ngram_join.distinct_pairs([ngram_join.stars(nodes, first, size, size > 2)])[0].tolist() == [[2, 1], [3, 1]]
 
 
+def test_large_families_over_several_blocks(spark, monkeypatch):
+    """Linked sets of two blocks whose only shared signatures are those of one large bucket, as links of a large family."""
+    monkeypatch.setattr(ngram_join, "LOCAL", 2)
+    monkeypatch.setattr(ngram_join, "CHUNK", 120)
+    base, one, two = [f"w{i}" for i in range(20)], [], []
+    part = lambda w: (int(ngram_join.shingle_set(" ".join(w).encode(), 4)[0]) >> 32) * 9 >> 32
+    sig = lambda t: set(ngram_join.signatures(ngram_join.shingle_set(t.encode(), 4), ngram_join.Bands(85, 100))[0].tolist())
+    names = (f"x{i}" for i in range(10**6))
+    for _ in range(24):
+        own = base
+        for _ in range(6):  # what only u and v hold stands in the first of three pieces, where they differ in two parts
+            own = [next(x for x in names if part([x, *own[:3]]) < 3), *own]
+        one.append(" ".join([*own, next(x for x in names if part([*own[-3:], x]) == 0)]))
+        two.append(" ".join([*own, next(x for x in names if part([*own[-3:], x]) == 1)]))
+    common = sig(one[0]) & sig(one[1])
+    assert all(common and sig(u) & sig(v) == common for u, v in zip(one, two))
+    rows = list(enumerate([*one, *two]))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(2, "doc_id")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.groups(df, size=4, num=85, den=100, family=2).collect())
+    assert got == brute_groups(rows, 4, 85, 100)
+
+
 def test_groups_of_odd_rows(odd, none):
     got = ngram_join.groups(odd, size=4, num=85, den=100)
     rows = [(i, t) for i, t, _ in ODD]
