@@ -2,12 +2,11 @@
 
 Every DOM node has its characters, tags, and the same within links. Its density is
 characters per tag, scaled down by the share of link text; a node's sum is its children's densities together. The least density on the path
-from the node of greatest sum up to the body is the threshold: nodes below it are noise. The
-node of greatest sum among those that reach it is the article.
+from the node of greatest sum up to the body is the threshold. That node, and of each block beside its path that reaches the threshold the
+node of greatest sum, are the text; blocks below it are noise.
 
-Subtrees that their element, role, class or id names as menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles or reader comments are cut before the densities are computed, and an <article> or <main> is preferred where
-one holds text.
+Densities are computed with links and navigation in place. Subtrees that their element, role, class or id names as menus, headers, footers, sidebars, notices,
+adverts, forms or reader comments are no text, whatever their density; scripts and styles aren't parsed. An <article> or <main> is a hint only: it stands for a node of greatest sum within it.
 
 Defined cases: null, empty and text-free pages give an empty text; unclosed and misnested tags are
 closed as browsers do for paragraphs, list items and table cells; repeated rows are treated one by
@@ -52,7 +51,7 @@ SCOPE = frozenset("ul ol dl table div article section main body html td th block
 
 
 class Node:
-    __slots__ = ("tag", "noise", "kids", "parent", "chars", "tags", "link_chars", "link_tags", "density", "total", "main")
+    __slots__ = ("tag", "noise", "kids", "parent", "chars", "tags", "link_chars", "link_tags", "density", "total", "main", "kept")
 
     def __init__(self, tag: str, parent: Node | None, noise: bool = False):
         self.tag, self.parent, self.noise, self.kids = tag, parent, noise, []
@@ -124,19 +123,22 @@ def parse(page: str) -> Node:
 
 
 def walk(root: Node) -> list[Node]:
-    """Kept nodes, parents first."""
+    """All nodes, parents first."""
     out, i = [root], 0
     while i < len(out):
-        out += [k for k in out[i].kids if isinstance(k, Node) and not k.noise]
+        out += [k for k in out[i].kids if isinstance(k, Node)]
         i += 1
     return out
 
 
 def measure(root: Node) -> list[Node]:
+    """All nodes with their densities; kept is what a node has of text outside noise."""
     nodes = walk(root)
     for n in reversed(nodes):
-        kids = [k for k in n.kids if isinstance(k, Node) and not k.noise]
-        n.chars = sum(len(k.strip()) for k in n.kids if isinstance(k, str)) + sum(k.chars for k in kids)
+        kids = [k for k in n.kids if isinstance(k, Node)]
+        own = sum(len(k.strip()) for k in n.kids if isinstance(k, str))
+        n.chars = own + sum(k.chars for k in kids)
+        n.kept = 0 if n.noise else own + sum(k.kept for k in kids)
         n.tags = sum(1 + k.tags for k in kids)
         link = n.tag == "a"
         n.link_chars = n.chars if link else sum(k.link_chars for k in kids)
@@ -155,29 +157,56 @@ def measure(root: Node) -> list[Node]:
     return nodes
 
 
-def article(root: Node) -> Node | None:
-    nodes = [n for n in measure(root) if n.chars]
-    if not nodes:
-        return None
-    named = [n for n in nodes if n.main]
-    pool = [n for n in nodes if any(n is m or inside(n, m) for m in named)] if named else nodes
-    best = max(pool, key=lambda n: n.total)
-    node, least = best, best.density
-    while node is not None and node.tag not in ("body", "html"):
-        least = min(least, node.density)
-        node = node.parent
-    best = max((n for n in pool if n.density >= least), key=lambda n: n.total)
-    while named and not best.main and best.parent is not None:  # a block of the article stands for all of it
-        best = best.parent
-    while not named and best.parent is not None and best.tag not in ("body", "html") and (best.tag in INLINE or best.tag == "p" or best.parent.chars == best.chars):
-        best = best.parent
+def densest(root: Node) -> Node:
+    """The node of greatest sum in a subtree, outside noise; the first of equal ones."""
+    best, stack = root, [root]
+    while stack:
+        n = stack.pop()
+        if n.total > best.total:
+            best = n
+        stack += [k for k in reversed(n.kids) if isinstance(k, Node) and k.kept]
     return best
 
 
-def inside(n: Node, outer: Node) -> bool:
-    while n is not None and n is not outer:
+def raised(n: Node, top: Node | None) -> Node:
+    """The <article> or <main> around a node, or what holds the same text, or the block of an inline; within top."""
+    outer = n
+    while outer is not None and not outer.main and outer is not top:
+        outer = outer.parent
+    if outer is not None and outer.main:
+        return outer
+    while n is not top and n.parent is not None and n.tag not in ("body", "html") and (n.tag in INLINE or n.tag == "p" or n.parent.kept == n.kept):
         n = n.parent
-    return n is not None
+    return n
+
+
+def article(root: Node) -> list[Node]:
+    """The subtrees that are the text, in order."""
+    measure(root)
+    if not root.kept:
+        return []
+    found = densest(root)
+    node, least = found, found.density
+    while node is not None and node.tag not in ("body", "html"):
+        least = min(least, node.density)
+        node = node.parent
+    best = raised(found, None)
+    path, node = set(), best.parent
+    while node is not None:
+        path.add(node)
+        node = node.parent
+    out, stack = [], [root]
+    while stack:
+        n = stack.pop()
+        if n is best:
+            out.append(n)
+        elif n in path:
+            stack += [k for k in reversed(n.kids) if isinstance(k, Node) and k.kept and (k is best or k in path or k.tag not in INLINE)]
+        elif n.density >= least > 0:
+            out.append(raised(densest(n), n))
+        else:  # a wrapper of many tags may hold a dense block
+            stack += [k for k in reversed(n.kids) if isinstance(k, Node) and k.kept and k.tag not in INLINE]
+    return out
 
 
 def blocks(node: Node) -> list[str]:
@@ -213,9 +242,7 @@ def blocks(node: Node) -> list[str]:
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    root = parse(page)
-    best = article(root)
-    return "\n\n".join(blocks(best)) if best is not None else ""
+    return "\n\n".join(b for n in article(parse(page)) for b in blocks(n))
 
 
 def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

@@ -111,6 +111,20 @@ def test_html_cases(page, text):
     assert html.main_text(page) == text
 
 
+SENTENCES = [f"Paragraph {i} of the text tells at some length what there is to be told of its subject." for i in range(6)]
+
+
+def test_html_density_selects():
+    body = "".join(f"<p>{s}</p>" for s in SENTENCES)
+    text = "\n\n".join(SENTENCES)
+    links = "<div><ul>" + "".join(f"<li><a href=/{i}>page {i}</a></li>" for i in range(20)) + "</ul></div>"
+    # A small teaser in an <article> doesn't displace the text in a <div>, and a list of links without a name is noise.
+    assert html.main_text(f"<body>{links}<div>{body}</div><article><p><a href=x>More</a></p></article>{links}</body>") == text
+    # Each of several blocks that reach the threshold is kept.
+    for tag in ("article", "div"):
+        assert html.main_text(f"<body>{links}<div><{tag}>{body}</{tag}>{links}<{tag}>{body}</{tag}></div></body>") == f"{text}\n\n{text}"
+
+
 # Language ID
 
 
