@@ -6,7 +6,7 @@ from the node of greatest sum up to the body is the threshold. That node, and of
 node of greatest sum, are the text; blocks below it are noise.
 
 Densities are computed with links and navigation in place. Subtrees that their element, role, class or id names as menus, headers, footers, sidebars, notices,
-adverts, forms or reader comments are no text, whatever their density; scripts and styles aren't parsed. An <article> or <main> is a hint only: it stands for a node of greatest sum within it.
+adverts, forms or reader comments are no text, whatever their density, unless they hold <main>, most of the text of articles or most of the page's; headers within an article that hold its heading are kept; scripts and styles aren't parsed. An <article> or <main> is a hint only: it stands for a node of greatest sum within it.
 
 Defined cases: null, empty and text-free pages give an empty text; unclosed and misnested tags are
 closed as browsers do for paragraphs, list items and table cells; repeated rows are treated one by
@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 from doclens.llm.common import arrow_map, table
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.S)
-MARKS = re.compile(r"(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-HIDDEN = re.compile(r"(?<![\w-])hidden(?![\w-])|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+MARKS = frozenset("class id role itemprop".split())
+NONE = re.compile(r"(?<![\w-])display\s*:\s*none", re.I)
 SPACE = re.compile(r"\s+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -39,6 +40,12 @@ NOISE_WORDS = frozenset(
     "share sharing social related recommended comment comments commentlist reply replies respond disqus discussion pagination pager skip toolbar "
     "contentinfo complementary".split()
 )
+#: Words that name noise only as a whole token, and first parts of tokens that tell of noise elsewhere ("has-sidebar").
+WHOLE_ONLY = frozenset("side".split())
+TELLS = frozenset("has with without no not is show hide hidden".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements and roles whose plain text may be most of a page's and still be none of its main text.
+MENUS = frozenset("nav footer menu button head".split())
 KEEP = frozenset("html body article main".split())
 #: A start tag in the key closes open elements of the value, up to the nearest that stands in SCOPE.
 P_ENDS = "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul li dd dt".split()
@@ -58,21 +65,50 @@ class Node:
         self.main = tag in ("article", "main")
 
 
+def names_noise(token: str) -> bool:
+    """A class or id, as a whole or by its first or last part."""
+    parts = [x for x in re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", token).lower()) if x]
+    if len(parts) < 2:
+        return bool(parts) and parts[0] in NOISE_WORDS
+    return parts[0] not in TELLS and any(x in NOISE_WORDS and x not in WHOLE_ONLY for x in (parts[0], parts[-1]))
+
+
 def is_noise(tag: str, attributes: str) -> bool:
     if tag in NOISE:
         return True
     if not attributes or tag in KEEP:
         return False
-    if HIDDEN.search(attributes):
-        return True
-    for m in MARKS.finditer(attributes):
-        if not NOISE_WORDS.isdisjoint(re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", m[1] or m[2] or m[3] or "").lower())):
+    for m in ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name == "hidden" or name == "style" and NONE.search(value) or name == "aria-hidden" and value.strip().lower() == "true":
+            return True
+        if name == "aria-label" and value.strip().lower() in NOISE_WORDS or name in MARKS and any(map(names_noise, value.split())):
             return True
     return False
 
 
+def spare_content(root: Node) -> None:
+    """What was named noise but holds most of the page's plain text (outside links, menus and footers), <main>, or most of what stands in articles, is none; nor is an article's header with its heading."""
+    nodes = walk(root)
+    plain, named, mains, heads = {}, {}, set(), set()
+    for n in reversed(nodes):
+        kids = [k for k in n.kids if isinstance(k, Node)]
+        plain[n] = 0 if n.tag == "a" or n.tag in MENUS else sum(len(k.strip()) for k in n.kids if isinstance(k, str)) + sum(plain[k] for k in kids)
+        named[n] = plain[n] if n.tag == "article" else sum(named[k] for k in kids)
+        if n.tag == "main" or any(k in mains for k in kids):
+            mains.add(n)
+        if n.tag in HEADINGS or any(k in heads for k in kids):
+            heads.add(n)
+    within = set()
+    for n in nodes:
+        if n.main or n.parent in within:
+            within.add(n)
+        if n.noise and (n in mains or 2 * plain[n] > plain[root] or 2 * named[n] > named[root] or n.tag == "header" and n in heads and n in within):
+            n.noise = False
+
+
 def parse(page: str) -> Node:
-    """The tree; text stands in it as strings. Headers within an article that hold its heading are kept."""
+    """The tree; text stands in it as strings."""
     root = top = Node("html", None)
     at, size = 0, len(page)
     while at < size:
@@ -119,6 +155,7 @@ def parse(page: str) -> Node:
         top.kids.append(node)
         if not attributes.endswith("/") or tag not in INLINE:
             top = node
+    spare_content(root)
     return root
 
 

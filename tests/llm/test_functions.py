@@ -125,6 +125,19 @@ def test_html_density_selects():
         assert html.main_text(f"<body>{links}<div><{tag}>{body}</{tag}>{links}<{tag}>{body}</{tag}></div></body>") == f"{text}\n\n{text}"
 
 
+def test_html_names_that_are_no_noise():
+    text, body = "\n\n".join(SENTENCES), "".join(f"<p>{s}</p>" for s in SENTENCES)
+    for attributes in ('style="overflow:hidden"', 'title="the hidden city"', 'class="entry-content has-sidebar"', 'class="post with-comments"', 'class="side-by-side"', 'class="comment search"', 'aria-label="Search and comments"'):
+        for inner in (body, f"<article>{body}</article>"):
+            assert html.main_text(f"<body><nav>menu</nav><div {attributes}>{inner}</div><footer>f</footer></body>") == text, attributes
+    assert html.main_text(f"<body><form action=x>{body}<input></form></body>") == text
+    assert html.main_text(f"<body><header>site</header><article><header><h1>Title</h1></header>{body}</article></body>") == f"Title\n\n{text}"
+    # Half of the text in a part with such a mark, so that only the name tells.
+    for attributes, kept in (('style="overflow:hidden"', True), ('title="the hidden city"', True), ('class="no-sidebar"', True), ('class="side-by-side"', True), ("hidden", False), ('style="color:red; display: none"', False), ('class="main-sidebar"', False), ('class="ad-box"', False), ("id=comments", False)):
+        part = f"<div {attributes}><p>{SENTENCES[0]}</p></div>"
+        assert (SENTENCES[0] in html.main_text(f"<body><article>{''.join(f'<p>{s}</p>' for s in SENTENCES[1:])}{part}</article></body>")) == kept, attributes
+
+
 # Language ID
 
 
