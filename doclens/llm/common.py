@@ -107,6 +107,12 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return mix(h + np.uint64(size))
 
 
+def runs_of(values: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Where runs of equal values begin and end."""
+    at = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, int)
+    return zip(at.tolist(), [*at[1:].tolist(), len(values)])
+
+
 def trim() -> None:
     """Hands memory that a worker no longer needs back to the system, where the C library can."""
     pa.default_memory_pool().release_unused()

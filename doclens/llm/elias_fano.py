@@ -20,7 +20,7 @@ class EliasFano:
         unary = np.unpackbits(high, bitorder="little")
         #: Number of values below each value of the high bits.
         zeros = np.flatnonzero(unary == 0)
-        self.begin = np.concatenate([[0], zeros - np.arange(len(zeros))]).astype(np.int64)
+        self.begin = np.concatenate([[0], zeros - np.arange(len(zeros))]).astype(np.uint32 if n < 1 << 32 else np.int64)
         self._ones: np.ndarray | None = None
 
     @staticmethod
@@ -53,13 +53,14 @@ class EliasFano:
 
     def __getitem__(self, i: np.ndarray) -> np.ndarray:
         if self._ones is None:
-            self._ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n].astype(np.int64)
-        return ((self._ones[i] - i) << self.bits) | self.lows(i).astype(np.int64)
+            ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
+            self._ones = ones.astype(np.uint32 if len(self.high) < 1 << 29 else np.int64)
+        return ((self._ones[i].astype(np.int64) - i) << self.bits) | self.lows(i).astype(np.int64)
 
     def find(self, x: np.ndarray) -> np.ndarray:
         """Index of each value, -1 where it isn't: a bucket of the high bits, then binary search among its low bits."""
         top, want = x >> self.bits, (x & ((1 << self.bits) - 1)).astype(np.uint64)
-        lo, hi = self.begin[top], self.begin[top + 1]
+        lo, hi = self.begin[top].astype(np.int64), self.begin[top + 1].astype(np.int64)
         end, out = hi.copy(), np.full(len(x), -1, np.int64)
         live = np.flatnonzero(lo < hi)
         while len(live):
@@ -74,11 +75,14 @@ class EliasFano:
         return out
 
 
-def quantised(x: np.ndarray) -> tuple[np.ndarray, float, float]:
-    """8-bit codes on an even grid: (codes, least value, step)."""
-    low, high = (float(x.min()), float(x.max())) if len(x) else (0.0, 0.0)
-    step = (high - low) / 255 or 1.0
-    return np.rint((x - low) / step).astype(np.uint8), low, step
+#: Probabilities are held as 16-bit multiples of this part of log10, on one grid for all tries: what a shard holds doesn't move it.
+STEP = 2.0**-12
+
+
+def quantised(p: np.ndarray) -> np.ndarray:
+    """-log10 of probabilities, in steps."""
+    with np.errstate(divide="ignore"):
+        return np.clip(np.rint(-np.log10(p) / STEP), 0, 65535).astype(np.uint16)
 
 
 class Trie:
@@ -95,7 +99,7 @@ class Trie:
     def __init__(self, buffer):
         size = int.from_bytes(bytes(buffer[:8]), "little")
         head = json.loads(bytes(buffer[8 : 8 + size]))
-        self.n, self.grid = head["n"], head["grid"]
+        self.n = head["n"]
         part = lambda k: np.frombuffer(buffer, np.dtype(head["at"][k][2]), head["at"][k][1], head["at"][k][0])
         for k in self.ARRAYS:
             setattr(self, k, part(k))
@@ -107,7 +111,7 @@ class Trie:
     def build(m: np.ndarray, left: np.ndarray, r: np.ndarray, c: np.ndarray, ended: np.ndarray, n: tuple[int, int, int], discount: float = 0.75, whole: tuple[np.ndarray, ...] | None = None) -> bytes:
         """Distinct training trigrams as ids below n = (middles, lefts, rights), in order of (m, left, r), and their counts. ended: nothing follows; r is then no word.
 
-        whole: of middles that stand here in part only, (middles, counts, tokens that follow, distinct ones) and their bigrams (m * rights + r, in order; counts).
+        whole: of middles that stand here in part only, (middles, counts, which are the tokens that follow, too; distinct ones that follow) and their bigrams (m * rights + r, in order; counts).
         """
         nm, nl, nr = n
         count = np.bincount(m, c, nm).astype(np.int64)
@@ -130,9 +134,9 @@ class Trie:
         degree = np.bincount(pm, minlength=nm)
         total2, types2 = np.bincount(pm, c2, nm), degree
         if whole:
-            wm, wcount, wtotal, wtypes = of_middles
+            wm, wcount, wtypes = of_middles
             types2 = degree.copy()
-            count[wm], total2[wm], types2[wm] = wcount, wtotal, wtypes
+            count[wm], total2[wm], types2[wm] = wcount, wcount, wtypes
         p2 = (c2 - discount) / total2[pm] if len(pairs) else np.zeros(0)
         start = np.concatenate([[0], np.cumsum(degree)])
         base = np.concatenate([[0], np.cumsum(degree[contexts // nl])]) if len(contexts) else np.zeros(1, np.int64)
@@ -142,18 +146,18 @@ class Trie:
         ctx = back[goes]
         third = base[ctx] + to_pair - start[m[goes]]
         p3 = (c[goes] - discount) / total3[ctx] + b3[ctx] * p2[to_pair] if len(ctx) else np.zeros(0)
-        codes = {k: quantised(np.log10(v)) for k, v in (("p2", p2), ("b2", b2), ("p3", p3), ("b3", b3))}
+        codes = {k: quantised(v) for k, v in (("p2", p2), ("b2", b2), ("p3", p3), ("b3", b3))}
         sequences = {"next": (pairs, nm * nr + 1), "context": (contexts, nm * nl + 1), "third": (third, int(base[-1]) + 1), "next_at": (start, len(pairs) + 1), "third_base": (base, int(base[-1]) + 1)}
         parts, ef = {"count": count}, {}
         for k, (v, u) in sequences.items():
             size, bits, parts[k + ".low"], parts[k + ".high"] = EliasFano.encode(v, int(u))
             ef[k] = (size, bits)
-        parts |= {k: v[0] for k, v in codes.items()}
+        parts |= codes
         at, offset = {}, 0
         for k, v in parts.items():
             at[k] = (offset, len(v), v.dtype.str)
             offset += -(-v.nbytes // 8) * 8
-        head = {"n": n, "grid": {k: v[1:] for k, v in codes.items()}, "ef": ef}
+        head = {"n": n, "ef": ef}
         room = -(-(len(json.dumps(head | {"at": {k: (10**12, *v[1:]) for k, v in at.items()}})) + 8) // 8) * 8
         text = json.dumps(head | {"at": {k: (v[0] + room, *v[1:]) for k, v in at.items()}}).encode().ljust(room - 8)
         out = bytearray((room - 8).to_bytes(8, "little") + text + bytes(offset))
@@ -173,17 +177,13 @@ class Trie:
         with open(path, "rb") as f:
             return cls(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
 
-    def value(self, k: str, i: np.ndarray) -> np.ndarray:
-        low, step = self.grid[k]
-        return low + step * getattr(self, k)[i]
-
     def score(self, m: np.ndarray, left: np.ndarray, r: np.ndarray, first: np.ndarray, ended: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For trigrams: (log10 of what the right word has but for its unigram probability if it never followed the middle, whether the middle's own unigram probability counts, the middle's training count).
+        """For trigrams: (-log10, in steps, of what the right word has but for its unigram probability if it never followed the middle, whether the middle's own unigram probability counts, the middle's training count).
 
         first: left is no word, the middle begins a text.
         """
         nm, nl, nr = self.n
-        out = np.zeros(len(m))
+        out = np.zeros(len(m), np.int64)
         context = self.context.find(m * nl + left)
         alone = first | (context < 0)
         pair = np.where(ended, -1, self.next.find(m * nr + np.where(ended, 0, r)))
@@ -202,5 +202,5 @@ class Trie:
         ):
             at = np.flatnonzero(where)
             if len(at):
-                out[at] += self.value(k, index[at])
+                out[at] += getattr(self, k)[index[at]]
         return out, alone, self.count[m]

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doclens.llm.common import WordHashes, arrow_map, mix, octets, packed, shingle_hashes, table, trim, unpacked, written
+from doclens.llm.common import WordHashes, arrow_map, mix, octets, packed, runs_of, shingle_hashes, table, trim, unpacked, written
 from doclens.llm.components import components
 
 #: Signatures that a task gathers before it sends them, and documents of which sets are sent by broadcast at most.
@@ -172,7 +172,7 @@ def _blocks(size: int, num: int, den: int, shards: int):
         order = np.lexsort((owner, shard))
         low, shard, owner, hub = low[order], shard[order], owner[order], hub[order]
         rows: list[tuple] = []
-        for a, b in _runs(shard):
+        for a, b in runs_of(shard):
             o = owner[a:b]
             first = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]]))
             value = packed(o[first], np.array([trait[x] for x in o[first].tolist()], np.uint16), np.diff(np.append(first, b - a)).astype(np.uint32), low[a:b], hub[a:b])
@@ -204,11 +204,6 @@ def _blocks(size: int, num: int, den: int, shards: int):
     return run
 
 
-def _runs(sorted_values: np.ndarray) -> Iterator[tuple[int, int]]:
-    at = np.flatnonzero(np.concatenate([[True], sorted_values[1:] != sorted_values[:-1]])) if len(sorted_values) else np.zeros(0, int)
-    return zip(at.tolist(), [*at[1:].tolist(), len(sorted_values)])
-
-
 #: Rows of the reduce side: members (doc_id, n, u), direct pairs (u, c, times that they share a signature, how often they must), sets of large buckets
 #: (u, c the bucket, what u spares, 1 if u stands for others) and pairs with a hub (u, c).
 MEMBER, PAIR, LARGE, STAR = range(4)

@@ -1,18 +1,23 @@
 """A smoothed trigram model of the corpus, scored on every text of it.
 
-A token of a text is one of its words (lower-cased in ASCII, parted by ASCII white space) or the end. Each token is
-sent once, with its neighbours, to the shard of its word: the trigram in which it stands in the middle. A shard thus holds
-all trigrams of its middle words; it builds an Elias-Fano trie from those of training texts and looks up all of them. Probabilities, by
-absolute discounting (D):
+A token of a text is one of its words (lower-cased in ASCII, parted by ASCII white space) or the end. Each trigram of a text
+goes to the shard of the word in its middle. A shard thus holds all trigrams of its middle words; it builds an Elias-Fano trie from
+those of training texts and looks up all of them. Probabilities, by absolute discounting (D):
 
 * trigram seen: (c3 - D)/c(context) + b3 * p2; context seen only: b3 * (what the bigram gives)
 * bigram seen: p2 = (c2 - D)/c(middle); not: b2 * p1
 * p1 = (c + 1)/(N + V + 1), which is known in the shard of the word itself; it sees, too, whether the bigram was
   seen, and adds it, so no second look-up is needed.
 
-Words that would overfill a shard (more than N / (2 * shards) training tokens; there are 2 * shards of them at most) are
-split by a hash class of the word before them, and no shard grows with one word. Contexts (left, middle) are whole in a class. Bigrams of split
-words are counted beforehand over all classes: counts are merged by (middle, right) and sent to the classes that hold the pair, so scores are those of an unsplit model.
+There is one model, whatever the number of partitions: probabilities lie on one fixed grid, and sums are sums of integers.
+
+What is sent. A task gathers a chunk of tokens, counts its distinct trigrams and sends each of them once, with the numbers of the texts
+that hold it. The `top` most frequent words (a bounded list, with their counts) have short codes; other words' hashes stand in a
+dictionary of the blob. A chunk is bounded, so a trigram, however common, is one entry of a chunk.
+
+Words of more than `split` training tokens are split by a hash class of the word before them; only listed words can be. Contexts (left, middle) are
+whole in a class. Bigrams of split words are counted beforehand over all classes, by (middle, right), and sent to the shards that hold the pair.
+Splitting is a matter of where things lie: scores are those of an unsplit model.
 
 Defined cases: null counts as empty, a text of the end alone; without training texts N = V = 0 and every
 token has probability 1; rows are scored one by one, so repeated ids and texts keep their rows; a null id is not held out; an empty table gives
@@ -30,28 +35,40 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doclens.llm.common import GOLD, crc_mod, mix, octets, packed, table, trim, unpacked, written
-from doclens.llm.elias_fano import Trie
-from doclens.llm.ngram_join import _runs
+from doclens.llm.common import GOLD, crc_mod, mix, octets, packed, runs_of, table, trim, unpacked, written
+from doclens.llm.elias_fano import STEP, Trie
 
 #: Hashes of the end, of what stands before a text and of what stands after it. A word has at least one byte, so none hashes these strings but by chance.
 END, BEFORE, AFTER = (xxhash.xxh64_intdigest(b"\0" + x) for x in (b"end", b"before", b"after"))
-#: Tokens that a task gathers before it sends them, and of a shard at most (about).
-CHUNK, SHARD = 3_000_000, 1_500_000
+#: Tokens and distinct words that a task gathers before it sends them, tokens of a shard (about), and words of the list of codes.
+CHUNK, WORDS, SHARD, TOP = 3_000_000, 1_500_000, 1_500_000, 1 << 18
+#: Base probabilities are summed as integers, in this part of log10, and in two halves, so that no text is too long.
+UNIT, HALF = 2.0**-44, 24
 
 
 def unigrams(training: DataFrame) -> DataFrame:
-    """(h, n): each token's hash and count, of texts in the only column. Counted within tasks first."""
+    """(h, n): each token's hash and count, of texts in the only column. Counted within tasks first, of which each holds a bounded number of words."""
 
     def run(batches):
+        counts: Counter[bytes] = Counter()
+        texts = 0
+
+        def send():
+            h = np.array([*map(xxhash.xxh64_intdigest, counts), END], np.uint64).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(h), pa.array([*counts.values(), texts], pa.int64())], ["h", "n"])
+
         for batch in batches:
-            counts: Counter[bytes] = Counter()
             for t in octets(batch, 0):
                 counts.update(t.lower().split())
-            h = np.array([*map(xxhash.xxh64_intdigest, counts), END], np.uint64).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array([*counts.values(), batch.num_rows], pa.int64())], ["h", "n"])
+                if len(counts) >= WORDS // 4:
+                    yield send()
+                    counts.clear()
+                    texts = 0
+                texts += 1
+        if counts or texts:
+            yield send()
 
-    return training.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    return training.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 0")
 
 
 class Ids(dict):
@@ -60,150 +77,251 @@ class Ids(dict):
         return n
 
 
-def _send(shards: int, hot: dict[int, int]):
-    """Map side: (shard, chunk, trigrams, header). hot: hash to number of classes."""
-    names = ("shard", "chunk", "trigrams", "header")
-    schema = pa.schema([("shard", pa.int32()), ("chunk", pa.int64()), ("trigrams", pa.binary()), ("header", pa.binary())])
-
-    def flush(chunk: int, words: Ids, held: list[np.ndarray], docs: list[tuple]) -> Iterator[pa.RecordBatch]:
-        ids, sizes = np.concatenate(held), np.array([len(x) for x in held])
-        held.clear()
-        h = np.array([BEFORE, END, AFTER, *map(xxhash.xxh64_intdigest, words)], np.uint64)
+class Known:
+    """The list of codes: what stands before, the end, what stands after, then the most frequent words; their training counts; classes of split words (0: whole)."""
+
+    def __init__(self, h: np.ndarray, n: np.ndarray, split: int):
+        self.h, self.n = h, n
+        self.classes = np.where(n > split, -(-n // split) + 1, 0)
+        self.order = np.argsort(h)
+
+    def codes(self, h: np.ndarray) -> np.ndarray:
+        """Of hashes; -1 of those not listed."""
+        at = self.order[np.minimum(np.searchsorted(self.h, h, sorter=self.order), len(self.h) - 1)]
+        return np.where(self.h[at] == h, at, -1)
+
+    def pack(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(codes, the dictionary that they need beside the list, as gaps): of hashes."""
+        codes = self.codes(h)
+        rare, back = np.unique(h[codes < 0], return_inverse=True)
+        codes[codes < 0] = len(self.h) + back
+        return codes.astype(np.uint32), np.diff(rare, prepend=np.uint64(0))
+
+    def hashes(self, gaps: np.ndarray) -> np.ndarray:
+        """Of all codes."""
+        return np.concatenate([self.h, np.cumsum(gaps, dtype=np.uint64)])
+
+
+class Chunk:
+    """Tokens of texts, as numbers of the task's own."""
+
+    def __init__(self, most: int):
+        self.most, self.words, self.held, self.docs, self.size = most, Ids(), [], [], 0
+
+    def add(self, text: bytes) -> int:
+        """The number of its tokens, with the end."""
+        w = text.lower().split()
+        x = np.empty(len(w) + 3, np.int32)
+        x[0], x[-2], x[-1] = 0, 1, 2
+        x[1:-2] = np.fromiter(map(self.words.__getitem__, w), np.int32, len(w))
+        self.held.append(x)
+        self.size += len(x)
+        return len(w) + 1
+
+    @property
+    def full(self) -> bool:
+        return self.size >= self.most or len(self.words) >= WORDS
+
+    def hashes(self) -> np.ndarray:
+        return np.array([BEFORE, END, AFTER, *map(xxhash.xxh64_intdigest, self.words)], np.uint64)
+
+
+def slots(h: np.ndarray, code: np.ndarray, known: Known, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(classes of each word, its first slot, the shard of each slot): a whole word has one slot, a split one a slot for each class."""
+    classes = np.zeros(len(h), np.int64)
+    listed = code < len(known.h)
+    classes[listed] = known.classes[code[listed]]
+    wide = np.maximum(classes, 1)
+    first = np.cumsum(wide) - wide
+    word = np.repeat(np.arange(len(h)), wide)
+    number = (np.arange(len(word)) - first[word]).astype(np.uint64)
+    shard = (mix(h[word] + GOLD * number) % np.uint64(shards)).astype(np.int64)
+    return classes, first, shard
+
+
+def gaps(x: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Differences of values that ascend within runs; the first of a run stands itself."""
+    out = np.diff(x, prepend=0)
+    out[first] = x[first]
+    return out.astype(np.uint32)
+
+
+def ungapped(g: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    total = np.cumsum(g, dtype=np.int64)
+    first = np.cumsum(runs, dtype=np.int64) - runs
+    return total - np.repeat(total[first] - g[first], runs)
+
+
+def halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return x >> HALF, x & (1 << HALF) - 1
+
+
+SENT = pa.schema([("shard", pa.int32()), ("chunk", pa.int64()), ("trigrams", pa.binary()), ("docs", pa.binary()), ("header", pa.binary())])
+
+
+def _send(shards: int, known: Known, room: float, chunk: int):
+    """Map side: (shard, chunk, trigrams, docs, header). Base probabilities of listed words are summed here."""
+    listed = np.rint((np.log10(known.n + 1.0) - room) / -UNIT).astype(np.int64)
+
+    def flush(number: int, c: Chunk) -> Iterator[pa.RecordBatch]:
+        ids, sizes = np.concatenate(c.held), np.array([len(x) for x in c.held])
+        c.held.clear()
+        h = c.hashes()
+        code, rare = known.codes(h), np.zeros(0, np.uint64)
+        new = np.flatnonzero(code < 0)
+        new = new[np.argsort(h[new])]
+        code[new], rare = len(known.h) + np.arange(len(new)), h[new]
+        # What the list tells of each text.
+        start = np.cumsum(sizes) - sizes
+        base, seen = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+        here = code < len(known.h)
+        base[here], seen[here] = listed[code[here]], known.n[code[here]] > 0
+        base[[0, 2]] = seen[[0, 2]] = 0
+        ids_, held_out, n_tokens = zip(*c.docs)
+        valid, train = np.array([i is not None for i in ids_], bool), ~np.array(held_out, bool)
+        header = packed(np.array([i or 0 for i in ids_], np.int64), valid, ~train, np.array(n_tokens, np.int64), *(np.add.reduceat(x[ids], start) for x in (*halves(base), seen)))
+        # Trigrams within a text, by the shard and the code of their middle.
         doc = np.repeat(np.arange(len(sizes), dtype=np.uint32), sizes)
-        # Split words: their place in a list of their own, by the word before them.
-        classes = np.array([hot.get(x, 0) for x in h.tolist()] if hot else np.zeros(len(h)), np.int64)
-        offset = len(h) + np.concatenate([[0], np.cumsum(classes)])[:-1]
-        before = np.concatenate([ids[:1], ids[:-1]])
-        split = np.flatnonzero(classes[ids])
-        of = (mix(h[before[split]]) % classes[ids[split]].astype(np.uint64)).astype(np.int64)
-        own = ids.copy()
-        own[split] = offset[ids[split]] + of
-        del before, split, of
-        spread = np.repeat(np.arange(len(h)), classes)
-        number = np.arange(len(spread)) - (offset - len(h))[spread]
-        h = np.concatenate([h, mix(h[spread] + GOLD * (number + 1).astype(np.uint64))])
-        # Trigrams within a document.
-        ok = doc[2:] == doc[:-2]
-        left, middle, right, doc = ids[:-2][ok], own[1:-1][ok], ids[2:][ok], doc[:-2][ok]
-        del own, ids, ok
-        shard = (mix(h) % np.uint64(shards)).astype(np.int32)[middle]
-        order = np.lexsort((left, middle, shard))
-        shard = shard[order]
-        mark = np.zeros(len(h), np.int64)
-        ids_, held_out, n_tokens = zip(*docs)
-        known = np.array([i is not None for i in ids_], bool)
-        header = packed(np.array([i or 0 for i in ids_], np.int64), known, np.array(held_out, bool), np.array(n_tokens, np.int64))
-        rows = [(chunk % shards, chunk, None, header)]
-        train = ~np.array(held_out, bool)
-        for a, b in _runs(shard):
-            lo, mi, ri, di = (x[order[a:b]] for x in (left, middle, right, doc))
-            first = np.flatnonzero(np.concatenate([[True], mi[1:] != mi[:-1]]))
-            mark[lo] = mark[ri] = 1
-            used = np.flatnonzero(mark)
-            mark[used] = np.arange(len(used))
+        ok = np.flatnonzero(doc[2:] == doc[:-2])
+        classes, first, shard = slots(h, code, known, shards)
+        left, middle = ids[ok], ids[ok + 1]
+        slot = first[middle]
+        split = np.flatnonzero(classes[middle])
+        slot[split] += (mix(h[left[split]]) % classes[middle[split]].astype(np.uint64)).astype(np.int64)
+        own = np.repeat(code, np.maximum(classes, 1))
+        places, place = np.unique(shard << 32 | own, return_inverse=True)
+        bits = max(len(places), len(known.h) + len(new)).bit_length()
+        pairs = None
+        if 3 * bits > 63:  # a text of very many words
+            bits = 31
+            pairs, pair = np.unique(place[slot] << bits | code[left], return_inverse=True)
+            key = pair << bits | code[ids[ok + 2]]
+        else:
+            key = (place[slot] << bits | code[left]) << bits | code[ids[ok + 2]]
+        doc = doc[ok]
+        del ids, ok, left, middle, slot, split
+        order = np.argsort(key, kind="stable")
+        key, doc = key[order], doc[order]
+        del order
+        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        n = np.diff(np.append(at, len(key))).astype(np.uint32)
+        t = np.add.reduceat(train[doc].astype(np.uint32), at)
+        key = key[at]
+        right, pair = key & (1 << bits) - 1, key >> bits
+        if pairs is not None:
+            pair = pairs[pair]
+        left, of = pair & (1 << bits) - 1, places[pair >> bits]
+        middle, to = of & (1 << 32) - 1, of >> 32
+        del key, of, pair
+        rows = [(number % shards, number, None, None, header)]
+        k = len(known.h)
+        for a, b in runs_of(to):
+            x = np.stack([middle[a:b], left[a:b], right[a:b]])
+            beyond = x >= k
+            names, back = np.unique(x[beyond], return_inverse=True)
+            x[beyond] = k + back
+            m, lo, r = x
+            edge = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))
+            e = at[b] if b < len(at) else len(doc)
             value = packed(
-                h[mi[first]], np.diff(np.append(first, b - a)).astype(np.uint32), h[used], mark[lo].astype(np.uint32), mark[ri].astype(np.uint32), di, train[di]
+                np.diff(m[edge], prepend=0).astype(np.uint32), np.diff(np.append(edge, b - a)).astype(np.uint32), gaps(lo, edge), r.astype(np.uint32), n[a:b], t[a:b], np.diff(rare[names - k], prepend=np.uint64(0))
             )
-            mark[used] = 0
-            rows.append((int(shard[a]), chunk, value, None))
+            rows.append((int(to[a]), number, value, packed(doc[at[a] : e]), None))
         for k in range(0, len(rows), 16):
-            yield pa.RecordBatch.from_pydict({n: [r[i] for r in rows[k : k + 16]] for i, n in enumerate(names)}, schema)
+            yield pa.RecordBatch.from_pydict({f.name: [r[i] for r in rows[k : k + 16]] for i, f in enumerate(SENT)}, SENT)
 
     def run(batches):
         from pyspark import TaskContext
 
-        chunk, words, held, docs, n = TaskContext.get().partitionId() << 24, Ids(), [], [], 0
+        number, c = TaskContext.get().partitionId() << 24, Chunk(chunk)
         for batch in batches:
             for i, out, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), octets(batch, 2)):
-                w = t.lower().split()
-                x = np.empty(len(w) + 3, np.int32)
-                x[0], x[-2], x[-1] = 0, 1, 2
-                x[1:-2] = np.fromiter(map(words.__getitem__, w), np.int32, len(w))
-                held.append(x)
-                docs.append((i, out, len(w) + 1))
-                n += len(x)
-                if n >= CHUNK:
-                    yield from flush(chunk, words, held, docs)
+                c.docs.append((i, out, c.add(t)))
+                if c.full:
+                    yield from flush(number, c)
+                    number, c = number + 1, Chunk(chunk)
                     trim()
-                    chunk, words, held, docs, n = chunk + 1, Ids(), [], [], 0
-        if held:
-            yield from flush(chunk, words, held, docs)
-        del held, words
+        if c.held:
+            yield from flush(number, c)
+        del c
         trim()
 
     return run
 
 
-def _send_hot(shards: int, hot: dict[int, int]):
-    """Map side: (shard, pairs), the bigrams of split words with their classes and training counts."""
+def _send_pairs(shards: int, known: Known, chunk: int):
+    """Map side: (shard, pairs), bigrams after split words, each with the shards that hold it and its training count."""
 
-    def flush(words: Ids, held: list[np.ndarray], train: list[bool]) -> Iterator[pa.RecordBatch]:
-        ids, trained = np.concatenate(held), np.repeat(np.array(train, bool), [len(x) for x in held])
-        held.clear()
-        h = np.array([BEFORE, END, AFTER, *map(xxhash.xxh64_intdigest, words)], np.uint64)
-        classes = np.array([hot.get(x, 0) for x in h.tolist()], np.int64)
+    def flush(c: Chunk, train: list[bool]) -> pa.RecordBatch:
+        ids = np.concatenate(c.held)
+        trained = np.repeat(np.array(train, bool), [len(x) for x in c.held])
+        c.held.clear()
+        h = c.hashes()
+        code = known.codes(h)
+        code[code < 0] = len(known.h)
+        classes, first, shard = slots(h, code, known, shards)
         classes[1] = 0  # no word follows the end
-        offset = np.concatenate([[0], np.cumsum(classes)])[:-1]
         at = np.flatnonzero(classes[ids])
-        own = offset[ids[at]] + (mix(h[ids[at - 1]]) % classes[ids[at]].astype(np.uint64)).astype(np.int64)
-        keys, to_key = np.unique(own * len(h) + ids[at + 1], return_inverse=True)
+        middle, right = ids[at], ids[at + 1]
+        target = shard[first[middle] + (mix(h[ids[at - 1]]) % classes[middle].astype(np.uint64)).astype(np.int64)]
+        words, to_word = np.unique(middle, return_inverse=True)
+        keys, to_key = np.unique((to_word * shards + target) * len(h) + right, return_inverse=True)
         count = np.bincount(to_key, trained[at], len(keys)).astype(np.uint32)
-        of, right = keys // len(h), h[keys % len(h)]
-        spread = np.repeat(np.arange(len(h)), classes)
-        middle, number = h[spread][of], of - offset[spread][of]
-        name = mix(middle + GOLD * (number + 1).astype(np.uint64))
-        shard = (mix(middle ^ mix(right)) % np.uint64(shards)).astype(np.int32)
-        order = np.argsort(shard, kind="stable")
-        rows = [(int(shard[order[a]]), packed(*(x[order[a:b]] for x in (middle, name, right, count)))) for a, b in _runs(shard[order])]
-        yield pa.RecordBatch.from_pydict({"shard": pa.array([r[0] for r in rows], pa.int32()), "pairs": pa.array([r[1] for r in rows], pa.binary())})
+        right = h[keys % len(h)]
+        middle, target = h[words[keys // len(h) // shards]], (keys // len(h) % shards).astype(np.uint32)
+        to = (mix(middle ^ mix(right)) % np.uint64(shards)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        rows = []
+        for a, b in runs_of(to[order]):
+            o = order[a:b]
+            m, r = known.codes(middle[o]).astype(np.uint32), known.pack(right[o])
+            rows.append((int(to[o[0]]), packed(m, target[o], *r, count[o])))
+        return pa.RecordBatch.from_pydict({"shard": pa.array([r[0] for r in rows], pa.int32()), "pairs": pa.array([r[1] for r in rows], pa.binary())})
 
     def run(batches):
-        words, held, train, n = Ids(), [], [], 0
+        c, train = Chunk(chunk), []
         for batch in batches:
             for out, t in zip(batch.column(0).to_pylist(), octets(batch, 1)):
-                w = t.lower().split()
-                x = np.empty(len(w) + 3, np.int32)
-                x[0], x[-2], x[-1] = 0, 1, 2
-                x[1:-2] = np.fromiter(map(words.__getitem__, w), np.int32, len(w))
-                held.append(x)
+                c.add(t)
                 train.append(not out)
-                n += len(x)
-                if n >= CHUNK:
-                    yield from flush(words, held, train)
+                if c.full:
+                    yield flush(c, train)
+                    c, train = Chunk(chunk), []
                     trim()
-                    words, held, train, n = Ids(), [], [], 0
-        if held:
-            yield from flush(words, held, train)
-        del held, words
+        if c.held:
+            yield flush(c, train)
+        del c
         trim()
 
     return run
 
 
-HOT = pa.schema([("shard", pa.int32()), ("pairs", pa.binary()), ("h", pa.int64()), ("total", pa.int64()), ("types", pa.int64())])
+MERGED = pa.schema([("shard", pa.int32()), ("pairs", pa.binary()), ("code", pa.int64()), ("types", pa.int64())])
 
 
-def _merge_hot(shards: int):
-    """Reduce side: whole counts of bigrams, for the shards of the classes that hold them, and what follows each middle in sum (h, total, types)."""
+def _merge_pairs(known: Known):
+    """Reduce side: whole counts of bigrams, for the shards that hold them, and how many distinct tokens follow each middle (code, types)."""
 
     def run(t: pa.Table) -> pa.Table:
-        middle, name, right, count = (np.concatenate(x) for x in zip(*map(unpacked, t["pairs"].to_pylist())))
-        order = np.lexsort((name, right, middle))
-        middle, name, right, count = middle[order], name[order], right[order], count[order].astype(np.int64)
+        got = [unpacked(x) for x in t["pairs"].to_pylist()]
+        middle, target, count = (np.concatenate([x[i] for x in got]) for i in (0, 1, 4))
+        right = np.concatenate([known.hashes(x[3])[x[2]] for x in got])
+        order = np.lexsort((target, right, middle))
+        middle, target, right, count = middle[order], target[order], right[order], count[order].astype(np.int64)
         new = np.concatenate([[True], (middle[1:] != middle[:-1]) | (right[1:] != right[:-1])])
         first = np.flatnonzero(new)
         whole = np.add.reduceat(count, first)
-        hs, to_h = np.unique(middle[first], return_inverse=True)
-        total, types = np.bincount(to_h, whole).astype(np.int64), np.bincount(to_h, whole > 0).astype(np.int64)
-        asked = new | np.concatenate([[True], name[1:] != name[:-1]])
+        codes, to_code = np.unique(middle[first], return_inverse=True)
+        types = np.bincount(to_code, whole > 0).astype(np.int64)
         c2 = whole[np.cumsum(new) - 1]
-        asked = np.flatnonzero(asked & (c2 > 0))
-        name, right, c2 = name[asked], right[asked], c2[asked]
-        shard = (mix(name) % np.uint64(shards)).astype(np.int32)
-        order = np.argsort(shard, kind="stable")
-        rows = [(int(shard[order[a]]), packed(*(x[order[a:b]] for x in (name, right, c2))), None, None, None) for a, b in _runs(shard[order])]
-        rows += [(None, None, *x) for x in zip(hs.astype(np.int64).tolist(), total.tolist(), types.tolist())]
-        return pa.table([pa.array([r[i] for r in rows], HOT.field(i).type) for i in range(5)], schema=HOT)
+        asked = np.flatnonzero((new | np.concatenate([[True], target[1:] != target[:-1]])) & (c2 > 0))
+        asked = asked[np.argsort(target[asked], kind="stable")]
+        rows = []
+        for a, b in runs_of(target[asked]):
+            o = asked[a:b]
+            rows.append((int(target[o[0]]), packed(middle[o], *known.pack(right[o]), c2[o]), None, None))
+        rows += [(None, None, *x) for x in zip(codes.tolist(), types.tolist())]
+        return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(MERGED)], schema=MERGED)
 
     return run
 
@@ -211,58 +329,72 @@ def _merge_hot(shards: int):
 PART = pa.schema([("chunk", pa.int64()), ("sums", pa.binary()), ("header", pa.binary())])
 
 
-def _shard(total: int, distinct: int, hot: dict[int, tuple[int, int, int]], classes: dict[int, int], discount: float):
-    """Reduce side: a trie of the shard's training trigrams, looked up for all of them; sums per chunk and document. hot: hash to count, tokens that follow, distinct ones."""
-    # Hashes of split words' classes, to what is known of their words.
-    split = {int(x): hot[h] for h, k in classes.items() for x in mix(np.uint64(h) + GOLD * np.arange(1, k + 1, dtype=np.uint64)).tolist()}
-    room = np.log10(total + distinct + 1) if total else 0.0
+def _shard(known: Known, types: dict[int, int], room: float, discount: float):
+    """Reduce side: a trie of the shard's training trigrams, looked up for all of them; sums per chunk and text. types: distinct tokens that follow, of split words by code."""
+    steps = lambda c: np.rint((np.log10(c + 1.0) - room) / -STEP).astype(np.int64)
 
     def run(t: pa.Table) -> pa.Table:
-        chunks, blobs, headers = t["chunk"].to_pylist(), t["trigrams"].to_pylist(), t["header"].to_pylist()
-        rows = [(c, None, x) for c, x in zip(chunks, headers) if x is not None]
-        parts, of = [], []
-        for c, x in zip(chunks, blobs):
+        rows = [(c, None, x) for c, x in zip(t["chunk"].to_pylist(), t["header"].to_pylist()) if x is not None]
+        parts, of, docs = [], [], []
+        for c, x, d in zip(t["chunk"].to_pylist(), t["trigrams"].to_pylist(), t["docs"].to_pylist()):
             if x is not None:
-                m, runs, h, left, right, doc, train = unpacked(x)
-                parts.append((np.repeat(m, runs), h[left], h[right], doc, train))
+                m, runs, left, right, n, train, rare = unpacked(x)
+                h = known.hashes(rare)
+                parts.append((np.repeat(h[np.cumsum(m)], runs), h[ungapped(left, runs.astype(np.int64))], h[right], train, n))
                 of.append(c)
+                docs.append(d)
         if parts:
-            m, left, right, doc, train = (np.concatenate(x) for x in zip(*parts))
-            cuts = np.cumsum([0, *(len(p[0]) for p in parts)])
+            m, left, right, train = (np.concatenate([p[i] for p in parts]) for i in range(4))
+            times = [p[4] for p in parts]
+            cuts = np.cumsum([0, *map(len, times)])
             del parts
             (ms, mi), (ls, li), (rs, ri) = (np.unique(x, return_inverse=True) for x in (m, left, right))
             del m, left, right
             nl, nr = len(ls), len(rs)
-            key = (mi * nl + li) * nr + ri
+            if len(ms) * nl * nr < 1 << 62:
+                key = (mi * nl + li) * nr + ri
+            else:
+                key = np.unique(mi * nl + li, return_inverse=True)[1] * nr + ri
             order = np.argsort(key, kind="stable")
             first = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0]))
             at = order[first]
             inverse = np.empty(len(key), np.int64)
             inverse[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
-            del key
-            trim()
             c = np.add.reduceat(train[order].astype(np.int64), first)
+            del key, order, train
             mi, li, ri = mi[at], li[at], ri[at]
             ended, begins = rs[ri] == np.uint64(AFTER), ls[li] == np.uint64(BEFORE)
             seen = np.flatnonzero(c > 0)
-            whole = None
-            if parted := [(i, *split[x]) for i, x in enumerate(ms.tolist()) if x in split]:
-                pairs = [unpacked(x) for x in t["hot"].to_pylist() if x is not None]
-                name, r, c2 = (np.concatenate(x) for x in zip(*pairs)) if pairs else np.zeros((3, 0), np.uint64)
+            code, whole = known.codes(ms), None
+            listed = code >= 0
+            parted = np.flatnonzero(listed & (known.classes[code] > 0))
+            if len(parted):
+                pairs = [unpacked(x) for x in t["pairs"].to_pylist() if x is not None]
+                got = [(known.h[m], known.hashes(g)[r], c2) for m, r, g, c2 in pairs]
+                name, r, c2 = (np.concatenate(x) for x in zip(*got)) if got else (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
                 pair = np.searchsorted(ms, name) * nr + np.searchsorted(rs, r)
                 by = np.argsort(pair)
-                whole = (*np.array(parted, np.int64).T, pair[by], c2[by])
+                whole = (parted, known.n[code[parted]], np.array([types.get(x, 0) for x in code[parted].tolist()], np.int64), pair[by], c2[by])
             trie = Trie.mapped(Trie.build(mi[seen], li[seen], ri[seen], c[seen], ended[seen], (len(ms), nl, nr), discount, whole))
             found, alone, count = trie.score(mi, li, ri, begins, ended)
-            base = np.log10(count + 1.0) - room
-            found = (found + np.where(alone, base, 0.0))[inverse]
-            base, known = base[inverse], (count > 0)[inverse]
-            for c_, a, b in zip(of, cuts[:-1].tolist(), cuts[1:].tolist()):
-                docs = np.flatnonzero(np.bincount(doc[a:b]))
-                sums = [np.bincount(doc[a:b], x[a:b])[docs] for x in (base, found, known)]
-                rows.append((c_, packed(docs.astype(np.uint32), sums[0], sums[1], sums[2].astype(np.uint32)), None))
+            found += np.where(alone, steps(count), 0)
+            # Listed words' base probabilities were summed where their texts are.
+            rare = ~listed[mi]
+            base = np.where(rare, np.rint((np.log10(count + 1.0) - room) / -UNIT), 0).astype(np.int64)
+            known_ = rare & (count > 0)
+            for c_, d, n, a, b in zip(of, docs, times, cuts[:-1].tolist(), cuts[1:].tolist()):
+                which = np.repeat(inverse[a:b], n)
+                doc = unpacked(d)[0]
+                total = np.bincount(doc, found[which])
+                held = np.flatnonzero(np.bincount(doc))
+                some = np.flatnonzero(rare[which])
+                doc, which = doc[some], which[some]
+                few = np.flatnonzero(np.bincount(doc)) if len(doc) else np.zeros(0, np.int64)
+                sums = (np.bincount(doc, x[which])[few].astype(np.int64) if len(doc) else few for x in (*halves(base), known_))
+                value = packed(np.diff(held, prepend=0).astype(np.uint32), total[held].astype(np.int64), np.diff(few, prepend=0).astype(np.uint32), *sums)
+                rows.append((c_, value, None))
         trim()
-        return pa.table([pa.array([r[i] for r in rows], PART.field(i).type) for i in range(3)], schema=PART)
+        return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(PART)], schema=PART)
 
     return run
 
@@ -272,37 +404,42 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 def _sum_up(total: int):
     def run(t: pa.Table) -> pa.Table:
-        ids, known, held_out, n_tokens = unpacked(next(x for x in t["header"].to_pylist() if x is not None))
-        base, score, seen = np.zeros(len(ids)), np.zeros(len(ids)), np.zeros(len(ids), np.int64)
+        ids, valid, held_out, n_tokens, high, low, seen = unpacked(next(x for x in t["header"].to_pylist() if x is not None))
+        score = np.zeros(len(ids), np.int64)
         for x in t["sums"].to_pylist():
             if x is not None:
-                docs, b, s, k = unpacked(x)
-                base[docs] += b
-                score[docs] += s
-                seen[docs] += k
-        return pa.table({"doc_id": pa.array(ids, mask=~known), "held_out": pa.array(held_out), "n_tokens": n_tokens, "n_known": seen, "train_tokens": np.full(len(ids), total), "base_score": base, "score": score})
+                docs, s, few, *sums = unpacked(x)
+                score[np.cumsum(docs)] += s
+                few = np.cumsum(few)
+                for held, more in zip((high, low, seen), sums):
+                    held[few] += more
+        columns = {"doc_id": pa.array(ids, mask=~valid), "held_out": pa.array(held_out), "n_tokens": n_tokens, "n_known": seen, "train_tokens": np.full(len(ids), total)}
+        base = high.astype(float) * (1 << HALF) + low
+        return pa.table(columns | {"base_score": 0.0 - base * UNIT, "score": 0.0 - score * STEP})
 
     return run
 
 
-def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", discount: float = 0.75) -> DataFrame:
-    """Scores of all rows by the model of those that aren't held out."""
+def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", discount: float = 0.75, top: int = TOP, split: int = SHARD // 2, chunk: int = CHUNK) -> DataFrame:
+    """Scores of all rows by the model of those that aren't held out. top, split and chunk say what is sent where; they don't move a score."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text_col).alias("text"))
     words = written(unigrams(rows.filter(~F.col("held_out")).select("text")), "unigrams")
-    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    end = F.col("h") == int(np.uint64(END).astype(np.int64))
+    total, distinct, ends = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(end, F.col("n"))), F.lit(0))).first()
+    listed = words.filter(~end).orderBy(F.desc("n"), "h").limit(top).toArrow()
+    h = np.concatenate([np.array([BEFORE, END, AFTER], np.uint64), listed["h"].to_numpy().astype(np.uint64)])
+    known = Known(h, np.concatenate([[0, ends, 0], listed["n"].to_numpy()]).astype(np.int64), split)
+    room = float(np.log10(total + distinct + 1)) if total else 0.0
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD))
-    most = max(1000, total // (2 * shards))
-    hot = {r["h"] % (1 << 64): r["n"] for r in words.filter(F.col("n") > most).collect()}  # 2 * shards words at most
-    classes = {h: -(-n // most) + 1 for h, n in hot.items()}
-    sent = rows.mapInArrow(_send(shards, classes), "shard int, chunk long, trigrams binary, header binary").withColumn("hot", F.lit(None).cast("binary"))
-    if hot:
-        merged = rows.select("held_out", "text").mapInArrow(_send_hot(shards, classes), "shard int, pairs binary").groupBy("shard")
-        merged = written(merged.applyInArrow(_merge_hot(shards), "shard int, pairs binary, h long, total long, types long"), "hot")
-        follow = {r["h"] % (1 << 64): (r["total"], r["types"]) for r in merged.filter("shard is null").groupBy("h").agg(F.sum("total").alias("total"), F.sum("types").alias("types")).collect()}
-        hot = {h: (n, *follow.get(h, (0, 0))) for h, n in hot.items()}
-        sent = sent.unionByName(merged.filter("shard is not null").select("shard", F.col("pairs").alias("hot")), allowMissingColumns=True)
-    parts = sent.groupBy("shard").applyInArrow(_shard(total, distinct, hot, classes, discount), "chunk long, sums binary, header binary")
+    sent = rows.mapInArrow(_send(shards, known, room, chunk), "shard int, chunk long, trigrams binary, docs binary, header binary").withColumn("pairs", F.lit(None).cast("binary"))
+    types: dict[int, int] = {}
+    if known.classes.any():
+        merged = rows.select("held_out", "text").mapInArrow(_send_pairs(shards, known, chunk), "shard int, pairs binary").groupBy("shard")
+        merged = written(merged.applyInArrow(_merge_pairs(known), "shard int, pairs binary, code long, types long"), "pairs")
+        types = {r["code"]: r["types"] for r in merged.filter("shard is null").groupBy("code").agg(F.sum("types").alias("types")).collect()}  # listed words only
+        sent = sent.unionByName(merged.filter("shard is not null").select("shard", "pairs"), allowMissingColumns=True)
+    parts = sent.groupBy("shard").applyInArrow(_shard(known, types, room, discount), "chunk long, sums binary, header binary")
     return parts.groupBy("chunk").applyInArrow(_sum_up(total), SCORES)
 
 

@@ -205,6 +205,23 @@ def test_split_words_score_as_unsplit_ones(spark):
             assert abs(a.score - b.score) < 0.01 * a.n_tokens, (n, i, a.score, b.score)  # 8-bit probabilities
 
 
+def test_scores_do_not_depend_on_what_lies_where(spark):
+    """One model: the same scores, to the last bit, for any number of partitions, list of codes, chunk and bar for splitting."""
+    rng = random.Random(12)
+    rows = [(i, " ".join(f"w{rng.randrange(300)} the of r{int(rng.expovariate(0.05))}" for _ in range(30))) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    ask = lambda **k: {r.doc_id: tuple(r) for r in ngram_lm.score(df, F.col("doc_id") % 5 == 2, **k).collect()}
+    want, shards = ask(), spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n, top, split in ((2, 1, 40), (8, 50, 40), (64, 10**6, 300)):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            assert ask(top=top, split=split) == want, n
+        assert ask(split=100, chunk=700) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", shards)
+
+
+
 def test_trie_round_trip(tmp_path):
     import numpy as np
 
