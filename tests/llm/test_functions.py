@@ -1,5 +1,6 @@
 """Operators that work row by row, against brute force, libraries or round trips."""
 
+import math
 import random
 import re
 
@@ -65,6 +66,37 @@ def test_ibans_before_other_capitals():
     assert pii.redacted(f"{plain} EUR") == "<IBAN> EUR"
 
 
+def test_pii_long_runs():
+    """Within seconds, and without a crash."""
+    assert pii.found("1.2.3." + "0" * 5000 + "1")[0][:3] == ("ip", 0, 5007)
+    assert pii.found("1.2.3." + "9" * 5000) == []
+    for text in ("5" * 10**6 + ".", "1." * 10**6, "+1(" * 300_000, "@a" * 500_000, "a@" * 500_000, "0 " * 500_000, "ab12" * 250_000, "f" * 10**6):
+        pii.redacted(text)
+
+
+def test_pii_ip_runs_of_digits():
+    rng = random.Random(13)
+    for _ in range(3000):
+        text = "".join(rng.choice("01259....x") for _ in range(rng.randint(0, 24)))
+        assert [x[:3] for x in pii.found(text) if x[0] in pii.BASE] == list(brute_pii(text)), text
+
+
+def test_pii_secrets_need_context():
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    spans = lambda t: [t[a:b] for k, a, b, _ in pii.found(t) if k == "secret"]
+    assert spans(f'token = "{key}" and') == [key] and spans(f"{key} is the api key") == [key]
+    assert spans(f"commit {key} was reverted") == [] and spans(f"token {key}0_x") == []
+    assert pii.redacted(f"my password {key}") == "my password <SECRET>"
+    # Words against a span cut the score, on either side; base spans stay.
+    iban = "DE89370400440532013000"
+    assert [k for k, *_ in pii.found(f"serial {iban}")] == [] == pii.found(f"{iban} is a sample") and [k for k, *_ in pii.found(f"serial a@b.cd, account {iban}")] == ["email", "iban"]
+
+
+def test_redaction_of_overlapping_spans():
+    assert pii.redacted("+4111 1111 1111 1111 x") == "<PHONE> x" or pii.redacted("+4111 1111 1111 1111 x") == "+<CARD> x"
+    assert pii.redacted("a@1.2.3.4 b") == "<EMAIL> b"
+
+
 # BPE
 
 
@@ -138,6 +170,88 @@ def test_html_names_that_are_no_noise():
         assert (SENTENCES[0] in html.main_text(f"<body><article>{''.join(f'<p>{s}</p>' for s in SENTENCES[1:])}{part}</article></body>")) == kept, attributes
 
 
+def brute_density(node, page):
+    """(density, sum of the children's densities) by the definition, from counts taken anew at each node."""
+    inner = lambda n: [k for k in n.kids if not isinstance(k, str)]
+    below = lambda n: [x for k in inner(n) for x in (k, *below(k))]
+    chars = lambda n: sum(len(k.strip()) for x in (n, *below(n)) for k in x.kids if isinstance(k, str))
+    link_tops = lambda n: [n] if n.tag == "a" else [x for k in inner(n) for x in link_tops(k)]
+
+    def density(n):
+        c, t = chars(n), len(below(n))
+        lc, lt = sum(map(chars, link_tops(n))), sum(1 + len(below(x)) for x in link_tops(n))
+        if not c:
+            return 0.0
+        body = chars(page)
+        share = sum(map(chars, link_tops(page))) / body
+        base = math.log(c / max(c - lc, 1) * lc + share * c + math.e)
+        x = c / max(lc, 1) * max(t, 1) / max(lt, 1)
+        return c / max(t, 1) * (math.log(x, base) if x > 1 and base > 1 else 0.0)
+
+    return density(node), sum(density(k) for k in inner(node) if not k.noise)
+
+
+def test_html_densities_against_brute_force():
+    rng = random.Random(8)
+
+    def tree(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return rng.choice(["", "word ", "some words in a row, ", "A whole sentence of text that stands here. "])
+        tag = rng.choice(["div", "p", "a", "span", "ul", "section", "b"])
+        return f"<{tag}>" + "".join(tree(depth - 1) for _ in range(rng.randint(0, 4))) + f"</{tag}>"
+
+    for _ in range(60):
+        root = html.parse(f"<body>{tree(5)}{tree(5)}{tree(4)}</body>")
+        nodes = html.measure(root)
+        page = next(n for n in nodes if n.tag == "body")
+        for n in nodes:
+            want = brute_density(n, page)
+            assert math.isclose(n.density, want[0], rel_tol=1e-9, abs_tol=1e-12) and math.isclose(n.total, want[1], rel_tol=1e-9, abs_tol=1e-12)
+
+
+def test_html_density_decides_without_names():
+    """Pages of which no element or name tells what is text: on all of them the density changes the result."""
+    rng, changed = random.Random(9), 0
+    sentence = lambda: " ".join(rng.choice(["the", "river", "slowly", "turns", "old", "mill", "near", "town"]) for _ in range(rng.randint(14, 40))).capitalize() + "."
+    links = lambda n: "<div><ul>" + "".join(f"<li><a href=/{i}>Page {i}</a></li>" for i in range(n)) + "</ul></div>"
+    for _ in range(40):
+        paragraphs = [sentence() for _ in range(rng.randint(4, 9))]
+        body = "".join(f"<p>{x}</p>" for x in paragraphs)
+        page = f"<body><div>{links(rng.randint(5, 30))}<div>{body}</div>{links(rng.randint(5, 30))}</div><table><tr><td><a href=/>Home</a></td><td><a href=/x>Login</a></td></tr></table></body>"
+        assert html.main_text(page) == "\n\n".join(paragraphs)
+        changed += "\n\n".join(html.blocks(html.parse(page))) != html.main_text(page)
+    assert changed == 40
+
+
+def test_html_keeps_what_belongs_to_the_text():
+    text, body = "\n\n".join(SENTENCES), "".join(f"<p>{s}</p>" for s in SENTENCES)
+    page = "<body><nav>menu</nav><article><header><h1>Title</h1></header>{}</article><footer>f</footer></body>"
+    full = lambda part: html.main_text(page.format(body + part))
+    assert full(f'<div class="related-work"><p>{SENTENCES[0]}</p></div>') == f"Title\n\n{text}\n\n{SENTENCES[0]}"
+    assert full(f'<p class="search-results">{SENTENCES[0]}</p>').endswith(f"{SENTENCES[-1]}\n\n{SENTENCES[0]}")
+    assert full('<div class="related-posts"><ul><li><a href=/a>One</a></li><li><a href=/b>Two</a></li></ul></div>') == f"Title\n\n{text}"
+    assert full("<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be <object>so</object></p>").endswith("Let x=1 be so")
+    assert full(f'<article class="comment"><p>{SENTENCES[0]}</p></article>') == f"Title\n\n{text}"
+    one, two = "".join(f"<p>{s}</p>" for s in SENTENCES[:3]), "".join(f"<p>{s}</p>" for s in SENTENCES[3:])
+    for tag in ("article", "div"):
+        assert html.main_text(f"<body><nav>menu</nav><main><{tag}>{one}</{tag}><{tag}>{two}</{tag}></main><footer>f</footer></body>") == text
+
+
+def test_html_odd_markup():
+    assert html.main_text("<article><p>1 < 2 and 3 > 2</p><p>a <</p></article>") == "1 < 2 and 3 > 2\n\na <"
+    assert html.main_text('<article><p title="x > y">A</p><p title="never ends>B</p><p>C</p></article>') == "A\n\nB\n\nC"
+    assert html.main_text("<table><tr><td>a<td>b<tr><td>c</table>") == "a\n\nb\n\nc"
+    assert html.main_text("<head><title>t</title><p>text</p>") == "text"
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<", "<!", "<a \">\"", "<a '\">", "</b>", "<b>", "<p><span>", "<div></p>", "<td>", "&amp", "<!--", "<b><div></i>"])
+def test_html_of_a_megabyte(piece):
+    """Within seconds, whatever isn't closed."""
+    n = 10**6 // len(piece)
+    html.main_text(piece * n)
+    html.main_text("<p>" + piece * n + ">")
+
+
 # Language ID
 
 

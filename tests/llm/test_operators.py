@@ -300,6 +300,24 @@ def test_odd_conversations(spark):
     assert chat.render(chat.fold(chat.event_log(df.limit(0)))).count() == 0
 
 
+def test_regeneration_before_the_opening_is_ignored(spark):
+    rows = [(1, 0, "open", 1, "user", "kept"), (1, 1, "regenerate", 0, None, None), (1, 5, "open", 0, "user", "first"), (1, 6, "open", 2, "assistant", "gone"), (1, 7, "regenerate", 0, None, None), (1, 8, "open", None, "user", "null"), (1, 9, "regenerate", None, None, None)]
+    got = {(r.turn, r.text) for r in chat.fold(log(spark, rows)).collect()}
+    assert got == {(0, ""), (None, "")}
+    got = {(r.turn, r.text) for r in chat.fold(log(spark, rows[:3])).collect()}
+    assert got == {(0, "first"), (1, "kept")}
+
+
+def test_long_conversation_and_clashing_columns(spark):
+    n = 20_000
+    df = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("says </turn> "), F.col("id")).alias("text"))
+    odd = df.select("*", *(F.lit("clash").alias(c) for c in ("piece", "span", "loss", "m", "log", "since", "formatted")))
+    out = chat.render(chat.fold(chat.event_log(odd))).select("formatted", "loss_spans", chat.masked(F.col("formatted"), F.col("loss_spans")).alias("said"), chat.read_back(F.col("formatted")).alias("turns")).first()
+    assert [t.text for t in out.turns] == [f"says </turn> {i}" for i in range(n)] and out.said == [f"says </turn> {i}" for i in range(1, n, 2)]
+    s = out.loss_spans[-1]
+    assert out.formatted[s.start - 1 : s.start - 1 + s.length] == f"says \\c {n - 1}" and s.turn == n
+
+
 # Fingerprints
 
 

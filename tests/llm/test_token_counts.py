@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from doclens.llm import bpe
-from doclens.llm.token_counts import blocks_of_files, count_documents, write_blocks
+from doclens.llm.token_counts import blocks_of_files, count_documents, write_files
 
 
 def brute(ids, eod):
@@ -29,13 +29,26 @@ def test_flat_files_against_brute_force(spark, tmp_path, block):
     assert got == want
 
 
-def test_written_documents(spark):
-    texts = ["one two three", None, "", "four " * 50, "five"]
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    e = bpe.encoder(bpe.default_path())
-    blocks = write_blocks(docs, bpe.default_path(), 50256, block=8)
-    got = sorted(r.n_tokens for r in count_documents(blocks, 50256).collect())
-    assert got == sorted(len(e.encode(t or "")) // 4 for t in texts)
+@pytest.mark.parametrize(("dtype", "documents"), [("<u2", 2), ("<u4", 100)])
+def test_written_files(spark, tmp_path, dtype, documents):
+    """Flat files hold the ids and nothing else, whatever bytes they are, and are counted without an index."""
+    texts = ["one two three", None, "", "four\n\u00e9" * 50, "five", "\n\n\r\n"]
+    docs = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, value string").coalesce(1)
+    e, path = bpe.encoder(bpe.default_path()), str(tmp_path / "flat")
+    write_files(docs, path, bpe.default_path(), 50256, dtype=dtype, documents=documents)
+    ids = [np.frombuffer(e.encode(t or ""), "<u4") for t in texts]
+    files = sorted(f for f in (tmp_path / "flat").iterdir() if f.name.startswith("part-"))
+    assert np.concatenate([np.fromfile(f, dtype) for f in files]).tolist() == [x for i in ids for x in [*i.tolist(), 50256]]
+    got = count_documents(blocks_of_files(spark, path, np.dtype(dtype).itemsize, block=8), 50256, dtype).orderBy("file", "doc_no").collect()
+    assert [r.n_tokens for r in got] == [len(x) for x in ids] and all(r.closed for r in got)
+
+
+def test_odd_blocks(spark):
+    data = lambda *x: np.array(x, "<u4").tobytes()
+    rows = [("a", 0, data(1, 9, 1)), ("a", 0, data(1, 9, 1)), ("a", 0, data(1)), ("a", 1, None), ("a", 2, data(1, 9)), (None, 0, data(9)), ("b", None, data(9)), ("c", 0, None), ("c", 1, b"")]
+    df = spark.createDataFrame([(*r, "clash", 1) for r in rows], "file string, block long, data binary, seps string, n int")
+    got = sorted((r.file, r.doc_no, r.start, r.n_tokens, r.closed) for r in count_documents(df, 9).collect())
+    assert got == [("a", 0, 0, 1, True), ("a", 1, 2, 2, True)]
 
 
 def test_no_blocks(spark):
