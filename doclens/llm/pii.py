@@ -1,7 +1,7 @@
 """Personal data: patterns propose spans, checksums confirm them, context words move the score.
 
 Kinds, in the order of results: email, ip, card, phone (base kinds), then iban
-(mod-97, at the length of its country) and ssn. A base span stays whatever its score; an added span stays if its score reaches
+(mod-97, at the length of its country), ssn and secret (keys and tokens). A base span stays whatever its score; an added span stays if its score reaches
 `min_score`. Offsets are code points, end exclusive.
 
 Defined cases: a null or empty text has no spans; rows with equal or null ids are
@@ -20,11 +20,12 @@ from pyspark.sql import functions as F
 from doclens.llm.common import arrow_map, table, texts
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "iban", "ssn")
+KINDS = (*BASE, "iban", "ssn", "secret")
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
+#: All starts within one run of digits go on alike, so a match that fails at the first fails at all: only that is tried.
+IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}))")
@@ -38,10 +39,12 @@ IBAN_LENGTHS = {
     for c in codes.split()
 }
 SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
+#: Keys and tokens: long hexadecimal strings, and those with a well-known beginning. Without a word near them that tells so they may be anything.
+SECRET = re.compile(r"(?<![A-Za-z0-9_])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|A[KS]IA[0-9A-Z]{16}|gh[opsu]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,72})(?![A-Za-z0-9_])")
 NOT_DIGIT = re.compile(r"[^0-9]+")
 
-START = {"email": 0.8, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.8, "ssn": 0.4}
-#: Words before a span that speak for a kind, and words that speak against any.
+START = {"email": 0.8, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.6, "ssn": 0.4, "secret": 0.4}
+#: Words near a span, on either side, that speak for a kind, and words that speak against any.
 FOR = {
     "email": ("mail", "contact", "correo", "write"),
     "ip": ("ip", "address", "host", "server", "login"),
@@ -49,6 +52,7 @@ FOR = {
     "phone": ("phone", "call", "tel", "mobile", "fax", "telefon"),
     "iban": ("iban", "account", "bank", "konto", "compte", "cuenta"),
     "ssn": ("ssn", "social", "security"),
+    "secret": ("token", "key", "secret", "password", "passwd", "api", "auth", "credential", "credentials", "bearer"),
 }
 AGAINST = ("version", "example", "sample", "isbn", "serial", "order", "invoice")
 BOOST, CUT, WINDOW = 0.3, 0.2, 40
@@ -59,6 +63,12 @@ def luhn(digits: str) -> bool:
     return not (total + sum(sum(divmod(2 * int(d), 10)) for d in digits[-2::-2])) % 10
 
 
+def octet(digits: str) -> bool:
+    """At most 255, whatever zeros lead and however many."""
+    x = digits.lstrip("0")
+    return len(x) <= 3 and int(x or 0) <= 255
+
+
 def mod97(iban: str) -> bool:
     s = iban.replace(" ", "")
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
@@ -104,7 +114,7 @@ def found(text: str, min_score: float = 0.5) -> list[tuple[str, int, int, float]
     """(kind, start, end, score), by kind, then start."""
     spans: list[tuple[str, int, int]] = [("email", *s) for s in emails(text)]
     if "." in text:
-        spans += [("ip", *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        spans += [("ip", *m.span()) for m in IP.finditer(text) if all(map(octet, m[0].split(".")))]
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 13 and 13 <= len(d := NOT_DIGIT.sub("", m[0])) <= 19 and luhn(d):
             spans.append(("card", *m.span()))
@@ -113,9 +123,10 @@ def found(text: str, min_score: float = 0.5) -> list[tuple[str, int, int, float]
     spans += [("iban", *s) for s in ibans(text)]
     if "-" in text:
         spans += [("ssn", *m.span()) for m in SSN.finditer(text)]
+    spans += [("secret", *m.span()) for m in SECRET.finditer(text)]
     out = []
     for kind, a, b in spans:
-        near = re.findall(r"[a-z]+", text[max(0, a - WINDOW) : a].lower())
+        near = re.findall(r"[a-z]+", f"{text[max(0, a - WINDOW) : a]} {text[b : b + WINDOW]}".lower())
         score = START[kind] + BOOST * any(w in FOR[kind] for w in near) - CUT * any(w in AGAINST for w in near)
         score = round(min(1.0, max(0.0, score)), 3)
         if kind in BASE or score >= min_score:
@@ -136,14 +147,10 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
 def redacted(text: str, min_score: float = 0.5) -> str:
     """Each span becomes <KIND>; of overlapping spans, the earlier and then the longer is taken, the rest of the other with it."""
     out, at = [], 0
-    spans = sorted((a, -b, k) for k, a, b, _ in found(text, min_score))
-    while spans:
-        a, b, k = spans.pop(0)
-        end = -b
-        while spans and spans[0][0] < end:
-            end = max(end, -spans.pop(0)[1])
-        out += [text[at:a], f"<{k.upper()}>"]
-        at = end
+    for a, b, k in sorted((a, -b, k) for k, a, b, _ in found(text, min_score)):
+        if not out or a >= at:
+            out += [text[at:a], f"<{k.upper()}>"]
+        at = max(at, -b)
     return "".join([*out, text[at:]])
 
 
