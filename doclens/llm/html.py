@@ -3,20 +3,23 @@
 Every DOM node has its characters, tags, and the same within links. Its density is
 characters per tag, scaled down by the share of link text; a node's sum is its children's densities together. The least density on the path
 from the node of greatest sum up to the body is the threshold. That node, and of each block beside its path that reaches the threshold the
-node of greatest sum, are the text; blocks below it are noise.
+node of greatest sum, are the text; blocks below it are none.
 
-Densities are computed with links and navigation in place. Subtrees that their element, role, class or id names as menus, headers, footers, sidebars, notices,
-adverts, forms or reader comments are no text, whatever their density, unless they hold <main>, most of the text of articles or most of the page's; headers within an article that hold its heading are kept; scripts and styles aren't parsed. An <article> or <main> is a hint only: it stands for a node of greatest sum within it.
+Names only adjust that, where density can't tell, as in a reader's comment or an advert of plain prose. Subtrees that their element, role, class or id names as
+menus, footers, sidebars, notices, adverts, forms or reader comments are no text, unless they hold <main>, most of the text of articles or most of the page's; nor are headers, but for those within an article that hold its heading. A name that
+only contains such a word ("related-work") raises a doubt, which the subtree's density settles. <article> and <main> are hints: the node of greatest sum stands for the one around it, and beside the path they need a lower density. Scripts and styles aren't parsed.
 
 Defined cases: null, empty and text-free pages give an empty text; unclosed and misnested tags are
-closed as browsers do for paragraphs, list items and table cells; repeated rows are treated one by
-one; an empty table gives an empty result; other columns are ignored.
+closed as browsers do for paragraphs, list items and table cells; a < without a > is text; after a quote that never ends tags end at the next >; repeated rows and null ids are treated one by
+one; an empty table gives an empty result; other columns are ignored, whatever their names. A page is read in time in proportion to its length.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
+from functools import lru_cache
 from math import e, log
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,29 +27,38 @@ from pyspark.sql import functions as F
 
 from doclens.llm.common import arrow_map, table
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.S)
+NAME = re.compile(r"[A-Za-z][^\s/>]*")
+#: The rest of a tag: quoted values may hold its end. Possessive, so a tag without an end is read once.
+REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 MARKS = frozenset("class id role itemprop".split())
 NONE = re.compile(r"(?<![\w-])display\s*:\s*none", re.I)
 SPACE = re.compile(r"\s+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe object svg math canvas select".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style noscript template textarea title iframe canvas select".split())
+#: Elements that part text into blocks; all others, known or not, stand within a line.
+BLOCKS = frozenset(
+    "html head body address article aside blockquote button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr "
+    "legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
+)
 NOISE = frozenset("nav header footer aside form menu dialog button fieldset head".split())
 NOISE_WORDS = frozenset(
-    "nav navbar navigation menu breadcrumb breadcrumbs header masthead footer foot sidebar aside side rail widget ad ads advert adverts advertisement advertising "
-    "adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login search "
-    "share sharing social related recommended comment comments commentlist reply replies respond disqus discussion pagination pager skip toolbar "
-    "contentinfo complementary".split()
+    "nav navbar navigation menu breadcrumb breadcrumbs masthead footer sidebar aside ad ads advert adverts advertisement advertising "
+    "adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login "
+    "share sharing social recommended skip "
+    "comment comments commentlist reply replies respond disqus discussion pagination pager toolbar contentinfo complementary".split()
 )
-#: Words that name noise only as a whole token, and first parts of tokens that tell of noise elsewhere ("has-sidebar").
-WHOLE_ONLY = frozenset("side".split())
+#: Words that name noise as a whole token; as a part of one they only raise a doubt ("related-work"), which the density settles.
+DOUBTFUL = frozenset("header foot side rail widget search related".split())
+#: First parts of tokens that tell of noise elsewhere ("has-sidebar").
 TELLS = frozenset("has with without no not is show hide hidden".split())
+#: The part of the threshold that a doubtful subtree has to reach, and an <article> or <main> beside the path.
+DOUBT, HINT = 0.5, 0.25
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements and roles whose plain text may be most of a page's and still be none of its main text.
 MENUS = frozenset("nav footer menu button head".split())
-KEEP = frozenset("html body article main".split())
+KEEP = frozenset("html body main".split())
 #: A start tag in the key closes open elements of the value, up to the nearest that stands in SCOPE.
 P_ENDS = "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul li dd dt".split()
 CLOSES = {x: frozenset({"p"}) for x in P_ENDS} | {
@@ -58,33 +70,44 @@ SCOPE = frozenset("ul ol dl table div article section main body html td th block
 
 
 class Node:
-    __slots__ = ("tag", "noise", "kids", "parent", "chars", "tags", "link_chars", "link_tags", "density", "total", "main", "kept")
+    __slots__ = ("tag", "noise", "doubt", "kids", "parent", "chars", "tags", "link_chars", "link_tags", "density", "total", "main", "kept")
 
-    def __init__(self, tag: str, parent: Node | None, noise: bool = False):
-        self.tag, self.parent, self.noise, self.kids = tag, parent, noise, []
+    def __init__(self, tag: str, parent: Node | None, named: tuple[bool, bool] = (False, False)):
+        self.tag, self.parent, self.kids = tag, parent, []
+        self.noise, self.doubt = named
         self.main = tag in ("article", "main")
 
 
-def names_noise(token: str) -> bool:
-    """A class or id, as a whole or by its first or last part."""
+@lru_cache(4096)
+def named(token: str) -> tuple[bool, bool]:
+    """Whether a class or id names noise, and whether it raises a doubt: by the whole of it, or by its first or last part."""
     parts = [x for x in re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", token).lower()) if x]
     if len(parts) < 2:
-        return bool(parts) and parts[0] in NOISE_WORDS
-    return parts[0] not in TELLS and any(x in NOISE_WORDS and x not in WHOLE_ONLY for x in (parts[0], parts[-1]))
+        return bool(parts) and (parts[0] in NOISE_WORDS or parts[0] in DOUBTFUL), False
+    if parts[0] in TELLS:
+        return False, False
+    ends = (parts[0], parts[-1])
+    return any(x in NOISE_WORDS for x in ends), any(x in DOUBTFUL for x in ends)
 
 
-def is_noise(tag: str, attributes: str) -> bool:
+def is_noise(tag: str, attributes: str) -> tuple[bool, bool]:
+    """(noise, doubtful), by what the element is and is called."""
     if tag in NOISE:
-        return True
+        return True, False
+    noise = doubt = False
     if not attributes or tag in KEEP:
-        return False
+        return noise, doubt
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or name == "style" and NONE.search(value) or name == "aria-hidden" and value.strip().lower() == "true":
-            return True
-        if name == "aria-label" and value.strip().lower() in NOISE_WORDS or name in MARKS and any(map(names_noise, value.split())):
-            return True
-    return False
+            return True, False
+        if name == "aria-label":
+            x = value.strip().lower()
+            noise |= x in NOISE_WORDS or x in DOUBTFUL
+        elif name in MARKS:
+            for x, y in map(named, value.split()):
+                noise, doubt = noise or x, doubt or y
+    return noise, doubt
 
 
 def spare_content(root: Node) -> None:
@@ -107,54 +130,114 @@ def spare_content(root: Node) -> None:
             n.noise = False
 
 
+class Open:
+    """The open elements, and how many of each tag are open within each scope: what isn't open isn't looked for."""
+
+    def __init__(self, root: Node):
+        self.top, self.counts, self.all = root, [Counter({root.tag: 1})], Counter({root.tag: 1})
+
+    def push(self, node: Node) -> None:
+        self.top = node
+        if node.tag in SCOPE:
+            self.counts.append(Counter())
+        self.counts[-1][node.tag] += 1
+        self.all[node.tag] += 1
+
+    def close(self, node: Node) -> None:
+        """Closes the node and all within it; the root stays."""
+        while True:
+            x = self.top
+            self.all[x.tag] -= 1
+            self.counts[-1][x.tag] -= 1
+            if x.tag in SCOPE:
+                self.counts.pop()
+            self.top = x.parent
+            if x is node:
+                return
+
+    def nearest(self, tag: str) -> Node | None:
+        """The innermost open element of the tag; of one within a line, none beyond its scope."""
+        if not (self.all[tag] if tag in BLOCKS else self.counts[-1][tag]):
+            return None
+        node = self.top
+        while node.tag != tag:
+            node = node.parent
+        return node
+
+    def outermost(self, tags: frozenset[str]) -> Node | None:
+        """The outermost open element of the tags within the scope."""
+        found, node = None, self.top
+        for counts in reversed(self.counts):
+            if not (left := sum(counts[t] for t in tags)):
+                break
+            while left:
+                if node.tag in tags:
+                    left, found = left - 1, node
+                node = node.parent
+            if found.tag not in SCOPE:  # else the scope itself is to be closed, and the one around it is asked
+                break
+        return found
+
+
 def parse(page: str) -> Node:
-    """The tree; text stands in it as strings."""
-    root = top = Node("html", None)
-    at, size = 0, len(page)
+    """The tree; text stands in it as strings. Each character is read a bounded number of times."""
+    root = Node("html", None)
+    open_, at, gt, size, quotes = Open(root), 0, -1, len(page), True
     while at < size:
-        m = TOKEN.search(page, at)
-        if not m:
-            top.kids.append(page[at:])
+        lt = page.find("<", at)
+        if 0 <= gt < lt or gt < lt and at == 0:
+            gt = page.find(">", lt)
+        if lt < 0 or gt < 0 and not page.startswith("<!--", lt):
+            open_.top.kids.append(page[at:])
             break
-        if m.start() > at:
-            top.kids.append(page[at : m.start()])
-        at = m.end()
-        tag = m[2] or m[5]
-        if not tag:
+        if lt > at:
+            open_.top.kids.append(page[at:lt])
+        if page.startswith("<!--", lt):
+            end = page.find("-->", lt + 4)
+            at = end + 3 if end >= 0 else size
             continue
-        tag, attributes = tag.lower(), m[3] or m[6] or ""
-        if m[1] or m[4]:
-            node = top
-            while node is not None and node.tag != tag and (tag not in INLINE or node.tag not in SCOPE):
-                node = node.parent
-            if node is not None and node.tag == tag and node.parent is not None:
-                top = node.parent
+        closing = page.startswith("/", lt + 1)
+        m = NAME.match(page, lt + 1 + closing)
+        if m is None:
+            if page[lt + 1] in "!?" or closing:
+                at = gt + 1
+            else:
+                open_.top.kids.append("<")
+                at = lt + 1
+            continue
+        tag, rest = m[0].lower(), REST.match(page, m.end()) if quotes else None
+        if rest is None:  # a quote that never ends: from here on tags end at the next >
+            quotes, at = False, page.find(">", m.end()) + 1
+        else:
+            at = rest.end()
+        attributes = page[m.end() : at - 1]
+        if closing:
+            node = open_.nearest(tag)
+            if node is not None and node.parent is not None:
+                open_.close(node)
             elif tag == "br":
-                top.kids.append(" ")
+                open_.top.kids.append(" ")
             continue
-        if tag in RAW and not attributes.endswith("/"):
+        empty = attributes.endswith("/") and attributes[-2:-1] in ("", " ", "\n", "\t", '"', "'")  # not <a href=/>
+        if tag in RAW and not empty:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = end.end() if end else size
             continue
         if tag in VOID or tag == "html":
             if tag in ("br", "hr"):
-                top.kids.append(" " if tag == "br" else Node(tag, top))
+                open_.top.kids.append(" " if tag == "br" else Node(tag, open_.top))
             continue
-        if tag in ("head", "body"):
-            while top.parent is not None and (top.tag == "head" or tag == "body"):
-                top = top.parent
-        if tag in CLOSES:
-            node, closed = top, None
-            while node is not None and (node.tag in CLOSES[tag] or node.tag not in SCOPE):
-                if node.tag in CLOSES[tag]:
-                    closed = node
-                node = node.parent
-            if closed is not None:
-                top = closed.parent
-        node = Node(tag, top, is_noise(tag, attributes))
-        top.kids.append(node)
-        if not attributes.endswith("/") or tag not in INLINE:
-            top = node
+        if tag == "body":
+            while open_.top.parent is not None:
+                open_.close(open_.top)
+        elif open_.top.tag == "head" and tag in BLOCKS:
+            open_.close(open_.top)
+        if tag in CLOSES and (node := open_.outermost(CLOSES[tag])) is not None:
+            open_.close(node)
+        node = Node(tag, open_.top, is_noise(tag, attributes))
+        node.parent.kids.append(node)
+        if not empty or tag in BLOCKS:
+            open_.push(node)
     spare_content(root)
     return root
 
@@ -201,7 +284,7 @@ def densest(root: Node) -> Node:
         n = stack.pop()
         if n.total > best.total:
             best = n
-        stack += [k for k in reversed(n.kids) if isinstance(k, Node) and k.kept]
+        stack += [k for k in reversed(n.kids) if isinstance(k, Node) and k.kept and not k.noise]
     return best
 
 
@@ -212,21 +295,26 @@ def raised(n: Node, top: Node | None) -> Node:
         outer = outer.parent
     if outer is not None and outer.main:
         return outer
-    while n is not top and n.parent is not None and n.tag not in ("body", "html") and (n.tag in INLINE or n.tag == "p" or n.parent.kept == n.kept):
+    while n is not top and n.parent is not None and n.tag not in ("body", "html") and (n.tag not in BLOCKS or n.tag == "p" or n.parent.kept == n.kept):
         n = n.parent
     return n
 
 
 def article(root: Node) -> list[Node]:
     """The subtrees that are the text, in order."""
-    measure(root)
+    nodes = measure(root)
     if not root.kept:
         return []
     found = densest(root)
-    node, least = found, found.density
-    while node is not None and node.tag not in ("body", "html"):
-        least = min(least, node.density)
+    path, node, least = set(), found, found.density
+    while node is not None:
+        path.add(node)
+        if node.tag not in ("body", "html"):
+            least = min(least, node.density)
         node = node.parent
+    for n in nodes:
+        if n.doubt and n not in path and n.density < DOUBT * least:
+            n.noise = True
     best = raised(found, None)
     path, node = set(), best.parent
     while node is not None:
@@ -238,11 +326,11 @@ def article(root: Node) -> list[Node]:
         if n is best:
             out.append(n)
         elif n in path:
-            stack += [k for k in reversed(n.kids) if isinstance(k, Node) and k.kept and (k is best or k in path or k.tag not in INLINE)]
-        elif n.density >= least > 0:
-            out.append(raised(densest(n), n))
+            stack += [k for k in reversed(n.kids) if isinstance(k, Node) and k.kept and not k.noise and (k is best or k in path or k.tag in BLOCKS)]
+        elif n.density >= (HINT if n.main else 1.0) * least > 0:
+            out.append(n if n.main else raised(densest(n), n))
         else:  # a wrapper of many tags may hold a dense block
-            stack += [k for k in reversed(n.kids) if isinstance(k, Node) and k.kept and k.tag not in INLINE]
+            stack += [k for k in reversed(n.kids) if isinstance(k, Node) and k.kept and not k.noise and k.tag in BLOCKS]
     return out
 
 
@@ -263,14 +351,14 @@ def blocks(node: Node) -> list[str]:
             if isinstance(k, str):
                 run.append(k)
             elif not k.noise:
-                if k.tag not in INLINE:
+                if k.tag in BLOCKS:
                     flush()
                 stack.append(iter(k.kids))
                 owners.append(k)
                 break
         else:
             stack.pop()
-            if owners.pop().tag not in INLINE:
+            if owners.pop().tag in BLOCKS:
                 flush()
     flush()
     return out
@@ -283,7 +371,8 @@ def main_text(page: str | None) -> str:
 
 
 def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
-    """The kept columns, text and n_chars (code points) for each row. No shuffle."""
+    """The kept columns, text and n_chars (code points) for each row; a kept column of these names gives way to them. No shuffle."""
+    keep = tuple(c for c in keep if c not in ("text", "n_chars"))
     names = [*keep, html_col]
 
     def run(batch):
