@@ -15,15 +15,15 @@ and control strings within texts are escaped: a backslash becomes \\b, "<turn:"
 none stands in an escaped text, and decoding in reverse order gives the text back.
 
 Defined cases: null texts and roles count as empty; an event of unknown kind or null sequence is ignored, as
-is a delta, edit or regeneration of a turn that never was opened; events of equal sequence are taken in order of kind (open, edit, regenerate, delta) and
+is a delta, edit or regeneration of a turn that was not opened before it; events of equal sequence are taken in order of kind (open, edit, regenerate, delta) and
 text; a null conversation is one conversation of its own; null turns sort first; a conversation without turns has no
-row; an empty table gives an empty result; other columns are ignored. The result of a conversation
-is one string by its nature: it is the only thing that is gathered, from messages that were folded before.
+row; an empty table gives an empty result; other columns are ignored, whatever their names. The result of a conversation
+is one string by its nature: it is the only thing that is gathered, from messages that were folded before. Folding, rendering and reading back take time in proportion to a conversation's length, but for sorting.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from doclens.llm.common import table
@@ -58,17 +58,17 @@ def fold(events: DataFrame) -> DataFrame:
     e = events.filter(F.col("kind").isin(*KINDS) & F.col("seq").isNotNull()).select(
         "conv_id", "turn", F.struct(F.col("seq"), kind.alias("k"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("role", F.lit("")).alias("role")).alias("e")
     )
-    last_open, last_regeneration = F.max(F.when(F.col("e.k") == 1, F.col("e"))), F.max(F.when(F.col("e.k") == 3, F.col("e.seq")))
+    opened = F.when(F.col("e.k") == 1, F.col("e"))
     turns = (
         e.groupBy("conv_id", "turn")
-        .agg(F.sort_array(F.collect_list("e")).alias("log"), last_open.alias("open"), last_regeneration.alias("cut"))
+        .agg(F.sort_array(F.collect_list("e")).alias("log"), F.min(opened).alias("first"), F.max(opened).alias("open"))
         .filter("open is not null")
         .select(
             "conv_id",
             "turn",
             F.col("open.role").alias("role"),
             F.col("open.seq").alias("since"),
-            "cut",
+            F.array_max(F.transform(F.filter("log", lambda x: (x["k"] == 3) & (x > F.col("first"))), lambda x: x["seq"])).alias("cut"),
             # What counts begins with the last event that sets the text.
             F.filter("log", lambda x: x >= F.col("open")).alias("log"),
         )
@@ -78,33 +78,38 @@ def fold(events: DataFrame) -> DataFrame:
             "turn",
             "role",
             "since",
-            "cut",
+            F.when(F.col("turn").isNotNull(), F.col("cut")).alias("cut"),
             F.array_join(F.transform(F.filter("log", lambda x: x >= F.col("base")), lambda x: F.when(x["k"] == 3, F.lit("")).otherwise(x["text"])), "").alias("text"),
         )
     )
-    cuts = turns.filter("cut is not null").select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.col("cut").alias("until"))
-    # A turn goes if an earlier one was regenerated after its opening. Regenerations are few; the join is by conversation.
-    return turns.join(cuts, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("t") < F.col("turn")) & (F.col("until") > F.col("since")), "left_anti").select("conv_id", "turn", "role", "text")
+    # A turn goes if an earlier one was regenerated after its opening.
+    until = F.max("cut").over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1))
+    return turns.withColumn("until", until).filter("until is null or until <= since").select("conv_id", "turn", "role", "text")
 
 
 def render(messages: DataFrame, loss_role: str = "assistant") -> DataFrame:
-    """messages: (conv_id, turn, role, text). One row per conversation: (conv_id, formatted, loss_spans array<struct<start,length>>), code points from 1."""
+    """messages: (conv_id, turn, role, text). One row per conversation: (conv_id, formatted, loss_spans array<struct<start,length,turn,offset>>).
+
+    A span's start counts code points from 1 in the whole; turn and offset tell the same place by its turn, so that it is found without a scan.
+    """
     head = F.concat(F.lit(OPEN), escape_role(F.col("role")), F.lit(">\n"))
     body = escape(F.col("text"))
     m = messages.select(
-        "conv_id",
-        F.struct(
-            F.col("turn"), F.concat(head, body, F.lit(CLOSE)).alias("piece"), (F.col("role") == loss_role).alias("loss"), F.char_length(head).alias("before"), F.char_length(body).alias("inside")
-        ).alias("m"),
+        "conv_id", "turn", F.concat(head, body, F.lit(CLOSE)).alias("piece"), (F.col("role") == loss_role).alias("loss"), F.char_length(head).alias("before"), F.char_length(body).alias("inside")
+    )
+    order = Window.partitionBy("conv_id").orderBy("turn", "piece")
+    at = F.coalesce(F.sum(F.char_length("piece")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    span = F.struct(
+        (at + F.col("before") + 1).cast("long").alias("start"), F.col("inside").cast("long").alias("length"), F.row_number().over(order).alias("turn"), (F.col("before") + 1).cast("int").alias("offset")
     )
-    start = F.struct(F.lit(1).cast("long").alias("at"), F.expr("cast(array() as array<struct<start:bigint,length:bigint>>)").alias("spans"))
+    m = m.withColumn("span", span).select("conv_id", F.struct(F.col("span.turn").alias("no"), "piece", F.when(F.col("loss"), F.col("span")).alias("span")).alias("m"))
+    spans = F.transform(F.filter("all", lambda x: x["span"].isNotNull()), lambda x: x["span"])
+    return m.groupBy("conv_id").agg(F.sort_array(F.collect_list("m")).alias("all")).select("conv_id", F.array_join(F.transform("all", lambda x: x["piece"]), "").alias("formatted"), spans.alias("loss_spans"))
 
-    def step(acc: Column, x: Column) -> Column:
-        span = F.struct((acc["at"] + x["before"]).cast("long").alias("start"), x["inside"].cast("long").alias("length"))
-        spans = F.when(x["loss"], F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
-        return F.struct((acc["at"] + x["before"] + x["inside"] + len(CLOSE)).cast("long").alias("at"), spans.alias("spans"))
 
-    return m.groupBy("conv_id").agg(F.sort_array(F.collect_list("m")).alias("all")).select("conv_id", F.array_join(F.transform("all", lambda x: x["piece"]), "").alias("formatted"), F.aggregate("all", start, step)["spans"].alias("loss_spans"))
+def masked(formatted: Column, loss_spans: Column) -> Column:
+    """array<string>: what stands under the loss mask, unescaped."""
+    return F.transform(F.array(F.split(formatted, CLOSE)), lambda pieces: F.transform(loss_spans, lambda s: unescape(F.substring(F.get(pieces, s["turn"] - 1), s["offset"], s["length"].cast("int")))))[0]
 
 
 def read_back(formatted: Column) -> Column:
@@ -146,9 +151,8 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
     out = render(fold(event_log(rows)))
-    spans = F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), s["start"].cast("int"), s["length"].cast("int"))))
     return (
-        out.select("conv_id", "formatted", read_back(F.col("formatted")).alias("turns"), F.array_join(spans, "").alias("loss"))
+        out.select("conv_id", "formatted", read_back(F.col("formatted")).alias("turns"), F.array_join(masked(F.col("formatted"), F.col("loss_spans")), "").alias("loss"))
         .select(
             "conv_id",
             F.size("turns").cast("long").alias("n_turns"),
