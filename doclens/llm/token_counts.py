@@ -1,62 +1,57 @@
 """Token counts of documents in flat token files without an index.
 
-A flat file is a run of ids in which an end-of-document id closes each document. It is held as fixed-size blocks of
-bytes (file, block, data), wherever document borders fall. Each block is read once and searched for separators with one vectorised comparison;
+A flat file is a run of ids of two or four bytes in which an end-of-document id closes each document, and nothing else. It is read in fixed-size blocks of
+bytes (file, block, data), wherever document borders fall. Each block is searched for separators with one vectorised comparison;
 only their places go on. A prefix scan over the
 blocks gives every block its offset and the start of the document that is open at
 its beginning, and thereby the documents that cross borders.
 
 Defined cases: an empty document counts 0 tokens; tokens after a file's last separator are a document that is
 not closed (`closed` is false); a file without tokens has no rows; null data counts as an empty block;
-repeated blocks (same file and number) are in error and counted twice; an empty table gives an empty result; other columns
-are ignored.
+of repeated blocks (same file and number) the longest counts, then the one whose separators come first; blocks without a file or a number take no part; an empty table gives an empty result; other columns
+are ignored, whatever their names; ids that don't fit the width raise an error.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from doclens.llm import bpe
-from doclens.llm.common import arrow_map, table, written
+from doclens.llm.common import arrow_map, shared_dir, table, texts
 
-#: Tokens in a block: small enough that a batch of rows fits in memory, large enough that the summaries are few.
-BLOCK = 1 << 16
+#: Tokens in a block: small enough that a batch of rows fits in memory, large enough that the summaries are few; documents in a file that is written.
+BLOCK, DOCUMENTS = 1 << 15, 8192
 
 
 def blocks_of_files(spark: SparkSession, path: str, width: int = 4, block: int = BLOCK) -> DataFrame:
-    """Flat files (each below 2 GB, as binaryFile reads them) as blocks."""
+    """Flat files as blocks (file, block, data). A file is one row of Spark's binary source before it is cut, so files should be bounded."""
     step = block * width
-    f = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
-    n = F.ceil(F.length("content") / step)
-    return f.filter("length(content) > 0").select("file", "content", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("block")).select("file", "block", F.expr(f"substring(content, cast(block * {step} + 1 as int), {step})").alias("data"))
+    f = spark.read.format("binaryFile").load(path).filter("length > 0").select(F.col("path").alias("file"), "content")
+    cut = lambda i: F.substring(F.col("content"), (i * step + 1).cast("int"), F.lit(step))
+    # Only the pieces go through the generator: the whole content would be copied for each of them.
+    pieces = F.transform(F.sequence(F.lit(0).cast("long"), F.ceil(F.length("content") / step) - 1), cut)
+    return f.select("file", F.posexplode(pieces).alias("block", "data")).withColumn("block", F.col("block").cast("long"))
 
 
-def write_blocks(docs: DataFrame, path: str, eod: int, text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """One flat file per partition of docs, encoded by the tokenizer at `path`, each document closed by `eod`. Blocks end at `block` tokens, whatever stands there."""
+def write_files(docs: DataFrame, path: str, tokenizer: str, eod: int, text_col: str = "text", dtype: str = "<u4", documents: int = DOCUMENTS) -> None:
+    """Flat files of ids in the folder `path`: each document's, closed by `eod`, with nothing between; `documents` of them in a file at most.
 
-    def run(batches):
-        from pyspark import TaskContext
+    Spark's text writer writes the bytes of a row and then a separator, here that of documents, so files go wherever Spark can write.
+    """
+    most = np.iinfo(dtype).max
 
-        file, at, held, size = f"part-{TaskContext.get().partitionId():06d}", 0, [], 0
-        e, end = bpe.encoder(path), np.array([eod], "<u4").tobytes()
-        rows = lambda data: pa.RecordBatch.from_pydict({"file": [file] * len(data), "block": range(at, at + len(data)), "data": data}, pa.schema([("file", pa.string()), ("block", pa.int64()), ("data", pa.binary())]))
-        step = 4 * block
-        for batch in batches:
-            for t in batch.column(0).to_pylist():
-                held.append(e.encode(t or "") + end)
-                size += len(held[-1])
-                if size >= step:
-                    data = b"".join(held)
-                    full = size // step
-                    yield rows([data[i * step : (i + 1) * step] for i in range(full)])
-                    at, held, size = at + full, [data[full * step :]], size - full * step
-        if size:
-            yield rows([b"".join(held)])
+    def run(batch):
+        e = bpe.encoder(tokenizer)
+        ids = [np.frombuffer(e.encode(t), "<u4") for t in texts(batch, 0)]
+        if any(len(x) and int(x.max()) > most for x in ids):
+            raise ValueError(f"ids don't fit into {dtype}")
+        return {"value": [x.astype(dtype).tobytes() for x in ids]}
 
-    return docs.select(text_col).mapInArrow(run, "file string, block long, data binary")
+    end = np.array([eod], dtype).tobytes().decode("latin-1")
+    rows = arrow_map(docs.select(text_col), run, "value binary").select(F.col("value").cast("string"))
+    rows.write.option("lineSep", end).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", documents).text(path)
 
 
 def count_documents(blocks: DataFrame, eod: int, dtype: str = "<u4") -> DataFrame:
@@ -77,9 +72,11 @@ def count_documents(blocks: DataFrame, eod: int, dtype: str = "<u4") -> DataFram
             out["last"].append(int(at[-1]) if len(at) else None)
         return out
 
-    s = arrow_map(blocks.select("file", "block", "data"), separators, "file string, block long, n long, seps binary, n_seps long, last long")
+    s = arrow_map(blocks.filter("file is not null and block is not null").select("file", "block", "data"), separators, "file string, block long, n long, seps binary, n_seps long, last long")
+    # Of repeated blocks the first counts.
+    order = Window.partitionBy("file", "group").orderBy("block", F.desc("n"), "seps")
+    s = s.withColumn("group", F.floor(F.col("block") / 4096)).withColumn("again", F.lag("block").over(order) == F.col("block")).filter("not coalesce(again, false)").drop("again")
     # The scan, in two levels, so that a file of any length is never one task's: within groups of blocks, then over the groups' sums.
-    s = s.withColumn("group", F.floor(F.col("block") / 4096))
     before = Window.partitionBy("file", "group").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     within = s.select("*", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("at"), F.coalesce(F.sum("n_seps").over(before), F.lit(0)).alias("doc"))
     within = within.withColumn("end", F.col("at") + F.col("last")).withColumn("open", F.max("end").over(before))
@@ -119,6 +116,8 @@ def count_documents(blocks: DataFrame, eod: int, dtype: str = "<u4") -> DataFram
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents are encoded into flat files in the shared folder, which are then counted without any index."""
-    path = bpe.default_path()
-    eod = bpe.encoder(path).special["<|endoftext|>"]
-    return count_documents(written(write_blocks(table(spark, sf_dir, "documents"), path, eod), "tokens"), eod)
+    tokenizer = bpe.default_path()
+    eod = bpe.encoder(tokenizer).special["<|endoftext|>"]
+    path = shared_dir(spark, "tokens")
+    write_files(table(spark, sf_dir, "documents"), path, tokenizer, eod, dtype="<u2")
+    return count_documents(blocks_of_files(spark, path, 2), eod, "<u2")
