@@ -54,12 +54,16 @@ def octets(batch: pa.RecordBatch, column: int | str) -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
-def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], dict[str, list]], schema: str) -> DataFrame:
-    """mapInArrow with a function from a batch to columns."""
+def arrow_schema(ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
+    return to_arrow_schema(_parse_datatype_string(ddl))
+
+
+def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], dict[str, list]], schema: str) -> DataFrame:
+    """mapInArrow with a function from a batch to columns."""
+    arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,7 +1,7 @@
 """Token counts of documents in flat token files without an index.
 
-A flat file is a run of ids of two or four bytes in which an end-of-document id closes each document, and nothing else. It is read in fixed-size blocks of
-bytes (file, block, data), wherever document borders fall. Each block is searched for separators with one vectorised comparison;
+A flat file is a run of ids of two or four bytes in which an end-of-document id closes each document, and nothing else. It is searched in fixed-size blocks of
+bytes, wherever document borders fall. Each block is searched for separators with one vectorised comparison;
 only their places go on. A prefix scan over the
 blocks gives every block its offset and the start of the document that is open at
 its beginning, and thereby the documents that cross borders.
@@ -15,24 +15,52 @@ are ignored, whatever their names; ids that don't fit the width raise an error.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from doclens.llm import bpe
-from doclens.llm.common import arrow_map, shared_dir, table, texts
+from doclens.llm.common import arrow_map, arrow_schema, shared_dir, table, texts, written
 
 #: Tokens in a block: small enough that a batch of rows fits in memory, large enough that the summaries are few; documents in a file that is written.
 BLOCK, DOCUMENTS = 1 << 15, 8192
+#: Texts that a task encodes before it hands them on.
+SLICE = 500
 
 
-def blocks_of_files(spark: SparkSession, path: str, width: int = 4, block: int = BLOCK) -> DataFrame:
-    """Flat files as blocks (file, block, data). A file is one row of Spark's binary source before it is cut, so files should be bounded."""
-    step = block * width
-    f = spark.read.format("binaryFile").load(path).filter("length > 0").select(F.col("path").alias("file"), "content")
-    cut = lambda i: F.substring(F.col("content"), (i * step + 1).cast("int"), F.lit(step))
-    # Only the pieces go through the generator: the whole content would be copied for each of them.
-    pieces = F.transform(F.sequence(F.lit(0).cast("long"), F.ceil(F.length("content") / step) - 1), cut)
-    return f.select("file", F.posexplode(pieces).alias("block", "data")).withColumn("block", F.col("block").cast("long"))
+SUMMARY = "file string, block long, n long, seps binary, n_seps long, last long"
+
+
+def searched(file: str, number: int, data: bytes | memoryview, eod: int, dtype: str) -> tuple:
+    """A block's summary: its tokens, where separators stand in it, how many and the last."""
+    ids = np.frombuffer(data, dtype, len(data) // np.dtype(dtype).itemsize)
+    at = np.flatnonzero(ids == eod).astype(np.int32)
+    return file, number, len(ids), at.tobytes(), len(at), int(at[-1]) if len(at) else None
+
+
+def summaries_of_files(spark: SparkSession, path: str, eod: int, dtype: str = "<u4", block: int = BLOCK) -> DataFrame:
+    """Summaries of the blocks of flat files. A file is one row of Spark's binary source, so files should be bounded; its blocks are cut where it is searched, without a copy."""
+    step, schema = block * np.dtype(dtype).itemsize, arrow_schema(SUMMARY)
+
+    def run(batches):
+        for batch in batches:
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                data = memoryview(content.as_buffer())
+                rows = [searched(file, k, data[at : at + step], eod, dtype) for k, at in enumerate(range(0, len(data), step))]
+                yield pa.RecordBatch.from_pydict({f.name: [r[i] for r in rows] for i, f in enumerate(schema)}, schema)
+
+    files = spark.read.format("binaryFile").load(path).filter("length > 0").select(F.col("path").alias("file"), "content")
+    return files.mapInArrow(run, SUMMARY)
+
+
+def summaries_of_blocks(blocks: DataFrame, eod: int, dtype: str = "<u4") -> DataFrame:
+    """Summaries of blocks that are rows: (file, block, data)."""
+
+    def run(batch):
+        rows = [searched(f, k, d or b"", eod, dtype) for f, k, d in zip(*(batch.column(i).to_pylist() for i in range(3)))]
+        return {c.split()[0]: [r[i] for r in rows] for i, c in enumerate(SUMMARY.split(", "))}
+
+    return arrow_map(blocks.filter("file is not null and block is not null").select("file", "block", "data"), run, SUMMARY)
 
 
 def write_files(docs: DataFrame, path: str, tokenizer: str, eod: int, text_col: str = "text", dtype: str = "<u4", documents: int = DOCUMENTS) -> None:
@@ -42,37 +70,26 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, eod: int, text_col:
     """
     most = np.iinfo(dtype).max
 
-    def run(batch):
+    def run(batches):
         e = bpe.encoder(tokenizer)
-        ids = [np.frombuffer(e.encode(t), "<u4") for t in texts(batch, 0)]
-        if any(len(x) and int(x.max()) > most for x in ids):
-            raise ValueError(f"ids don't fit into {dtype}")
-        return {"value": [x.astype(dtype).tobytes() for x in ids]}
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                ids = [np.frombuffer(e.encode(t), "<u4") for t in texts(batch.slice(at, SLICE), 0)]
+                if any(len(x) and int(x.max()) > most for x in ids):
+                    raise ValueError(f"ids don't fit into {dtype}")
+                yield pa.RecordBatch.from_pydict({"value": [x.astype(dtype).tobytes() for x in ids]}, pa.schema([("value", pa.binary())]))
 
     end = np.array([eod], dtype).tobytes().decode("latin-1")
-    rows = arrow_map(docs.select(text_col), run, "value binary").select(F.col("value").cast("string"))
+    rows = docs.select(text_col).mapInArrow(run, "value binary").select(F.col("value").cast("string"))
     rows.write.option("lineSep", end).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", documents).text(path)
 
 
-def count_documents(blocks: DataFrame, eod: int, dtype: str = "<u4") -> DataFrame:
+def count_documents(summaries: DataFrame) -> DataFrame:
     """(file, doc_no, start, n_tokens, closed): every document's place and tokens, its separator not counted.
 
-    Tokens stay where they are: a block sends its number of tokens and four bytes for each separator.
+    Tokens stay where they are: a block's summary holds its number of tokens and four bytes for each separator. Summaries are written, as they are read twice.
     """
-    width = np.dtype(dtype).itemsize
-
-    def separators(batch):
-        out = {"file": batch.column(0), "block": batch.column(1), "n": [], "seps": [], "n_seps": [], "last": []}
-        for data in batch.column(2).to_pylist():
-            ids = np.frombuffer(data or b"", dtype, len(data or b"") // width)
-            at = np.flatnonzero(ids == eod).astype(np.int32)
-            out["n"].append(len(ids))
-            out["seps"].append(at.tobytes())
-            out["n_seps"].append(len(at))
-            out["last"].append(int(at[-1]) if len(at) else None)
-        return out
-
-    s = arrow_map(blocks.filter("file is not null and block is not null").select("file", "block", "data"), separators, "file string, block long, n long, seps binary, n_seps long, last long")
+    s = written(summaries, "separators")
     # Of repeated blocks the first counts.
     order = Window.partitionBy("file", "group").orderBy("block", F.desc("n"), "seps")
     s = s.withColumn("group", F.floor(F.col("block") / 4096)).withColumn("again", F.lag("block").over(order) == F.col("block")).filter("not coalesce(again, false)").drop("again")
@@ -120,4 +137,4 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     eod = bpe.encoder(tokenizer).special["<|endoftext|>"]
     path = shared_dir(spark, "tokens")
     write_files(table(spark, sf_dir, "documents"), path, tokenizer, eod, dtype="<u2")
-    return count_documents(blocks_of_files(spark, path, 2), eod, "<u2")
+    return count_documents(summaries_of_files(spark, path, eod, "<u2"))

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from doclens.llm import bpe
-from doclens.llm.token_counts import blocks_of_files, count_documents, write_files
+from doclens.llm.token_counts import count_documents, summaries_of_blocks, summaries_of_files, write_files
 
 
 def brute(ids, eod):
@@ -23,7 +23,7 @@ def test_flat_files_against_brute_force(spark, tmp_path, block):
         (tmp_path / name).write_bytes(ids.tobytes())
         want[name] = brute(ids.tolist(), 9)
     got = {k: [] for k in want}
-    for r in count_documents(blocks_of_files(spark, str(tmp_path), block=block), 9).orderBy("file", "doc_no").collect():
+    for r in count_documents(summaries_of_files(spark, str(tmp_path), 9, block=block)).orderBy("file", "doc_no").collect():
         got[r.file.rpartition("/")[2]].append((r.start, r.n_tokens, r.closed))
         assert r.doc_no == len(got[r.file.rpartition("/")[2]]) - 1
     assert got == want
@@ -39,7 +39,7 @@ def test_written_files(spark, tmp_path, dtype, documents):
     ids = [np.frombuffer(e.encode(t or ""), "<u4") for t in texts]
     files = sorted(f for f in (tmp_path / "flat").iterdir() if f.name.startswith("part-"))
     assert np.concatenate([np.fromfile(f, dtype) for f in files]).tolist() == [x for i in ids for x in [*i.tolist(), 50256]]
-    got = count_documents(blocks_of_files(spark, path, np.dtype(dtype).itemsize, block=8), 50256, dtype).orderBy("file", "doc_no").collect()
+    got = count_documents(summaries_of_files(spark, path, 50256, dtype, block=8)).orderBy("file", "doc_no").collect()
     assert [r.n_tokens for r in got] == [len(x) for x in ids] and all(r.closed for r in got)
 
 
@@ -47,10 +47,10 @@ def test_odd_blocks(spark):
     data = lambda *x: np.array(x, "<u4").tobytes()
     rows = [("a", 0, data(1, 9, 1)), ("a", 0, data(1, 9, 1)), ("a", 0, data(1)), ("a", 1, None), ("a", 2, data(1, 9)), (None, 0, data(9)), ("b", None, data(9)), ("c", 0, None), ("c", 1, b"")]
     df = spark.createDataFrame([(*r, "clash", 1) for r in rows], "file string, block long, data binary, seps string, n int")
-    got = sorted((r.file, r.doc_no, r.start, r.n_tokens, r.closed) for r in count_documents(df, 9).collect())
+    got = sorted((r.file, r.doc_no, r.start, r.n_tokens, r.closed) for r in count_documents(summaries_of_blocks(df, 9)).collect())
     assert got == [("a", 0, 0, 1, True), ("a", 1, 2, 2, True)]
 
 
 def test_no_blocks(spark):
     none = spark.createDataFrame([], "file string, block long, data binary")
-    assert count_documents(none, 9).count() == 0
+    assert count_documents(summaries_of_blocks(none, 9)).count() == 0
