@@ -6,15 +6,15 @@ the Jaccard similarity of their sets is at least num/den.
 
 1. Equal sets are one node. Sizes fall into bands whose ends differ by num/den, so linked sets stand in one band or in neighbours. In a band, linked
    sets differ in at most k shingles. The hashed domain is parted in n1 pieces of n2 parts each; signatures are all subsets of n2 - k2 parts of each piece. As (k2 + 1) * (n1 - slack) > k,
-   at least slack + 1 pieces hold at most k2 differences, so linked sets share a signature in each of these. (n2, k2) is (3, 1), or (5, 2) for loose
-   similarities, whose signatures would otherwise hold so few shingles that shared passages give many accidental ones.
-2. Up to `DIRECT` sets that share a signature make direct pairs. Where there is slack, two shared signatures are asked for, as one may be an accident, and parity bitmaps refute pairs that can't
-   link. A larger bucket counts as lost for its sets. A set that lost no more than the slack spares is found by direct pairs all the same; only sets that lost more ("poor", as in large
-   groups of near copies) are joined to one of them, their hub, and so are sets beyond `LOCAL` in a block of input. So rows are in proportion to a bucket's size. Pairs that stand
-   connect sets to families; linked sets are always in one.
-3. A family of at most `FAMILY` nodes and `ELEMENTS` shingles is settled within one task, exactly: bitmaps bound
+   at least slack + 1 pieces hold at most k2 differences, so linked sets share a signature in each of these. (n2, k2) is (3, 1).
+2. Up to `DIRECT` sets that share a signature make direct pairs. Where there is slack, two shared signatures are asked for, as one may be an accident. A larger bucket
+   counts as lost for its sets, and so does one with more than `LOCAL` sets of a block of input, of which only one is sent. A set that lost no more than the slack spares is found by direct pairs all the same. Sets that lost more ("poor") hold what
+   many sets hold: near copies in large groups, or passages that many texts share.
+3. Poor sets are told apart by what is rare in them. Linked sets share one of the first |s| - t|s| + 1 elements of each in any common order (t the similarity); the order here is by how often an element's residue
+   occurs in the corpus (2**20 counters, summed in the first pass), so shared passages come last. Poor sets that share one of these elements make direct pairs, or, in a large bucket, are joined to one of them, its hub: rows are in proportion to a bucket's size.
+4. Parity bitmaps refute direct pairs that can't link. What stands, with the pairs of hubs, connects sets to families; linked sets are always in one. A family of at most `FAMILY` nodes and `ELEMENTS` shingles is settled within one task, exactly: bitmaps bound
    two sets' difference from below, and what they leave is compared in full unless it is connected already.
-4. A larger family is settled by comparing with hubs, in rounds of joins. Sets behind a block's hub are compared with the hubs of all its large buckets, too, so any two sets of a bucket
+   A larger family is settled by comparing with hubs, in rounds of joins. Sets behind a block's hub are compared with the hubs of all its large buckets, too, so any two sets of a bucket
    have one in common. Let u and v have been compared with a hub c, and differ from it by du and dv.
    If u and v link and not both link with c, du and dv overlap in more than a known number of elements. Prefixes of du and dv, elements that c lacks first, therefore share
    an element; (c, element) is a new, smaller bucket with a hub of its own. No pair is compared twice, so this ends; no partner is capped.
@@ -22,7 +22,7 @@ the Jaccard similarity of their sets is at least num/den.
 
 Defined cases: null and empty texts have an empty set and stand alone; a row without an id takes no part (null component);
 rows of equal id are taken one by one and share the id; an empty table gives an empty result; other columns are ignored by
-`groups` and kept by `one_of_each`. Ids are integers.
+`groups` and kept by `one_of_each`, whatever their names. Ids are integers.
 """
 
 from __future__ import annotations
@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from doclens.llm.common import WordHashes, arrow_map, mix, octets, packed, runs_of, shingle_hashes, table, trim, unpacked, written
 from doclens.llm.components import components
@@ -44,6 +45,10 @@ CHUNK, SMALL = 1_000_000, 2_000_000
 FAMILY, ELEMENTS = 16_384, 16_000_000
 #: Sets of one signature up to which all pairs are made, a bounded number for each set; and sets of a block beyond which only their hub is sent on.
 DIRECT, LOCAL = 24, 64
+#: Bits of an element that tell its residue, and tasks that sum up residues' counts.
+RESIDUE, MERGED = 20, 32
+#: A name that no table's column has.
+SPARE = "__ngram_join__"
 _words = WordHashes()
 
 
@@ -62,7 +67,7 @@ class Bands:
 
     def __init__(self, num: int, den: int):
         self.num, self.den, self.ends = num, den, [0]
-        self.n2, self.k2 = (3, 1) if 6 * (den - num) <= den else (5, 2)
+        self.n2, self.k2 = 3, 1
         self.subsets = list(itertools.combinations(range(self.n2), self.n2 - self.k2))
 
     def band(self, n: int) -> int:
@@ -152,11 +157,23 @@ def direct(nodes: np.ndarray, first: np.ndarray, size: np.ndarray, upto: int) ->
     return out
 
 
-def _blocks(size: int, num: int, den: int, shards: int):
-    """Map side: (shard, sigs, members, pairs), blobs of a chunk of documents."""
-    names = ("shard", "sigs", "members", "pairs")
+def prefix(s: np.ndarray, weights: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The elements of which linked sets share one: the rarest, by their residues' weights, then by themselves."""
+    order = np.lexsort((s, weights[(s >> np.uint64(64 - RESIDUE)).astype(np.int64)]))
+    return s[order[: len(s) - -(-num * len(s) // den) + 1]]
+
+
+def _blocks(size: int, num: int, den: int, shards: int, weights: np.ndarray | None = None):
+    """Map side: (shard, sigs, members, pairs, weights), blobs of a chunk of documents (doc_id, text), and the task's counts of residues.
+
+    With weights: of documents (doc_id, text, node), the keys are prefixes instead of signatures, and only sigs and pairs are sent.
+    """
+    names = ("shard", "sigs", "members", "pairs", "weights")
     schema = pa.schema([("shard", pa.int32()), *((n, pa.binary()) for n in names[1:])])
 
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({n: [r[i] for r in rows] for i, n in enumerate(names)}, schema)
+
     def flush(ids, sizes, nodes, sigs, traits) -> Iterator[pa.RecordBatch]:
         shown = np.array(nodes, np.int64)
         owner = np.repeat(shown, [len(x) for x in sigs])
@@ -169,26 +186,38 @@ def _blocks(size: int, num: int, den: int, shards: int):
         keys, owner, hub = keys[sent], owner[sent], hub[sent]
         low = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)  # within a shard, of a bounded number of signatures; what falls together is told apart later
         shard = (((keys >> np.uint64(40)) * np.uint64(shards)) >> np.uint64(24)).astype(np.int32)
-        order = np.lexsort((owner, shard))
+        order = np.lexsort((low, owner, shard))
         low, shard, owner, hub = low[order], shard[order], owner[order], hub[order]
         rows: list[tuple] = []
         for a, b in runs_of(shard):
             o = owner[a:b]
             first = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]]))
             value = packed(o[first], np.array([trait[x] for x in o[first].tolist()], np.uint16), np.diff(np.append(first, b - a)).astype(np.uint32), low[a:b], hub[a:b])
-            rows.append((int(shard[a]), value, None, None))
+            rows.append((int(shard[a]), value, None, None, None))
         known = np.array([i is not None for i in ids], bool)
         numbers = np.array([i or 0 for i in ids], np.int64)
-        rows.append((abs(hash(nodes[0])) % shards, None, packed(numbers, known, np.array(sizes, np.int64), shown), packed(pairs[:, 0].copy(), pairs[:, 1].copy())))
-        yield pa.RecordBatch.from_pydict({n: [r[i] for r in rows] for i, n in enumerate(names)}, schema)
+        members = packed(numbers, known, np.array(sizes, np.int64), shown) if weights is None else None
+        rows.append((abs(hash(nodes[0])) % shards, None, members, packed(pairs[:, 0].copy(), pairs[:, 1].copy()), None))
+        yield batch_of(rows)
 
     def run(batches):
+        from pyspark import TaskContext
+
         bands, held, n = Bands(num, den), ([], [], [], [], []), 0
+        counts = np.zeros(1 << RESIDUE, np.int64)
         for batch in batches:
-            for i, t in zip(batch.column(0).to_pylist(), octets(batch, 1)):
+            wanted = batch.column(2).to_pylist() if weights is not None else itertools.repeat(None)
+            for i, t, node in zip(batch.column(0).to_pylist(), octets(batch, 1), wanted):
                 s = shingle_set(t, size)
-                sig, need, spare = signatures(s, bands) if len(s) and i is not None else (np.zeros(0, np.uint64), 1, 0)
-                for x, y in zip(held, (i, len(s), node_of(s), sig, need << 8 | max(0, spare))):
+                name, sig, need, spare = node_of(s), np.zeros(0, np.uint64), 1, 0
+                if weights is not None:
+                    if name != node:
+                        continue
+                    sig = mix(prefix(s, weights, num, den))
+                elif len(s) and i is not None:
+                    sig, need, spare = signatures(s, bands)
+                    np.add.at(counts, (s >> np.uint64(64 - RESIDUE)).astype(np.int64), 1)
+                for x, y in zip(held, (i, len(s), name, sig, need << 8 | max(0, spare))):
                     x.append(y)
                 n += len(sig) + 1
                 if n >= CHUNK:
@@ -197,17 +226,29 @@ def _blocks(size: int, num: int, den: int, shards: int):
                     trim()
         if held[0]:
             yield from flush(*held)
-        del held
+        if weights is None and counts.any():
+            yield batch_of([(TaskContext.get().partitionId() % min(shards, MERGED), None, None, None, packed(counts.astype(np.uint32)))])
+        del held, counts
         _words.clear()
         trim()
 
     return run
 
 
-#: Rows of the reduce side: members (doc_id, n, u), direct pairs (u, c, times that they share a signature, how often they must), sets of large buckets
+#: Rows of the reduce side: sums of residues' counts (counts), members (doc_id, n, u), direct pairs (u, c, times that they share a signature, how often they must), sets of large buckets
 #: (u, c the bucket, what u spares, 1 if u stands for others) and pairs with a hub (u, c).
-MEMBER, PAIR, LARGE, STAR = range(4)
-OUT = pa.schema([("kind", pa.int32()), *((c, pa.int64()) for c in ("doc_id", "n", "u", "c", "x", "y"))])
+MEMBER, PAIR, LARGE, STAR, COUNTS = range(5)
+OUT = pa.schema([("kind", pa.int32()), *((c, pa.int64()) for c in ("doc_id", "n", "u", "c", "x", "y")), ("counts", pa.binary())])
+OUT_DDL = "kind int, doc_id long, n long, u long, c long, x long, y long, counts binary"
+
+
+def residues(blobs: list[bytes | None]) -> np.ndarray | None:
+    """Sums of packed counts."""
+    total = None
+    for x in blobs:
+        if x is not None:
+            total = unpacked(x)[0].astype(np.int64) + (0 if total is None else total)
+    return total
 
 
 def _buckets(t: pa.Table) -> pa.Table:
@@ -217,6 +258,8 @@ def _buckets(t: pa.Table) -> pa.Table:
         n = len(columns["u"])
         out.append(pa.table([pa.array(np.full(n, kind, np.int32)), *(columns[f.name] if isinstance(columns.get(f.name), pa.Array) else pa.array(np.ascontiguousarray(columns[f.name]), f.type) if f.name in columns else pa.nulls(n, f.type) for f in list(OUT)[1:])], schema=OUT))
 
+    if (total := residues(t["weights"].to_pylist())) is not None:
+        out.append(pa.table([pa.array([COUNTS], pa.int32()), *(pa.nulls(1, pa.int64()) for _ in range(6)), pa.array([packed(total)], pa.binary())], schema=OUT))
     for sigs, members, pairs in zip(t["sigs"].to_pylist(), t["members"].to_pylist(), t["pairs"].to_pylist()):
         if sigs is not None:
             owner, trait, runs, low, hub = unpacked(sigs)
@@ -409,36 +452,54 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     """(members (doc_id, n_shingles, node), (node, root) of the nodes that have candidates)."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    shards = (Bands(num, den).k2 * 2 - 1) * max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)  # loose similarities have three times the signatures
-    sent = rows.mapInArrow(_blocks(size, num, den, shards), "shard int, sigs binary, members binary, pairs binary")
-    both = written(sent.groupBy("shard").applyInArrow(_buckets, "kind int, doc_id long, n long, u long, c long, x long, y long"), "join")
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
+    blobs = "shard int, sigs binary, members binary, pairs binary, weights binary"
+    sent = rows.mapInArrow(_blocks(size, num, den, shards), blobs)
+    both = written(sent.groupBy("shard").applyInArrow(_buckets, OUT_DDL), "join")
     members = both.filter(F.col("kind") == MEMBER).select("doc_id", F.col("n").alias("n_shingles"), F.col("u").alias("node"))
-    pairs = both.filter(F.col("kind") == PAIR).groupBy("u", "c").agg(F.sum("x").alias("times"), F.min("y").alias("need")).filter("times >= need").select("u", "c", F.lit(False).alias("star"))
-    large = both.filter(F.col("kind") == LARGE).select("u", F.col("c").alias("bucket"), "x", "y")
-    forced = large.filter("y = 1").select(F.col("u").alias("local"), "bucket").distinct()
-    poor = large.groupBy("u").agg(F.count("*").alias("lost"), F.min("x").alias("spare"), F.max("y").alias("forced")).filter("lost > spare or forced = 1").select("u")
-    poor = large.join(poor, "u", "left_semi").select("u", "bucket")
-    hubs = poor.groupBy("bucket").agg(F.min("u").alias("c"))
-    behind = both.filter(F.col("kind") == STAR).select("u", "c")
-    stars_ = poor.join(hubs, "bucket").select("u", "c").unionByName(behind).filter("u <> c").distinct()
-    pairs = written(pairs.unionByName(stars_.withColumn("star", F.lit(True))).groupBy("u", "c").agg(F.bool_or("star").alias("star")), "candidates")
-
-    # Sets of the nodes that have candidates, from one document of each.
-    ends = pairs.select(F.explode(F.array("u", "c")).alias("node")).distinct()
+    direct_ = both.filter(F.col("kind") == PAIR).groupBy("u", "c").agg(F.sum("x").alias("times"), F.min("y").alias("need")).filter("times >= need").select("u", "c")
+    lost = both.filter(F.col("kind") == LARGE).groupBy("u").agg(F.count("*").alias("lost"), F.min("x").alias("spare"), F.max("y").alias("forced")).filter("lost > spare or forced = 1").select("u")
+    behind = both.filter(F.col("kind") == STAR).select(F.explode(F.array("u", "c")).alias("u"))
+    poor = lost.unionByName(behind).distinct().withColumnRenamed("u", "node")
+
+    # One document of each node tells its set.
     named = members.filter("doc_id is not null and n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    chosen = written(named.join(ends, "node", "left_semi").select("doc_id", "node"), "chosen")
-    few = chosen.count() <= SMALL  # 16 bytes each; beyond it the join shuffles
 
-    def to_set(batch):
-        got = [(n, s) for n, t in zip(batch.column(0).to_pylist(), octets(batch, 1)) if node_of(s := shingle_set(t, size)) == n]
-        return {"node": [n for n, _ in got], "n": [len(s) for _, s in got], "map": [bitmap(s, width(len(s))) for _, s in got], "set": [s.tobytes() for _, s in got]}
+    def texts_of(nodes: DataFrame, name: str) -> DataFrame:
+        """(doc_id, text, node) of one document of each node; its text may have another set where ids are repeated."""
+        chosen = written(named.join(nodes, "node", "left_semi").select("doc_id", "node"), name)
+        few = chosen.count() <= SMALL  # 16 bytes each; beyond it the join shuffles
+        return rows.join(F.broadcast(chosen) if few else chosen, "doc_id").select("doc_id", "text", "node")
+
+    def once(df: DataFrame) -> DataFrame:
+        """A row for each node, where repeated rows gave more."""
+        if df.groupBy("node").count().filter("count > 1").isEmpty():
+            return df
+        return df.groupBy("node").agg(*(F.first(c).alias(c) for c in df.columns if c != "node"))
+
+    # Poor sets, by what is rare in them.
+    weights = residues([r["counts"] for r in both.filter(F.col("kind") == COUNTS).select("counts").collect()])  # MERGED rows of 2**RESIDUE counters at most
+    weights = np.zeros(1 << RESIDUE, np.int64) if weights is None else weights
+    rare = texts_of(poor, "poor").mapInArrow(_blocks(size, num, den, shards, weights), blobs)
+    rare = written(rare.groupBy("shard").applyInArrow(_buckets, OUT_DDL), "rare")
+    large = rare.filter(F.col("kind") == LARGE).select("u", F.col("c").alias("bucket"), "y")
+    forced = large.filter("y = 1").select(F.col("u").alias("local"), "bucket").distinct()
+    hubs = large.groupBy("bucket").agg(F.min("u").alias("c"))
+    behind = rare.filter(F.col("kind") == STAR).select("u", "c")
+    stars_ = large.join(hubs, "bucket").select("u", "c").unionByName(behind).filter("u <> c").distinct()
+    pairs = direct_.unionByName(rare.filter(F.col("kind") == PAIR).select("u", "c")).withColumn("star", F.lit(False)).unionByName(stars_.withColumn("star", F.lit(True)))
+    pairs = written(pairs.groupBy("u", "c").agg(F.bool_or("star").alias("star")), "candidates")
+
+    def to_map(batch):
+        got = [(n, s) for t, n in zip(octets(batch, 1), batch.column(2).to_pylist()) if node_of(s := shingle_set(t, size)) == n]
+        return {"node": [n for n, _ in got], "n": [len(s) for _, s in got], "map": [bitmap(s, width(len(s))) for _, s in got]}
 
-    sets = arrow_map(rows.join(F.broadcast(chosen) if few else chosen, "doc_id").select("node", "text"), to_set, "node long, n long, map binary, set binary")
-    sets = written(sets, "sets")
-    if not sets.groupBy("node").count().filter("count > 1").isEmpty():  # repeated rows
-        sets = sets.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "map", "set")))
+    def to_set(batch):
+        got = [(n, s) for t, n in zip(octets(batch, 1), batch.column(2).to_pylist()) if node_of(s := shingle_set(t, size)) == n]
+        return {"node": [n for n, _ in got], "set": [s.tobytes() for _, s in got]}
 
-    maps = sets.select("node", "n", "map")
+    ends = pairs.select(F.explode(F.array("u", "c")).alias("node")).distinct()
+    maps = once(written(arrow_map(texts_of(ends, "ends"), to_map, "node long, n long, map binary"), "maps"))
     u, c = maps.toDF("u", "un", "um"), maps.toDF("c", "cn", "cm")
     standing = arrow_map(pairs.filter("not star").join(u, "u").join(c, "c").select("u", "c", "un", "cn", "um", "cm"), _standing(num, den), "a long, b long")
     edges = written(standing.unionByName(pairs.filter("star").select(F.col("u").alias("a"), F.col("c").alias("b"))), "pairs")
@@ -447,7 +508,8 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     held = families.join(maps.select("node", "n"), "node")
     large = held.groupBy("family").agg(F.count("*").alias("nodes"), F.sum("n").alias("elements")).filter((F.col("nodes") > family) | (F.col("elements") > ELEMENTS)).select("family", F.lit(True).alias("large"))
     families = written(families.join(large, "family", "left").select("node", "family", F.coalesce("large", F.lit(False)).alias("large")), "families")
-    small = families.filter("not large").join(sets.select("node", "set"), "node").select("family", "node", "set")
+    sets = once(written(arrow_map(texts_of(families.select("node"), "held"), to_set, "node long, set binary"), "sets"))
+    small = families.filter("not large").join(sets, "node").select("family", "node", "set")
     roots = small.repartition("family").sortWithinPartitions("family").mapInArrow(_families(num, den), "node long, root long")
     large = families.filter("large").select("node")
     if large.isEmpty():
@@ -457,7 +519,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     above = forced.join(hubs, "bucket").select("local", "c").filter("local <> c").distinct()
     met = behind.withColumnRenamed("c", "local").join(large.withColumnRenamed("node", "u"), "u", "left_semi").join(above, "local").select("u", "c")
     rest = rest.unionByName(met).filter("u <> c").distinct()
-    links = by_hubs(rest, sets.select("node", "set").join(large, "node", "left_semi"), num, den)
+    links = by_hubs(rest, sets.join(large, "node", "left_semi"), num, den)
     return members, written(roots.unionByName(components(links)), "roots")
 
 
@@ -471,16 +533,38 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """The rows of the least id of each group, with all their columns; a row without an id stays, of rows of one id that stays one."""
-    found = written(groups(docs, id_col, text_col, size, num, den), "groups")
-    spare = found.filter(f"`{id_col}` <> component_id").select(id_col).distinct()
-    repeated = found.filter(f"`{id_col}` is not null").groupBy(id_col).count().filter("count > 1")
-    if spare.count() <= SMALL:
-        spare = F.broadcast(spare)
-    kept = docs.join(spare, id_col, "left_anti").select(docs.columns)
+    """One row of each group, with all its columns: of the least id, and of several with that id one whose set has the least name.
+
+    Rows without an id or without words are in no group and stay. Rows are told apart by id and set, so what shares an id with a copy stays if it is none itself.
+    """
+    members, roots = linked(docs, id_col, text_col, size, num, den)
+    rows = members.filter("doc_id is not null and n_shingles > 0").join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
+    least = rows.groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("kept"))
+    found = written(rows.join(least, "root").select("doc_id", "node", "root", "kept"), "groups")
+    repeated = written(members.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
+    spare = found.filter("doc_id <> kept.doc_id").select("doc_id").distinct()
+    few = spare.count() <= SMALL  # 16 bytes each; beyond it the join shuffles
+    own = F.col(id_col).cast("long")
     if repeated.isEmpty():
-        return kept
-    return kept.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.filter(F.col(id_col).isNull()))
+        drop = spare.withColumnRenamed("doc_id", SPARE)
+        return docs.join(F.broadcast(drop) if few else drop, own == F.col(SPARE), "left_anti")
+    once = spare.join(repeated, "doc_id", "left_anti")
+    drop = once.unionByName(repeated).withColumnRenamed("doc_id", SPARE)
+    kept = docs.join(drop, own == F.col(SPARE), "left_anti")
+
+    # Rows of repeated ids: their sets are named anew, and of each group's rows one is taken.
+    again = docs.join(repeated.withColumnRenamed("doc_id", SPARE), own == F.col(SPARE), "left_semi")
+    at, schema = docs.columns.index(text_col), StructType([*docs.schema.fields, StructField(SPARE, LongType())])
+
+    def name(batches):
+        for batch in batches:
+            sets = (shingle_set(t, size) for t in octets(batch, at))
+            yield batch.append_column(SPARE, pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()))
+
+    named = again.mapInArrow(name, schema)
+    to_keep = found.filter("doc_id = kept.doc_id and node = kept.node").select(F.col("doc_id").alias(f"{SPARE}d"), F.col("node").alias(f"{SPARE}n")).distinct()
+    one = named.join(to_keep, (own == F.col(f"{SPARE}d")) & (F.col(SPARE) == F.col(f"{SPARE}n"))).dropDuplicates([f"{SPARE}d", f"{SPARE}n"])
+    return kept.unionByName(named.filter(F.col(SPARE).isNull()).select(docs.columns)).unionByName(one.select(docs.columns))
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -129,6 +129,17 @@ def test_groups_of_odd_rows(odd, none):
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 0, 1, 2, 3, 4, 5, 6, 8]
 
 
+def test_one_of_each_row_by_row(spark):
+    """Rows are dropped for what they are, not for an id that they share."""
+    copy, other, third = "a b c d e f g h i j", "one two three four five six seven", "red green blue cyan pink grey gold lime teal navy plum rust"
+    rows = [(3, copy), (5, copy), (5, other), (5, other), (7, f"{copy} k"), (7, third), (None, copy), (9, ""), (9, None), (4, other), (2, third), (2, third), (2, f"{third} tan")]
+    df = spark.createDataFrame([(t, i, "x") for i, t in rows], "text string, doc_id int, node string")
+    got = sorted((r.doc_id or 0, r.text or "") for r in ngram_join.one_of_each(df).collect())
+    assert got[:3] == [(0, copy), (2, got[1][1]), (3, copy)] and got[1][1] in (third, f"{third} tan") and got[3:] == [(4, other), (9, ""), (9, "")]
+    unique = spark.createDataFrame([(1, copy), (2, copy), (3, other)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in ngram_join.one_of_each(unique).collect()) == [1, 3]
+
+
 # Language model
 
 
