@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doclens.llm.common import arrow_map, table, texts
+from doclens.llm.common import arrow_map, table, texts, trim
 
 #: The usual pre-tokenization, the commonest case first; a contraction starts with no letter, digit or space, so the order among these is free.
 WORDS = r" ?\p{L}+| ?\p{N}+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -161,6 +161,12 @@ class ForcedBoundaryBPE:
             at = m.end()
         return b"".join([*out, self._plain(text[at:])])
 
+    def forget(self) -> None:
+        """Hands back what was remembered, at the end of a task: the worker goes on to others."""
+        self.word.clear()
+        self.fragment.clear()
+        trim()
+
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
@@ -179,7 +185,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         return {"id": batch.column(0), "ids": [np.frombuffer(e.encode(t), "<u4").astype(np.int32) for t in texts(batch, 1)]}
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return arrow_map(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    return arrow_map(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, f"id {kind}, ids array<int>", lambda: encoder(path).forget()).withColumnRenamed("id", id_col)
 
 
 def decode(ids: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -206,7 +212,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
             out["decoded_sha256"].append(hashlib.sha256(e.decode(ids).encode()).hexdigest())
         return out
 
-    return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", lambda: encoder(path).forget())
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

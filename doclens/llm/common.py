@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import os
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -29,10 +30,12 @@ def crc_mod(column: str, mod: int) -> Column:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that spark.checkpoint.dir names; a folder of its own only where that is unset."""
+    """A new path in the folder that spark.checkpoint.dir names; a folder of its own only where that is unset and driver and executors are one process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = os.path.join(os.environ.get("DOCLENS_SHARED_DIR", "/tmp/checkpoints"), "doclens")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = os.path.join(tempfile.gettempdir(), "checkpoints", "doclens")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -41,7 +44,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def released(*tables: DataFrame) -> None:
+    """Removes tables that `written` made and nothing reads any more."""
+    for df in tables:
+        if (name := getattr(df, "written_path", None)) is not None:
+            jvm = df.sparkSession._jvm
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def texts(batch: pa.RecordBatch, column: int | str) -> list[str]:
@@ -61,14 +75,22 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(_parse_datatype_string(ddl))
 
 
-def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], dict[str, list]], schema: str) -> DataFrame:
-    """mapInArrow with a function from a batch to columns."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller ones, so that what is made of one stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], dict[str, list]], schema: str, done: Callable[[], None] | None = None) -> DataFrame:
+    """mapInArrow with a function from a batch to columns; done is called at the end of a partition."""
     arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_pydict(f(batch), schema=arrow)
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_pydict(f(batch), schema=arrow)
+        if done is not None:
+            done()
 
     return df.mapInArrow(run, schema)
 

@@ -20,6 +20,8 @@ from doclens.llm.common import table
 K = 128
 SIZE = 5
 SPACE = "[ \\t-\\r]+"
+#: Ranges of ids at most: their bounds stand in the plan. Beyond it ranges grow, and their sorts spill.
+RANGES = 16_384
 #: Hashes are signed 64-bit integers; this is their number.
 RANGE = 2.0**64
 
@@ -72,8 +74,8 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    n = 8 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    cuts = rows.agg(F.percentile_approx("key", [(i + 1) / n for i in range(n)], 20 * n).alias("q"), F.max("key").alias("top")).first()
+    n = min(RANGES, 8 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+    cuts = rows.agg(F.percentile_approx("key", [(i + 1) / n for i in range(n)], min(20 * n, 100_000)).alias("q"), F.max("key").alias("top")).first()
     bounds = sorted({*(cuts["q"] or []), *([cuts["top"]] if cuts["top"] is not None else [0])})
     # Two levels of search keep the number of comparisons at the root of the number of ranges.
     step = max(1, round(len(bounds) ** 0.5))

@@ -25,9 +25,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doclens.llm.common import arrow_map, crc_mod, table
+from doclens.llm.common import arrow_map, crc_mod, slices, table
 
+#: Letters, and numerals that aren't digits.
 LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in LETTER.finditer(text))
+
+
 BUCKETS = 4096
 ORDERS = (2, 3, 4)
 
@@ -74,7 +81,7 @@ class Model:
 
     def decide(self, text: str | None, gap: float) -> tuple[str, float, bool, float]:
         """(language, score, ambiguous, gap between the two least losses)."""
-        if not text or not self.languages or not LETTER.search(text):
+        if not text or not self.languages or not has_letter(text):
             return "und", 0.0, False, 0.0
         if len(self.languages) == 1:
             return self.languages[0], 1.0, False, 1.0
@@ -98,7 +105,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     picked = rows.filter((F.col("h") / F.lit(2.0**64) + 0.5) <= share).collect()
     chosen: dict[str, list[str]] = {}
     for r in sorted(picked, key=lambda r: (r["h"], r["text"] or "")):
-        if r["text"] and LETTER.search(r["text"]) and len(chosen.setdefault(r["lang"], [])) < per_language:
+        if r["text"] and has_letter(r["text"]) and len(chosen.setdefault(r["lang"], [])) < per_language:
             chosen[r["lang"]].append(r["text"])
     languages = sorted(x for x in chosen if chosen[x])
     codes = codewords(len(languages))
@@ -131,7 +138,7 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", gap:
     at = docs.schema.names.index(text_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             got = (model.decide(t, gap) for t in batch.column(at).to_pylist())
             yield batch.filter(pa.array([lang != "und" and not unsure for lang, _, unsure, _ in got], pa.bool_()))
 

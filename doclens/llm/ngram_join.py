@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from doclens.llm.common import WordHashes, arrow_map, mix, octets, packed, runs_of, shingle_hashes, table, trim, unpacked, written
+from doclens.llm.common import WordHashes, arrow_map, mix, octets, packed, released, runs_of, shingle_hashes, slices, table, trim, unpacked, written
 from doclens.llm.components import components
 
 #: Signatures that a task gathers before it sends them, and documents of which sets are sent by broadcast at most.
@@ -205,7 +205,7 @@ def _blocks(size: int, num: int, den: int, shards: int, weights: np.ndarray | No
 
         bands, held, n = Bands(num, den), ([], [], [], [], []), 0
         counts = np.zeros(1 << RESIDUE, np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             wanted = batch.column(2).to_pylist() if weights is not None else itertools.repeat(None)
             for i, t, node in zip(batch.column(0).to_pylist(), octets(batch, 1), wanted):
                 s = shingle_set(t, size)
@@ -479,7 +479,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
 
     # Poor sets, by what is rare in them.
     weights = residues([r["counts"] for r in both.filter(F.col("kind") == COUNTS).select("counts").collect()])  # MERGED rows of 2**RESIDUE counters at most
-    weights = np.zeros(1 << RESIDUE, np.int64) if weights is None else weights
+    weights = np.zeros(1 << RESIDUE, np.uint32) if weights is None else np.minimum(weights, 2**32 - 1).astype(np.uint32)
     rare = texts_of(poor, "poor").mapInArrow(_blocks(size, num, den, shards, weights), blobs)
     rare = written(rare.groupBy("shard").applyInArrow(_buckets, OUT_DDL), "rare")
     large = rare.filter(F.col("kind") == LARGE).select("u", F.col("c").alias("bucket"), "y")
@@ -512,24 +512,36 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     small = families.filter("not large").join(sets, "node").select("family", "node", "set")
     roots = small.repartition("family").sortWithinPartitions("family").mapInArrow(_families(num, den), "node long, root long")
     large = families.filter("large").select("node")
+    scratch = (rare, pairs, maps, edges, families, sets)
     if large.isEmpty():
-        return members, written(roots, "roots")
+        roots = written(roots, "roots")
+        released(*scratch)
+        return members, roots
     rest = edges.select(F.col("a").alias("u"), F.col("b").alias("c")).join(large.withColumnRenamed("node", "u"), "u", "left_semi")
     # A set behind a block's hub was not sent with its bucket: it meets the hub of each bucket in which it may stand.
     above = forced.join(hubs, "bucket").select("local", "c").filter("local <> c").distinct()
     met = behind.withColumnRenamed("c", "local").join(large.withColumnRenamed("node", "u"), "u", "left_semi").join(above, "local").select("u", "c")
     rest = rest.unionByName(met).filter("u <> c").distinct()
     links = by_hubs(rest, sets.join(large, "node", "left_semi"), num, den)
-    return members, written(roots.unionByName(components(links)), "roots")
+    roots = written(roots.unionByName(components(links)), "roots")
+    released(*scratch)
+    return members, roots
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 4, den: int = 5, family: int = FAMILY) -> DataFrame:
     """(id, n_shingles, component_id) for each row; the component's name is its least id."""
     members, roots = linked(docs, id_col, text_col, size, num, den, family)
-    rooted = members.join(roots, "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("root"))
+    rooted = members.join(small_side(roots), "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("root"))
     alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
-    least = rooted.filter(~alone).groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rooted.join(least, "root", "left").select(F.col("doc_id").alias(id_col), "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    # Rows of a group of one name it themselves, so a large group's rows needn't meet.
+    least = rooted.filter(~alone).groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("rows")).filter("rows > 1").select("root", "component_id")
+    named = rooted.join(small_side(written(least, "least")), "root", "left")
+    return named.select(F.col("doc_id").alias(id_col), "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
+
+
+def small_side(table: DataFrame) -> DataFrame:
+    """The table, to be sent to the other side of a join if it has few rows (of some 16 bytes each)."""
+    return F.broadcast(table) if table.count() <= SMALL else table
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -538,9 +550,10 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows without an id or without words are in no group and stay. Rows are told apart by id and set, so what shares an id with a copy stays if it is none itself.
     """
     members, roots = linked(docs, id_col, text_col, size, num, den)
-    rows = members.filter("doc_id is not null and n_shingles > 0").join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
-    least = rows.groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("kept"))
-    found = written(rows.join(least, "root").select("doc_id", "node", "root", "kept"), "groups")
+    rows = members.filter("doc_id is not null and n_shingles > 0").join(small_side(roots), "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
+    least = rows.groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("kept"), F.count("*").alias("rows")).filter("rows > 1").select("root", "kept")
+    least = written(least, "least")
+    found = written(rows.join(small_side(least), "root").select("doc_id", "node", "kept"), "groups")
     repeated = written(members.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
     spare = found.filter("doc_id <> kept.doc_id").select("doc_id").distinct()
     few = spare.count() <= SMALL  # 16 bytes each; beyond it the join shuffles
@@ -557,12 +570,13 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     at, schema = docs.columns.index(text_col), StructType([*docs.schema.fields, StructField(SPARE, LongType())])
 
     def name(batches):
-        for batch in batches:
+        for batch in slices(batches):
             sets = (shingle_set(t, size) for t in octets(batch, at))
             yield batch.append_column(SPARE, pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()))
 
     named = again.mapInArrow(name, schema)
-    to_keep = found.filter("doc_id = kept.doc_id and node = kept.node").select(F.col("doc_id").alias(f"{SPARE}d"), F.col("node").alias(f"{SPARE}n")).distinct()
+    singles = rows.join(repeated, "doc_id", "left_semi").join(least, "root", "left_anti").select("doc_id", "node")
+    to_keep = found.filter("doc_id = kept.doc_id and node = kept.node").select("doc_id", "node").unionByName(singles).distinct().toDF(f"{SPARE}d", f"{SPARE}n")
     one = named.join(to_keep, (own == F.col(f"{SPARE}d")) & (F.col(SPARE) == F.col(f"{SPARE}n"))).dropDuplicates([f"{SPARE}d", f"{SPARE}n"])
     return kept.unionByName(named.filter(F.col(SPARE).isNull()).select(docs.columns)).unionByName(one.select(docs.columns))
 

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doclens.llm.common import GOLD, crc_mod, mix, octets, packed, runs_of, table, trim, unpacked, written
+from doclens.llm.common import GOLD, crc_mod, mix, octets, packed, released, runs_of, slices, table, trim, unpacked, written
 from doclens.llm.elias_fano import STEP, Trie
 
 #: Hashes of the end, of what stands before a text and of what stands after it. A word has at least one byte, so none hashes these strings but by chance.
@@ -57,7 +57,7 @@ def unigrams(training: DataFrame) -> DataFrame:
             h = np.array([*map(xxhash.xxh64_intdigest, counts), END], np.uint64).astype(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(h), pa.array([*counts.values(), texts], pa.int64())], ["h", "n"])
 
-        for batch in batches:
+        for batch in slices(batches):
             for t in octets(batch, 0):
                 counts.update(t.lower().split())
                 if len(counts) >= WORDS // 4:
@@ -234,7 +234,7 @@ def _send(shards: int, known: Known, room: float, chunk: int):
         from pyspark import TaskContext
 
         number, c = TaskContext.get().partitionId() << 24, Chunk(chunk)
-        for batch in batches:
+        for batch in slices(batches):
             for i, out, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), octets(batch, 2)):
                 c.docs.append((i, out, c.add(t)))
                 if c.full:
@@ -280,7 +280,7 @@ def _send_pairs(shards: int, known: Known, chunk: int):
 
     def run(batches):
         c, train = Chunk(chunk), []
-        for batch in batches:
+        for batch in slices(batches):
             for out, t in zip(batch.column(0).to_pylist(), octets(batch, 1)):
                 c.add(t)
                 train.append(not out)
@@ -429,6 +429,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     total, distinct, ends = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(end, F.col("n"))), F.lit(0))).first()
     listed = words.filter(~end).orderBy(F.desc("n"), "h").limit(top).toArrow()
     h = np.concatenate([np.array([BEFORE, END, AFTER], np.uint64), listed["h"].to_numpy().astype(np.uint64)])
+    released(words)
     known = Known(h, np.concatenate([[0, ends, 0], listed["n"].to_numpy()]).astype(np.int64), split)
     room = float(np.log10(total + distinct + 1)) if total else 0.0
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD))

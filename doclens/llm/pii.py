@@ -17,7 +17,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doclens.llm.common import arrow_map, table, texts
+from doclens.llm.common import arrow_map, slices, table, texts
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn", "secret")
@@ -162,7 +162,7 @@ def redact(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_c
     at = schema.names.index(text_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             new = pa.array([t if t is None else redacted(t, min_score) for t in batch.column(at).to_pylist()], batch.schema.field(at).type)
             yield batch.set_column(at, batch.schema.field(at), new)
 

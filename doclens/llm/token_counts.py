@@ -20,12 +20,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from doclens.llm import bpe
-from doclens.llm.common import arrow_map, arrow_schema, shared_dir, table, texts, written
+from doclens.llm.common import arrow_map, arrow_schema, shared_dir, slices, table, texts, written
 
 #: Tokens in a block: small enough that a batch of rows fits in memory, large enough that the summaries are few; documents in a file that is written.
 BLOCK, DOCUMENTS = 1 << 15, 8192
-#: Texts that a task encodes before it hands them on.
-SLICE = 500
 
 
 SUMMARY = "file string, block long, n long, seps binary, n_seps long, last long"
@@ -72,12 +70,12 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, eod: int, text_col:
 
     def run(batches):
         e = bpe.encoder(tokenizer)
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                ids = [np.frombuffer(e.encode(t), "<u4") for t in texts(batch.slice(at, SLICE), 0)]
-                if any(len(x) and int(x.max()) > most for x in ids):
-                    raise ValueError(f"ids don't fit into {dtype}")
-                yield pa.RecordBatch.from_pydict({"value": [x.astype(dtype).tobytes() for x in ids]}, pa.schema([("value", pa.binary())]))
+        for batch in slices(batches):
+            ids = [np.frombuffer(e.encode(t), "<u4") for t in texts(batch, 0)]
+            if any(len(x) and int(x.max()) > most for x in ids):
+                raise ValueError(f"ids don't fit into {dtype}")
+            yield pa.RecordBatch.from_pydict({"value": [x.astype(dtype).tobytes() for x in ids]}, pa.schema([("value", pa.binary())]))
+        e.forget()
 
     end = np.array([eod], dtype).tobytes().decode("latin-1")
     rows = docs.select(text_col).mapInArrow(run, "value binary").select(F.col("value").cast("string"))

@@ -273,6 +273,30 @@ def test_language_held_out_accuracy(spark):
     assert model.decide("123 !?", 0.1)[0] == "und"
 
 
+def test_numerals_are_no_letters():
+    model = langid.Model(["xx"], langid.codewords(1), np.zeros((langid.BUCKETS, 1), np.float32), np.ones(1, np.float32))
+    for text in (None, "", "12 %", "\u00bd \u00b2 \u2167", "\u0663"):
+        assert model.decide(text, 0.1)[0] == "und", text
+    assert model.decide("\u00bd a", 0.1)[0] == "xx" and model.decide("\u65e5", 0.1)[0] == "xx"
+
+
+def test_nearest_codeword_by_definition():
+    """The language whose codeword has the least weighted logistic loss over the bits, searched one by one; close seconds are ambiguous."""
+    rng = np.random.default_rng(19)
+    for n in (2, 3, 5, 8):
+        codes = langid.codewords(n)
+        weights = rng.normal(size=(langid.BUCKETS, codes.shape[1])).astype(np.float32)
+        trust = rng.random(codes.shape[1]).astype(np.float32)
+        model = langid.Model([f"l{i}" for i in range(n)], codes, weights, trust)
+        for text in ("some text", "a", "\u00e9\u00e8 longer text of many words " * 9):
+            margin = langid.features(text) @ weights
+            loss = [sum(float(t) * math.log1p(math.exp(-4 * float(c) * float(m))) for c, m, t in zip(word, margin, trust)) for word in codes]
+            best = min(range(n), key=loss.__getitem__)
+            lang, score, _, gap = model.decide(text, 0.02)
+            assert lang == f"l{best}" and math.isclose(gap, sorted(loss)[1] - min(loss), rel_tol=1e-3, abs_tol=1e-4) and 0 <= score <= 1
+            assert model.decide(text, gap * 1.01)[2] and not model.decide(text, gap * 0.99)[2]
+
+
 # Decontamination
 
 

@@ -4,12 +4,35 @@ import collections
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from doclens.llm import bpe, chat, decontaminate, fingerprint, langid, ngram_join, ngram_lm, pii
+from doclens.llm import bpe, chat, components, decontaminate, fingerprint, html, langid, ngram_join, ngram_lm, pii
+
+
+
+def brute_tiles(p, t, least):
+    """Greedy string tiling by definition: the longest unmarked common run, first in the pattern, then in the text."""
+    dp, dt, out = [False] * len(p), [False] * len(t), 0
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(p)):
+            for j in range(len(t)):
+                k = 0
+                while i + k < len(p) and j + k < len(t) and p[i + k] == t[j + k] and not dp[i + k] and not dt[j + k]:
+                    k += 1
+                if k > best[0]:
+                    best = (k, i, j)
+        k, i, j = best
+        if k < least:
+            return out
+        out += k
+        dp[i : i + k] = dt[j : j + k] = [True] * k
+
 
 ODD = [
     (1, "a b c d e f", "en"), (1, "a b c d e f", "en"), (2, None, "en"), (None, "no id at all here", None), (None, None, None), (3, "", "en"),
@@ -364,6 +387,94 @@ def test_fingerprints_of_odd_rows(odd, none):
     assert fingerprint.with_next(odd.filter("doc_id is null"), "doc_id", "text").count() == 2
 
 
+def brute_sketch(text):
+    """The k least hashes of five-word shingles: words by xxh64, shingles by chaining."""
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    w = [xxhash.xxh64_intdigest(x, 42) for x in re.findall("[^ \\t-\\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))]
+    out = set()
+    for run in [w[i : i + 5] for i in range(len(w) - 4)]:
+        h = 42
+        for x in run:
+            h = xxhash.xxh64_intdigest(x.to_bytes(8, "little"), h)
+        out.add(signed(h))
+    if 0 < len(w) < 5:
+        h = 0
+        for x in w:
+            h = xxhash.xxh64_intdigest(x.to_bytes(8, "little"), xxhash.xxh64_intdigest(h.to_bytes(8, "little"), 42))
+        out.add(signed(h))
+    return sorted(out)[: fingerprint.K]
+
+
+def brute_likeness(a, b):
+    if not a and not b:
+        return 1.0
+    both = sorted({*a, *b})[: fingerprint.K]
+    return sum(x in a and x in b for x in both) / max(1, len(both))
+
+
+def test_fingerprint_query_against_brute_force(spark, tmp_path):
+    rng = random.Random(17)
+    rows = [(i, " ".join(rng.choices([f"V{k}" for k in range(90)], k=rng.choice([0, 1, 4, 5, 30, 250])))) for i in rng.sample(range(500), 60)]
+    rows += [(600, None), (601, rows[0][1]), (602, "\u00e9\u00e9 \u65e5\u672c A b"), (603, "one two three four five six seven eight nine ten eleven twelve"), (604, "one two three four five six seven eight nine ten eleven zwoelf")]
+    spark.createDataFrame([(*r, "clash", 1) for r in rows], "doc_id long, text string, sketch string, key int").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in fingerprint.op7_fingerprint(spark, str(tmp_path)).collect()}
+    order = sorted(((d, t or "") for d, t in rows), reverse=True)
+    assert len(got) == len(rows)
+    for (d, t), (_, nxt) in zip(order, order[1:] + order[:1]):
+        m = len(t) // 3
+        edited = t[: len(t) - m] + nxt[:m]
+        a, b, c = map(brute_sketch, (t, edited, nxt))
+        r = got[d]
+        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        assert r.fingerprint == ",".join(map(str, a)) and r.edited_fingerprint == ",".join(map(str, b))
+        assert math.isclose(r.near_edited, brute_likeness(a, b)) and math.isclose(r.near_next, brute_likeness(a, c))
+    empty = str(tmp_path / "none")
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{empty}/documents.parquet")
+    assert fingerprint.op7_fingerprint(spark, empty).count() == 0
+
+
+# Components
+
+
+def test_components(spark):
+    edges = [(1, 2), (2, 1), (2, 3), (5, 4), (7, 7), (None, 1), (9, None), (None, None), (10, 11), (10, 11), (12, 11), *((100 + i, 101 + i) for i in range(40))]
+    df = spark.createDataFrame([(*e, "clash") for e in edges], "a long, b long, node string")
+    got = {(r.node, r.root) for r in components.components(df).collect()}
+    want = {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (10, 10), (11, 10), (12, 10), *((100 + i, 100) for i in range(41))}
+    assert got == want
+    assert components.components(df.limit(0)).count() == 0
+
+
+# Decontamination over tables
+
+
+def test_contaminated_against_all_pairs(spark):
+    """Seeds, blocks and the threshold lose no pair: each is compared by tiling by definition, over whole texts."""
+    rng = random.Random(18)
+    vocab = [f"w{i}" for i in range(30)]
+    items = [(i, " ".join(rng.choices(vocab, k=rng.choice([0, 2, 5, 9, 14])))) for i in range(12)]
+    docs = []
+    for i in range(40):
+        w = rng.choices(vocab, k=rng.randint(0, 25))
+        for _ in range(rng.randint(0, 2)):
+            part = items[rng.randrange(12)][1].split()
+            cut, at = rng.randint(0, len(part)), rng.randint(0, len(w))
+            w = w[:at] + part[cut:] + rng.choices(vocab, k=rng.randint(0, 1)) + part[:cut] + w[at:]
+        docs.append((i, " ".join(w)))
+    want = {}
+    for d, t in docs:
+        for i, item in items:
+            p = item.split()
+            if p and (n := brute_tiles(p, t.split(), min(5, len(p)))) >= 0.6 * len(p):
+                want[d, i] = n
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for tokens in (2_000_000, 20):
+        got = {(r.doc_id, r.item_id): r.matched for r in decontaminate.contaminated(df, bench, block_tokens=tokens).collect()}
+        assert got == want
+        left = {r.doc_id for r in decontaminate.decontaminate(df, bench, block_tokens=tokens).collect()}
+        assert left == {d for d, _ in docs} - {d for d, _ in want}
+
+
 # The others on odd rows
 
 
@@ -383,6 +494,29 @@ def test_row_by_row_operators_on_odd_rows(spark, odd, none):
     assert bpe.encode(none, bpe.default_path()).count() == 0
 
 
+def test_pages_on_odd_rows(spark):
+    rows = [(1, "u", "<p>a</p>", "t"), (1, "u", "<p>a</p>", "t"), (None, None, None, None), (2, "v", "", "t"), (3, "w", "<p>" + "word " * 50_000, "t")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = html.extract(df).collect()
+    assert sorted((r.page_id or 0, r.text[:6], r.n_chars) for r in got) == [(0, "", 0), (1, "a", 1), (1, "a", 1), (2, "", 0), (3, "word w", 249_999)]
+    assert html.extract(df, keep=("page_id", "text")).columns == ["page_id", "text", "n_chars"]
+    assert html.extract(df.limit(0)).count() == 0
+
+
+def test_pipeline_of_odd_rows(spark, odd, none, tmp_path):
+    """Nulls, repeated ids, empty and long texts, extra columns and an empty table."""
+    import corpus_pipeline as p
+
+    bench = spark.createDataFrame([(1, "some passage of the benchmark that nobody should have seen"), (2, None)], "item_id long, text string")
+    for name, df in (("odd", odd), ("none", none)):
+        df.write.parquet(str(tmp_path / name / "documents.parquet"))
+        bench.write.parquet(str(tmp_path / name / "benchmark.parquet"))
+    out = p.run(spark, str(tmp_path / "odd")).collect()
+    # Without letters: 2, 3, 6, 8 and a null; of the three near copies of one text the row of the least id stays.
+    assert sorted(r.doc_id or 0 for r in out) == [0, 1, 4, 5] and all(r.round_trip for r in out)
+    assert p.run(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline as p
 
