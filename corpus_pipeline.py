@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doclens.llm import bpe, decontaminate, langid, ngram_join, pii
-from doclens.llm.common import arrow_map, crc_mod, table, texts, written
+from doclens.llm.common import arrow_map, crc_mod, released, table, texts, written
 
 #: No SQL: classifiers, tilings and merges aren't expressible in it.
 ORACLE_SQL = None
@@ -55,7 +55,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             "round_trip": [e.decode(x) == t for t, x in ids],
         }
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_tokens long, ids array<int>, round_trip boolean")
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_tokens long, ids array<int>, round_trip boolean", lambda: bpe.encoder(path).forget())
 
 
 STAGES = [
@@ -71,5 +71,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each one's rows are written and read again."""
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = written(stage(spark, docs, sf_dir), f"stage-{k}")
+        before, docs = docs, written(stage(spark, docs, sf_dir), f"stage-{k}")
+        released(before)
     return docs
