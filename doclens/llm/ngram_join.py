@@ -7,7 +7,7 @@ the Jaccard similarity of their sets is at least num/den.
 1. Equal sets are one node. Sizes fall into bands whose ends differ by num/den, so linked sets stand in one band or in neighbours. In a band, linked
    sets differ in at most k shingles. The hashed domain is parted in n1 pieces of n2 parts each; signatures are all subsets of n2 - k2 parts of each piece. As (k2 + 1) * (n1 - slack) > k,
    at least slack + 1 pieces hold at most k2 differences, so linked sets share a signature in each of these. (n2, k2) is (3, 1).
-2. Up to `DIRECT` sets that share a signature make direct pairs. Where there is slack, two shared signatures are asked for, as one may be an accident. A larger bucket
+2. Up to `DIRECT` sets that share a signature make direct pairs. Where there is slack, half of the signatures that linked sets share at the least are asked for, as few may be an accident. A larger bucket
    counts as lost for its sets, and so does one with more than `LOCAL` sets of a block of input, of which only one is sent. A set that lost no more than the slack spares is found by direct pairs all the same. Sets that lost more ("poor") hold what
    many sets hold: near copies in large groups, or passages that many texts share.
 3. Poor sets are told apart by what is rare in them. Linked sets share one of the first |s| - t|s| + 1 elements of each in any common order (t the similarity); the order here is by how often an element's residue
@@ -28,6 +28,7 @@ rows of equal id are taken one by one and share the id; an empty table gives an
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -77,23 +78,33 @@ class Bands:
         return int(np.searchsorted(self.ends, n))
 
     def pieces(self, band: int) -> tuple[int, int]:
-        """(n1, slack): some slack + 1 of the n1 pieces hold at most k2 differences. (0, 0) if linked sets are equal."""
+        """(n1, slack): some slack + 1 of the n1 pieces hold at most k2 differences. (0, 0) if linked sets are equal. Large sets have much slack, as their signatures, of few elements each, are shared by accident."""
         while band >= len(self.ends):
             self.band(self.ends[-1] + 1)
         k = (self.den - self.num) * 2 * self.ends[band] // (self.den + self.num)
         if not k:
             return 0, 0
         least = k // (self.k2 + 1) + 1
-        slack = 0 if least < 8 else 2 if least < 24 else 6
+        slack = next((x for bound, x in ((8, 0), (24, 2), (100, 6), (300, 12)) if least < bound), 24)
         return least + slack, slack
 
+    @staticmethod
+    def asked(slack: int) -> tuple[int, int]:
+        """(shared signatures that are asked for, buckets that a set may lose beside): of those that linked sets share at least.
+
+        A difference in a piece costs two of its three signatures, a second one the third. So k differences, of which n1 - slack pieces would take two each and more, leave 2 * slack + 1 at least: one in each piece that isn't
+        emptied. Each set may leave out one of them (see `signatures`).
+        """
+        least = max(1, 2 * slack - 1)
+        return (least + 1) // 2, least // 2
+
 
 def signatures(s: np.ndarray, bands: Bands) -> tuple[np.ndarray, int, int]:
-    """Of a sorted set, for its own band and the next; how many signatures a linked set shares at least, 1 or 2; and how many pieces may be lost beside.
+    """Of a sorted set, for its own band and the next; how many signatures a linked set is asked to share; and how many buckets may be lost beside.
 
     A pair of empty parts says nothing; where one piece has such a pair, it is left out, as a lost one.
     """
-    out, b, need, spare = [], bands.band(len(s)), 2, 255
+    out, b, need, spare = [], bands.band(len(s)), 255, 255
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(s), dtype=np.uint64)])
     for band in (b, b + 1):
         n1, slack = bands.pieces(band)
@@ -113,8 +124,7 @@ def signatures(s: np.ndarray, bands: Bands) -> tuple[np.ndarray, int, int]:
         lost = int(void.any(1).sum())
         drop = bool(slack) and lost == 1
         out.append(sig[~void] if drop else sig.ravel())
-        need = min(need, 2 if slack else 1)
-        spare = min(spare, slack + 1 - (2 if slack else 1) - drop)
+        need, spare = (min(x, y) for x, y in zip((need, spare), bands.asked(slack)))
     return (np.concatenate(out), need, spare) if out else (np.zeros(0, np.uint64), 1, 0)
 
 
@@ -163,6 +173,11 @@ def prefix(s: np.ndarray, weights: np.ndarray, num: int, den: int) -> np.ndarray
     return s[order[: len(s) - -(-num * len(s) // den) + 1]]
 
 
+def size_class(n: int) -> int:
+    """Sizes in steps of 2 %."""
+    return int(math.log(max(n, 1)) / math.log(1.02))
+
+
 def _blocks(size: int, num: int, den: int, shards: int, weights: np.ndarray | None = None):
     """Map side: (shard, sigs, members, pairs, weights), blobs of a chunk of documents (doc_id, text), and the task's counts of residues.
 
@@ -209,15 +224,16 @@ def _blocks(size: int, num: int, den: int, shards: int, weights: np.ndarray | No
             wanted = batch.column(2).to_pylist() if weights is not None else itertools.repeat(None)
             for i, t, node in zip(batch.column(0).to_pylist(), octets(batch, 1), wanted):
                 s = shingle_set(t, size)
-                name, sig, need, spare = node_of(s), np.zeros(0, np.uint64), 1, 0
+                name, sig, trait = node_of(s), np.zeros(0, np.uint64), 0
                 if weights is not None:
                     if name != node:
                         continue
-                    sig = mix(prefix(s, weights, num, den))
+                    sig, trait = mix(prefix(s, weights, num, den)), size_class(len(s))
                 elif len(s) and i is not None:
                     sig, need, spare = signatures(s, bands)
+                    trait = need << 8 | spare
                     np.add.at(counts, (s >> np.uint64(64 - RESIDUE)).astype(np.int64), 1)
-                for x, y in zip(held, (i, len(s), name, sig, need << 8 | max(0, spare))):
+                for x, y in zip(held, (i, len(s), name, sig, trait)):
                     x.append(y)
                 n += len(sig) + 1
                 if n >= CHUNK:
@@ -251,7 +267,13 @@ def residues(blobs: list[bytes | None]) -> np.ndarray | None:
     return total
 
 
-def _buckets(t: pa.Table) -> pa.Table:
+def _buckets(num: int, den: int, rare: bool = False):
+    """Reduce side: rows of OUT. rare: traits are classes of sizes, of which pairs too far apart can't link."""
+    apart = size_class(-(-den * 10**6 // num)) - size_class(10**6) + 2
+    return lambda t: _meet(t, apart if rare else None)
+
+
+def _meet(t: pa.Table, apart: int | None) -> pa.Table:
     keys, nodes, sent, traits, out, hubs = [], [], [], [], [], []
 
     def add(kind: int, **columns) -> None:
@@ -283,7 +305,11 @@ def _buckets(t: pa.Table) -> pa.Table:
         # A hub that stands for others of its block makes its bucket a large one.
         big = (size > DIRECT) | np.isin(names[first], all_[hub])
         pairs, times = distinct_pairs(direct(own, first, np.where(big, 0, size), DIRECT))
-        add(PAIR, u=pairs[:, 0], c=pairs[:, 1], x=times, y=np.minimum(of(pairs[:, 0]), of(pairs[:, 1])) >> 8)
+        a, b = of(pairs[:, 0]), of(pairs[:, 1])
+        if apart is not None:
+            near = np.abs(a - b) <= apart
+            pairs, times, a, b = pairs[near], times[near], a[near], b[near]
+        add(PAIR, u=pairs[:, 0], c=pairs[:, 1], x=times, y=np.minimum(a, b) >> 8)
         rows = np.flatnonzero(np.repeat(big, size))
         # Buckets of all shards keep apart by their whole key.
         forced = np.isin(mix(names[rows]) ^ mix(own[rows].astype(np.uint64)), mix(all_[hub]) ^ mix(own_[hub].astype(np.uint64)))
@@ -346,7 +372,7 @@ def bitmap(s: np.ndarray, bits: int) -> bytes:
 
 def width(n: int) -> int:
     """Bits for a set of n elements."""
-    return 1 << max(8, min(18, int(2 * n).bit_length()))
+    return 1 << max(8, min(18, int(n).bit_length()))
 
 
 def folded(m: bytes, bits: int) -> np.ndarray:
@@ -455,7 +481,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
     blobs = "shard int, sigs binary, members binary, pairs binary, weights binary"
     sent = rows.mapInArrow(_blocks(size, num, den, shards), blobs)
-    both = written(sent.groupBy("shard").applyInArrow(_buckets, OUT_DDL), "join")
+    both = written(sent.groupBy("shard").applyInArrow(_buckets(num, den), OUT_DDL), "join")
     members = both.filter(F.col("kind") == MEMBER).select("doc_id", F.col("n").alias("n_shingles"), F.col("u").alias("node"))
     direct_ = both.filter(F.col("kind") == PAIR).groupBy("u", "c").agg(F.sum("x").alias("times"), F.min("y").alias("need")).filter("times >= need").select("u", "c")
     lost = both.filter(F.col("kind") == LARGE).groupBy("u").agg(F.count("*").alias("lost"), F.min("x").alias("spare"), F.max("y").alias("forced")).filter("lost > spare or forced = 1").select("u")
@@ -481,7 +507,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     weights = residues([r["counts"] for r in both.filter(F.col("kind") == COUNTS).select("counts").collect()])  # MERGED rows of 2**RESIDUE counters at most
     weights = np.zeros(1 << RESIDUE, np.uint32) if weights is None else np.minimum(weights, 2**32 - 1).astype(np.uint32)
     rare = texts_of(poor, "poor").mapInArrow(_blocks(size, num, den, shards, weights), blobs)
-    rare = written(rare.groupBy("shard").applyInArrow(_buckets, OUT_DDL), "rare")
+    rare = written(rare.groupBy("shard").applyInArrow(_buckets(num, den, True), OUT_DDL), "rare")
     large = rare.filter(F.col("kind") == LARGE).select("u", F.col("c").alias("bucket"), "y")
     forced = large.filter("y = 1").select(F.col("u").alias("local"), "bucket").distinct()
     hubs = large.groupBy("bucket").agg(F.min("u").alias("c"))

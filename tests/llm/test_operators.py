@@ -110,6 +110,16 @@ def test_linked_sets_share_a_signature():
                 assert len(np.intersect1d(x, y)) >= min(need, other)
 
 
+def test_shared_signatures_at_the_least():
+    """Over every way to spread differences over pieces: emptied pieces (two differences or more) share none, pieces with one share one, others three."""
+    for k in range(1, 120):
+        for slack in (0, 2, 6, 12, 24):
+            n1 = k // 2 + 1 + slack
+            least = min(3 * (n1 - a - b) + b for a in range(n1 + 1) for b in range(n1 - a + 1) if 2 * a + b <= k)
+            need, spare = ngram_join.Bands.asked(slack)
+            assert least >= 1 and need + spare <= max(1, least - 2)
+
+
 def test_buckets_direct_and_stars():
     import numpy as np
 
