@@ -8,12 +8,12 @@ Fixture = tuple[str, list[tuple]]
 
 FIXTURES: dict[str, Fixture] = {
     "tex": ("doc_id bigint, text string", [(1, "a\\%b%c\nd"), (2, "a\\\\%b"), (3, "100\\% sure % not\n% all\nend"), (4, "plain"), (5, "")]),
-    "lengths": ("id bigint, value string", [(1, "2.54cm"), (2, "72"), (3, "1in"), (4, "25.4 mm"), (5, "72.27bp"), (6, "x"), (7, "3 furlong"), (8, "0.5\\textwidth"), (9, "\\linewidth"), (10, "36pt")]),
-    "fonts": ("id bigint, name string", [(1, "ABCDEF+CMR10"), (2, "XYZ+CMTT8"), (3, "Helvetica"), (4, "AA+t1xtt"), (5, "AA+t1xr"), (6, "Q+CMMI10"), (7, "NimbusMonL"), (8, "STIX")]),
+    "lengths": ("id bigint, value string", [(1, "2.54cm"), (2, "72"), (3, "1in"), (4, "25.4 mm"), (5, "72.27bp"), (6, "x"), (7, "3 furlong"), (8, "0.5\\textwidth"), (9, "\\linewidth"), (10, "36pt"), (11, "-0.5 \\linewidth"), (12, "\\hsize"), (13, ".\\textwidth"), (14, "\n .5\\columnwidth\t"), (15, "+1in"), (16, "2.in"), (17, "\n-2cm\n"), (18, "3 INCH"), (19, ".5in")]),
+    "fonts": ("id bigint, name string", [(1, "ABCDEF+CMR10"), (2, "XYZ+CMTT8"), (3, "Helvetica"), (4, "AA+t1xtt"), (5, "AA+t1xr"), (6, "Q+CMMI10"), (7, "NimbusMonL"), (8, "STIX"), (9, "AA+t1x-tt"), (10, "T1Xabtt"), (11, "Euler+Arial")]),
     "labels": ("id bigint, n bigint", [(i, n) for i, n in enumerate((1, 2, 26, 27, 52, 53, 702, 703, 18278))]),
     "lines": (
         "id bigint, text string",
-        [(1, "Table 3: Results"), (2, "figure 12. A map"), (3, "Fig 2 shows"), (4, "(a) left"), (5, "(B) right"), (6, "2.1 Methods"), (7, "A Appendix"), (8, "I Other"), (9, "plain text"), (10, "was done.Then we"), (11, "x" * 95), (12, "12")],
+        [(1, "Table 3: Results"), (2, "figure 12. A map"), (3, "Fig 2 shows"), (4, "(a) left"), (5, "(B) right"), (6, "2.1 Methods"), (7, "A Appendix"), (8, "I Other"), (9, "plain text"), (10, "was done.Then we"), (11, "x" * 95), (12, "12"), (13, "Table. 3: no"), (14, "1. Intro"), (15, "A.1 Lemma"), (16, " 2 Leading"), (17, "3 \u00dcberblick"), (18, "zu\u00e9a.Bc"), (19, "Fig. 4: x"), (20, "\n Figure 5: y")],
     ),
     "spans": (
         "doc_id bigint, page_no int, block_no int, span_no int, x0 double, y0 double, x1 double, y1 double, font string, text string",
@@ -66,15 +66,15 @@ FIXTURES: dict[str, Fixture] = {
     "images": ("doc_id bigint, pos int, full_width boolean, path string", [(1, 31, True, "a.png"), (1, 36, True, "b"), (1, 50, True, "c.pdf"), (1, 72, True, "\\dir/d")]),
     "files": ("doc_id bigint, path string", [(1, "a.png"), (1, "b.jpeg"), (1, "refs.bib"), (2, "main.bbl"), (2, "main.tex")]),
     "log": (
-        "doc_id bigint, log string",
-        [(1, '[{"verbosity":"WARNING","pretty":"","message":"lost image"},{"verbosity":"INFO","message":"fine"},{"verbosity":"error","type":"Bad"}]'), (2, "not json"), (3, None), (4, '[{"verbosity":"ERROR","pretty":"P","message":"m"},{"verbosity":"WARNING"}]')],
+        "doc_id bigint, path string, temporary string, log string",
+        [(1, None, None, '[{"verbosity":"WARNING","pretty":"","message":"lost image"},{"verbosity":"INFO","message":"fine"},{"verbosity":"error","type":"Bad"}]'), (2, "a.tex", "t.tex", "not json"), (3, None, None, None), (4, "in/a.tex", "/t/x.tex", '[{"verbosity":"ERROR","pretty":"P","message":"m"},{"verbosity":"WARNING"},{"verbosity":"warning","message":"no /t/x.tex"}]'), (5, None, "/t/y.tex", '[{"verbosity":"ERROR","message":"in /t/y.tex"}]')],
     ),
     "messages": ("run_id bigint, seq int, message string", [(1, 0, "x"), (1, 1, "y"), (1, 2, "x"), (1, 3, " "), (2, 0, "z")]),
     "table_captions": ("doc_id bigint, number int, ord int", [(1, 1, 4), (1, 3, 9), (1, 5, 20)]),
     "sources": (
         "doc_id bigint, text string",
         [
-            (1, "\\documentclass[a4paper,11pt]{article}\n\\usepackage[margin=2cm]{geometry}\n\\geometry{left=1in, top=10mm}\n\\bibliography{refs,extra}\n\\cite{k1} \\citep[see]{k2, k3} \\ref{tab:res} \\cref{a,b}\\includegraphics[width=1in]{a}"),
+            (1, "\\documentclass[\n a4paper,\n 11pt]{article}\n\\usepackage[margin=2cm]{geometry}\n\\geometry{\n left=1in,\n\ttop=10mm\n}\n\\bibliography{refs,\n extra\n}\n\\cite{k1} \\citep[see]{k2,\n k3} \\ref{tab:res} \\cref{a,\n\tb}\\includegraphics[width=1in]{a}"),
             (2, "\\documentclass{article}\n% \\cite{hidden}\n\\addbibresource{main.bib}\n\\autoref{fig:map}"),
             (3, ""),
         ],
@@ -90,6 +90,23 @@ FIXTURES: dict[str, Fixture] = {
             (5, ""),
         ],
     ),
+    "covers": ("id bigint, kind string, text string, target string", [(1, "table", "northstation", "north station NS01"), (2, "paragraph", "alpha beta gamma", "alpha gamma delta"), (3, "paragraph", "ification", "verification score"), (4, "table", "abc", "abc"), (5, "paragraph", "Stra\u00dfe am See", "am See"), (6, "paragraph", "12 34 56 78", "12345678"), (7, "table", "abcdefgh", ""), (8, "table", "a b c d e f g h", "hgfedcba" * 9)]),
+    "assign_elements": (
+        "doc_id bigint, page_no int, ord int, kind string, text string",
+        [(1, 0, 0, "paragraph", "alpha beta gamma delta"), (1, 0, 1, "paragraph", "ab"), (1, 0, 2, "paragraph", "epsilon zeta eta theta"), (1, 0, 3, "paragraph", "ification"), (1, 0, 4, "table", "north station NS01"), (1, 0, 5, "paragraph", "Table 1: north station NS01"), (1, 1, 0, "paragraph", "alpha beta")],
+    ),
+    "assign_regions": ("doc_id bigint, page_no int, region_no int, text string", [(1, 0, 0, "alpha beta gamma delta epsilon zeta eta theta"), (1, 0, 1, "north station NS01"), (1, 0, 2, "verification score"), (1, 1, 0, "something else")]),
+    "order_records": ("doc_id bigint, record_no int, text string", [(1, 0, "a map of the river"), (1, 1, "costs by year"), (2, 0, "one")]),
+    "order_paragraphs": ("doc_id bigint, ord int, text string", [(1, 3, "Figure: a map of the rivers"), (1, 5, "unrelated matter"), (1, 8, "the costs by year"), (2, 1, "anything")]),
+    "parts": (
+        "path string, ord int, kind string, text string",
+        [("a", 0, "p", ""), ("a", 1, "text", "First wo"), ("a", 2, "text", "rds here"), ("a", 3, "math", "x plus yy"), ("a", 4, "drawing", ""), ("a", 5, "image", "a \ufb01ne image"), ("a", 6, "tbl", ""), ("a", 7, "inner", ""), ("a", 8, "text", "cell"), ("b", 0, "p", ""), ("b", 1, "text", "It's well-known")],
+    ),
+    "raw": ("path string, hex string", [("ok", "6f6b20c3a9"), ("bad", "6f6bff20656e64"), ("cut", "61e282"), ("empty", "")]),
+    "figure_panels": ("doc_id bigint, fig_no int, ratio double", [(1, 0, 0.8), (1, 0, 0.7), (1, 1, 0.9), (1, 2, 0.8), (1, 2, None), (1, 3, 0.9), (1, 3, 0.9), (2, 0, 1.0), (2, 0, 1.0)]),
+    "figure_tables": ("doc_id bigint, ord int, rows int, cells int", [(1, 4, 1, 2), (1, 9, 1, 1), (1, 12, 1, 2), (1, 20, 2, 2), (2, 1, 1, 3)]),
+    "shapes": ("doc_id bigint, image_no int, width bigint, height bigint", [(1, 0, 1000, 500), (1, 1, 800, 801), (1, 2, 10, 10), (1, 3, 7, 7), (2, 0, 5, 5)]),
+    "labelled": ("id bigint, text string, label string", [(1, "Table 1. Costs", "Table 1."), (2, "  Table 1.", "Table 1."), (3, "Table 1.5 x", "Table 1."), (4, "figure 9. other", "Figure 2."), (5, "A plan", "Figure 2."), (6, "(a) left", "(a)")]),
     "fonts_xml": ("doc_id bigint, member string, text string", [(1, "word/document.xml", '<w:rFonts w:ascii="CMR10" w:hAnsi="CMTT8"/><w:rFonts w:cs="Arial"/>'), (1, "word/styles.xml", '<w:rFonts w:ascii="CMR10" w:eastAsia="CMR10"/>'), (1, "docProps/app.xml", '<x w:ascii="CMR10"/>')]),
 }
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 #: Comments and escapes are lexed first, so that nothing within them counts.
 LEXEME = re.compile(r"%[^\n]*\n?|\\[A-Za-z@]+|\\.|.", re.S)
 TAG = re.compile(r"%[^\n]*|\\(begin|end)\s*\{([^}]+)\}|\\.", re.S)
-RELATIVE = re.compile(r"\s*(\d+(?:\.\d+)?)?\s*\\(?:textwidth|linewidth|columnwidth)\s*")
+PANEL_WIDTH = re.compile(r"\s*(\d+(?:\.\d+)?)?\s*\\(?:textwidth|linewidth|columnwidth)\s*")
 # Command names that are recognised.
 HEADINGS = ("part", "chapter", "section", "subsection", "subsubsection", "paragraph", "subparagraph")
 NUMBERED = {"section": 1, "subsection": 2, "subsubsection": 3}
@@ -133,7 +133,7 @@ def labels(text: str) -> list[tuple[int, str]]:
 
 def ratio(width: str | None) -> float | None:
     """The multiple of a line width that an expression is."""
-    m = RELATIVE.fullmatch(width or "")
+    m = PANEL_WIDTH.fullmatch(width or "")
     return float(m[1] or 1) if m else None
 
 

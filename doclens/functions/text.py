@@ -16,15 +16,27 @@ ASCII = r"[a-z0-9]+"
 
 # Lists, families, sizes and units that results depend on.
 LABEL_WORDS = ("figure", "table", "section", "appendix", "equation", "fig", "eq", "chapter", "january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
-COMMON_WORDS = ("et", "al", "and", "the", "for", "was", "are", "per", "via", "not", "but", "its", "our", "their", "with", "from", "that", "this")
-SERIF = r"(?i)termes|newtx|nimbus|times|cm(?:r|ss|mi|sy|ex)|lmroman|t1x(?!.*tt)|txsy|txmi|txex|txsym|stix"
-MONO = r"(?i)t1x.*tt|cmtt|lmmono|courier|mono"
-MATH = r"(?i)newtx|txsy|txmi|txex|txsym|cm(?:mi|sy|ex)|mathjax|math[a-z]|stix|euler|msam|msbm|rsfs|wasy"
+COMMON_WORDS = ("et", "al", "the", "and", "for", "was", "are", "per", "via", "not", "but", "its", "our", "their", "with", "from", "that", "this")
+SERIF = r"(?i)(termes|newtx|nimbus|times|cm(r|ss|mi|sy|ex)|lmroman|t1x(?!.*tt)|txsy|txmi|txex|txsym|stix)"
+MONO = r"(?i)(t1x[a-z]*tt|cmtt|lmmono|courier|mono)"
+MATH = r"(?i)(NewTX|txsy|txmi|txex|txsym|CM(MI|SY|EX)|MathJax|Math[A-Z]|STIX|Euler|msam|msbm|rsfs|wasy)"
 INCHES = {"in": 1.0, "inch": 1.0, "cm": 1 / 2.54, "mm": 1 / 25.4, "pt": 1 / 72, "bp": 1 / 72.27}
 TEX_EXACT = {"pt": 1 / 72.27, "bp": 1 / 72}
-CAPTION = r"(?i)^\s*(?:(?:table|figure|fig)\.?\s*\d+\s*[:.]|\([a-z]\)\s)"
-PANEL_CAPTION = r"^\s*\([a-z]\)\s"
-HEADING = r"^\s*(?:\d+(?:\.\d+)*\.?|[A-H](?:\.\d+)*\.?)\s+\p{Lu}"
+CAPTION = r"(?iU)^\s*((Table|Figure|Fig\.?)\s*\d+\s*[:.]|\([a-z]\)\s)"
+PANEL_CAPTION = r"(?U)^\s*\([a-z]\)\s"
+HEADING = r"(?U)^(\d+(\.\d+)*|[A-H])\s+[A-Z]"
+STOP = r"[a-z]{2}\.[A-Z][a-z]"
+LENGTH = r"(?iU)^\s*(-?\d+(?:\.\d+)?)\s*(in|inch|cm|mm|pt|bp)?\s*$"
+RELATIVE = r"^(-?(?:\d+(?:\.\d*)?|\.\d+))\s*\\(?:linewidth|textwidth|columnwidth)\z"
+FULL_WIDTH = ("\\linewidth", "\\textwidth", "\\columnwidth")
+
+#: White space at both ends of a text, of any kind, line breaks and control characters that part fields as well.
+ENDS = r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+\z"
+
+
+def stripped(text: Column | str) -> Column:
+    """Without white space at both ends, of any kind; trim takes blanks only."""
+    return F.regexp_replace(text, ENDS, "")
 
 
 def nfkc(text: Column | str) -> Column:
@@ -32,6 +44,15 @@ def nfkc(text: Column | str) -> Column:
     return F.pandas_udf(_nfkc, "string")(text)
 
 
+#: Characters that composition may change or join; all others (Latin letters, usual punctuation) stay, and none of them joins with another.
+UNSTABLE = "[^\\x00-\\x9F\\xA1-\\xA7\\xA9\\xAB-\\xAE\\xB0\\xB1\\xB6\\xB7\\xBB\\xBF-\\u0131\\u0134-\\u013E\\u0141-\\u0148\\u014A-\\u017E\\u2010\\u2012-\\u2016\\u2018-\\u201F\\u2020-\\u2022\\u20AC]"
+
+
+def normalized(text: Column) -> Column:
+    """The same as nfkc, but only texts that may change leave the JVM."""
+    return F.coalesce(nfkc(F.when(text.rlike(UNSTABLE), text)), text)
+
+
 def casefold(text: Column | str) -> Column:
     """Full case folding after composition, which differs from lower() for letters like sharp s."""
     return F.pandas_udf(_folded, "string")(text)
@@ -73,21 +94,18 @@ def in_comment(text: Column, offset: Column) -> Column:
 def inches(value: Column, exact: bool = False) -> Column:
     """A length in inches: a number with a unit, points by default; null if it is none."""
     units = INCHES | (TEX_EXACT if exact else {})
-    number = F.regexp_extract(value, r"^\s*([+-]?(?:\d+(?:\.\d*)?|\.\d+))\s*([A-Za-z]*)\s*$", 1)
-    unit = F.lower(F.regexp_extract(value, r"^\s*([+-]?(?:\d+(?:\.\d*)?|\.\d+))\s*([A-Za-z]*)\s*$", 2))
+    unit = F.lower(F.regexp_extract(value, LENGTH, 2))
     factor = F.when(unit == "", units["pt"])
     for name, x in units.items():
         factor = factor.when(unit == name, x)
-    return F.when(number != "", number.cast("double") * factor)
-
-
-RELATIVE = r"^\s*([0-9]*\.?[0-9]*)\s*\\(?:textwidth|linewidth|columnwidth|hsize)\s*$"
+    return F.when(value.rlike(LENGTH), F.regexp_extract(value, LENGTH, 1).cast("double") * factor)
 
 
 def width_inches(expression: Column, reference: Column) -> Column:
     """A multiple of a reference width, or a length."""
-    k = F.regexp_extract(expression, RELATIVE, 1)
-    return F.when(expression.rlike(RELATIVE), F.when(k == "", 1.0).otherwise(k.cast("double")) * reference).otherwise(inches(expression))
+    e = stripped(expression)
+    k = F.regexp_extract(e, RELATIVE, 1)
+    return F.when(e.rlike(RELATIVE), k.cast("double") * reference).when(e.isin(*FULL_WIDTH), reference).otherwise(inches(e))
 
 
 def no_space(text: Column) -> Column:
@@ -102,7 +120,7 @@ def ascii_key(text: Column) -> Column:
 def plain_caption(caption: Column) -> Column:
     """A caption without commands and braces, white space collapsed."""
     bare = F.regexp_replace(F.regexp_replace(caption, r"\\[A-Za-z]+\*?(?:\[[^\]]*\])?", " "), r"[{}$~]", " ")
-    return F.trim(F.regexp_replace(bare, r"\s+", " "))
+    return F.trim(F.regexp_replace(bare, r"(?U)\s+", " "))
 
 
 def base_font(name: Column) -> Column:
@@ -137,8 +155,8 @@ def is_heading(text: Column) -> Column:
 
 
 def stops_without_space(text: Column) -> Column:
-    """Two lower-case letters, a full stop, a capital, a lower-case letter."""
-    return matches(text, r"\p{Ll}{2}\.\p{Lu}\p{Ll}")
+    """Two lower-case letters, a full stop, a capital, a lower-case letter, all of ASCII."""
+    return matches(text, STOP)
 
 
 def shortened(passage: Column) -> Column:
@@ -146,6 +164,14 @@ def shortened(passage: Column) -> Column:
     return F.when(F.char_length(passage) < 90, passage).otherwise(F.concat(F.substring(passage, 1, 87), F.lit("...")))
 
 
+def begins_with_label(text: Column, label: Column) -> Column:
+    """Whether a paragraph has its label already: the label and white space or nothing; any number will do for a figure."""
+    rest = F.regexp_replace(text, r"(?U)^\s+", "")
+    after = F.substring(rest, F.char_length(label) + 1, F.lit(1))
+    own = F.startswith(rest, label) & ((after == "") | after.rlike(r"(?U)\s"))
+    return own | (F.startswith(label, F.lit("Figure ")) & rest.rlike(r"(?iU)^Figure\s+\d+\."))
+
+
 def is_shifted(vert_align: Column) -> Column:
     return F.coalesce(vert_align.isin("superscript", "subscript"), F.lit(False))
 
@@ -194,7 +220,7 @@ def twips(width: Column) -> Column:
 def joined(parts: Column, trimmed: bool = False) -> Column:
     """Text nodes of an element, array<struct<ord, text>>, in order; a paragraph's are trimmed as a whole."""
     text = F.array_join(F.transform(F.array_sort(parts), lambda p: p["text"]), "")
-    return F.trim(text) if trimmed else text
+    return stripped(text) if trimmed else text
 
 
 def accepts(path: Column, *extensions: str) -> Column:
@@ -204,4 +230,4 @@ def accepts(path: Column, *extensions: str) -> Column:
 
 def own_number(line: Column, page_no: Column) -> Column:
     """Whether a line is the number of its page, counted from 1."""
-    return F.trim(line) == (page_no + 1).cast("string")
+    return stripped(line) == (page_no + 1).cast("string")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,7 +26,7 @@ def blocks(spans: DataFrame) -> DataFrame:
     ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("span_no", "text"))), lambda s: s["text"]), "")
     math = F.sum(F.when(T.is_math_font(T.base_font(F.col("font"))), F.char_length("text")).otherwise(0))
     out = spans.groupBy(*PAGE, "block_no").agg(*hull(), ordered.alias("text"), math.alias("math"))
-    return out.select(*PAGE, "block_no", *RECT, "text", F.coalesce(F.col("math") / F.nullif(F.char_length(F.trim("text")), F.lit(0)), F.lit(0.0)).alias("math_share"))
+    return out.select(*PAGE, "block_no", *RECT, "text", F.coalesce(F.col("math") / F.nullif(F.char_length(T.stripped(F.col("text"))), F.lit(0)), F.lit(0.0)).alias("math_share"))
 
 
 def rules(drawings: DataFrame) -> DataFrame:
@@ -85,7 +87,7 @@ def rule_groups(rules: DataFrame, blocks: DataFrame) -> DataFrame:
 
 def tables(groups: DataFrame, blocks: DataFrame) -> DataFrame:
     """(page, group_no, rect): a group's hull with the blocks between its rules (by y alone); without blocks, or lower than 6, it is none."""
-    b = blocks.filter(F.trim("text") != "").select(*PAGE, *(F.col(c).alias(f"b{c}") for c in RECT))
+    b = blocks.filter(T.stripped(F.col("text")) != "").select(*PAGE, *(F.col(c).alias(f"b{c}") for c in RECT))
     inside = (F.col("by0") >= F.col("y0") - CELL_SLACK) & (F.col("by1") <= F.col("y1") + CELL_SLACK)
     return (
         groups.join(b, [*PAGE])
@@ -105,12 +107,34 @@ def set_apart(blocks: DataFrame, frame: DataFrame, tables: DataFrame) -> DataFra
     return own.join(t, (F.col("doc_id") == F.col("tdoc_id")) & (F.col("page_no") == F.col("tpage_no")) & cuts, "left_anti")
 
 
-def islands(rows: DataFrame, keys: tuple[str, ...], low: str, high: str, gap: float, inclusive: bool) -> DataFrame:
-    """The rows with `island`: a new one begins where the gap to all before is too wide."""
-    w = Window.partitionBy(*keys).orderBy(low, high)
-    reach = F.max(high).over(w.rowsBetween(Window.unboundedPreceding, -1)) + gap
+def islands(rows: DataFrame, keys: tuple[str, ...], low: str, high: str, gap: float, inclusive: bool, bucket: float | None = None) -> DataFrame:
+    """The rows with `island`, counted within a key: a new one begins where the gap to all before is too wide.
+
+    bucket: the width of ranges of `low` that are scanned apart, so that no key is one task's; what reaches over from earlier ranges and
+    the number of islands that began there are carried on in a scan over the ranges.
+    """
+    if bucket is None:
+        rows, part = rows.withColumn("_bucket", F.lit(0)), (*keys,)
+    else:
+        rows, part = rows.withColumn("_bucket", F.floor(F.col(low) / bucket)), (*keys, "_bucket")
+    w = Window.partitionBy(*part).orderBy(low, high)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_reach", F.max(high).over(before))
+
+    def carried(df: DataFrame, total: Column, name: str, scan: Callable[[str], Column]) -> DataFrame:
+        if bucket is None:
+            return df.withColumn(name, F.lit(None))
+        own = [f"_key{i}" for i, _ in enumerate(part)]
+        sums = df.groupBy(*part).agg(total.alias("_t")).select(*(F.col(k).alias(n) for k, n in zip(part, own)), scan("_t").over(earlier).alias(name))
+        return df.join(sums, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(part, own)]).drop(*own)
+
+    rows = carried(rows, F.max(high), "_from", F.max)
+    reach = F.greatest("_reach", F.col("_from").cast("double")) + gap
     new = F.when(F.col(low) <= reach, 0).otherwise(1) if inclusive else F.when(F.col(low) < reach, 0).otherwise(1)
-    return rows.withColumn("_new", new).withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    rows = carried(rows.withColumn("_new", new), F.sum("_new"), "_begun", F.sum)
+    island = F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce(F.col("_begun").cast("long"), F.lit(0))
+    return rows.withColumn("island", island).drop("_bucket", "_reach", "_from", "_new", "_begun")
 
 
 def equations(candidates: DataFrame) -> DataFrame:
@@ -143,7 +167,7 @@ def deliberate_breaks(page_boxes: DataFrame, openings: DataFrame, slack: float =
     page_boxes: (doc_id, page_no, y1), null for an empty page; openings: (doc_id, page_no, opening).
     """
     bottoms = page_boxes.groupBy(*PAGE).agg(F.coalesce(F.max("y1"), F.lit(0.0)).alias("bottom"))
-    deepest = F.max("bottom").over(Window.partitionBy("doc_id"))
-    short = bottoms.withColumn("deepest", deepest).filter(F.col("bottom") < F.col("deepest") - slack).select(*PAGE)
+    deepest = bottoms.groupBy("doc_id").agg(F.max("bottom").alias("deepest"))  # merged before it is sent, however many pages a document has
+    short = bottoms.join(deepest, "doc_id").filter(F.col("bottom") < F.col("deepest") - slack).select(*PAGE)
     before = openings.filter((F.col("page_no") > 0) & T.is_heading(F.col("opening"))).select("doc_id", (F.col("page_no") - 1).alias("page_no"))
     return short.unionByName(before).distinct()

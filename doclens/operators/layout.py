@@ -11,7 +11,7 @@ from doclens.functions import text as T
 def justification(text: Column, justified: Column, has_break: Column, least: int = 90) -> Column:
     """relax, justify or keep: short paragraphs and those with a break are set left, others justified."""
     short = (F.char_length(text) < least) | has_break
-    return F.when(short & justified & (F.trim(text) != ""), "relax").when(~short & ~justified, "justify").otherwise("keep")
+    return F.when(short & justified & (T.stripped(text) != ""), "relax").when(~short & ~justified, "justify").otherwise("keep")
 
 
 def droppable_blanks(elements: DataFrame) -> DataFrame:
@@ -19,18 +19,18 @@ def droppable_blanks(elements: DataFrame) -> DataFrame:
     w = Window.partitionBy("doc_id").orderBy("ord")
     e = elements.select("*", F.lag("kind").over(w).alias("before"), F.lead("kind").over(w).alias("after"))
     solid = lambda c: F.coalesce(F.col(c).isin("paragraph", "table"), F.lit(False))
-    return e.filter((F.col("kind") == "paragraph") & (F.trim("text") == "") & ~F.col("has_drawing") & ~F.col("has_break") & ~F.col("is_section_end") & solid("before") & solid("after")).select("doc_id", "ord")
+    return e.filter((F.col("kind") == "paragraph") & (T.stripped(F.col("text")) == "") & ~F.col("has_drawing") & ~F.col("has_break") & ~F.col("is_section_end") & solid("before") & solid("after")).select("doc_id", "ord")
 
 
 def page_number_paragraphs(elements: DataFrame) -> DataFrame:
     """(doc_id, ord): paragraphs of one to four digits that end a section, looking past blank paragraphs without a section mark."""
     w = Window.partitionBy("doc_id").orderBy("ord").rowsBetween(1, Window.unboundedFollowing)
-    blank = (F.col("kind") == "paragraph") & (F.trim("text") == "") & ~F.col("has_drawing")
+    blank = (F.col("kind") == "paragraph") & (T.stripped(F.col("text")) == "") & ~F.col("has_drawing")
     passed = blank & ~F.col("is_section_end")
     nxt = F.first(F.when(~passed, F.struct(F.col("kind").alias("kind"), (blank & F.col("is_section_end")).alias("blank_end"))), ignorenulls=True).over(w)
     e = elements.withColumn("nxt", nxt)
     ends = F.col("is_section_end") | F.col("nxt").isNull() | (F.col("nxt.kind") == "section") | F.col("nxt.blank_end")
-    return e.filter((F.col("kind") == "paragraph") & F.trim("text").rlike(r"^\d{1,4}$") & ends).select("doc_id", "ord")
+    return e.filter((F.col("kind") == "paragraph") & T.stripped(F.col("text")).rlike(r"^\d{1,4}$") & ends).select("doc_id", "ord")
 
 
 def kept_breaks(sections: DataFrame, keep: DataFrame) -> DataFrame:
@@ -56,6 +56,15 @@ def summary(elements: DataFrame) -> DataFrame:
     return out.fillna(0)
 
 
+def counters(**rows: DataFrame) -> DataFrame:
+    """(doc_id, one count for each name): how many rows of each table a document has, zero where it has none."""
+    tagged = [df.select("doc_id", F.lit(name).alias("what")) for name, df in rows.items()]
+    out = tagged[0]
+    for t in tagged[1:]:
+        out = out.unionByName(t)
+    return out.groupBy("doc_id").agg(*(F.count_if(F.col("what") == name).alias(name) for name in rows))
+
+
 def cell_widths(grid: DataFrame, cells: DataFrame) -> DataFrame:
     """(doc_id, table_no, row_no, cell_no, twips): a cell's width is the sum of the columns that it spans.
 
@@ -83,7 +92,7 @@ def page_groups(elements: DataFrame, pages: int) -> DataFrame:
 
     The expected number advances only on a hit, so paragraphs that repeat a number say nothing; a fold over the document's few number paragraphs finds the hits.
     """
-    number = F.when((F.col("kind") == "paragraph") & F.trim("text").rlike(r"^\d{1,9}$"), F.struct(F.col("ord").alias("ord"), F.trim("text").cast("int").alias("n")))
+    number = F.when((F.col("kind") == "paragraph") & T.stripped(F.col("text")).rlike(r"^\d{1,9}$"), F.struct(F.col("ord").alias("ord"), T.stripped(F.col("text")).cast("int").alias("n")))
     start = F.struct(F.lit(1).alias("want"), F.expr("cast(array() as array<int>)").alias("ends"))
     step = lambda a, x: F.when((x["n"] == a["want"]) & (a["want"] <= pages), F.struct((a["want"] + 1).alias("want"), F.concat(a["ends"], F.array(x["ord"])).alias("ends"))).otherwise(a)
     hits = elements.groupBy("doc_id").agg(F.aggregate(F.array_sort(F.collect_list(number)), start, step, lambda a: a["ends"]).alias("ends"))

@@ -36,7 +36,7 @@ def cover(key: str, target: str) -> float:
 
 def word_cover(text: str, target: str) -> float:
     """The same by whole words; by characters if one side has none."""
-    a, b = (INNER.findall(x.lower()) for x in (text, target))
+    a, b = ([w.casefold() for w in INNER.findall(x)] for x in (text, target))
     if not a or not b:
         return cover("".join(text.split()), "".join(target.split()))
     return matched(a, b) / min(len(a), len(b))
@@ -71,7 +71,8 @@ def assign(elements: DataFrame, regions: DataFrame) -> DataFrame:
     page = ["doc_id", "page_no"]
     e = elements.filter(~T.is_caption(F.col("text")))
     r = regions.select(*page, "region_no", F.col("text").alias("target"))
-    scored = e.join(r, page).withColumn("score", element_cover("kind", "text", "target"))
+    # The alignments are costly: both readers below take them from this one exchange, which also serves their windows and joins.
+    scored = e.join(r, page).withColumn("score", element_cover("kind", "text", "target")).repartition(*page)
     bar = F.when(F.col("kind") == "table", TABLE_COVER).otherwise(COVER)
     rank = Window.partitionBy(*page, "ord").orderBy(F.desc("score"), "region_no")
     owned = scored.filter(F.col("score") > bar).withColumn("rank", F.row_number().over(rank)).filter("rank = 1").select(*page, "region_no", "ord", F.lit("owned").alias("how"))
@@ -82,24 +83,44 @@ def assign(elements: DataFrame, regions: DataFrame) -> DataFrame:
     return owned.unionByName(inner.select(*page, "region_no", "ord", F.lit("inside").alias("how")))
 
 
+def replacements(assigned: DataFrame, regions: DataFrame) -> DataFrame:
+    """(doc_id, page_no, region_no, first, n, turn): what replaces each region, the place of its first element and how many there are; later places are replaced first, regions without any (first null) as if at place 0.
+
+    assigned: as `assign` gives it; regions: (doc_id, page_no, region_no).
+    """
+    key = ["doc_id", "page_no", "region_no"]
+    own = assigned.groupBy(*key).agg(F.min("ord").alias("first"), F.count("*").alias("n"))
+    turn = F.row_number().over(Window.partitionBy("doc_id", "page_no").orderBy(F.desc(F.coalesce("first", F.lit(0))), "region_no"))
+    return regions.select(*key).join(own, key, "left").select(*key, "first", F.coalesce("n", F.lit(0)).alias("n"), turn.alias("turn"))
+
+
+def replaced(replacements: DataFrame) -> DataFrame:
+    """(doc_id, replaced, missed): regions with and without an element."""
+    return replacements.groupBy("doc_id").agg(F.count_if(F.col("n") > 0).alias("replaced"), F.count_if(F.col("n") == 0).alias("missed"))
+
+
 def missing_runs(pages: DataFrame, results: DataFrame, least: int = RUN) -> DataFrame:
     """(doc_id, page_no, start, n, words): runs of a page's words that the alignment with the result's words leaves out.
 
-    pages: (doc_id, page_no, words array), short pages are passed over; results: (doc_id, words array). A document's result is sent to its pages, a page at a time.
+    pages: (doc_id, page_no, words array), short pages are passed over; results: (doc_id, words array). Pages that stand in the result as they are
+    need no alignment. A document is one group: its result is sent and indexed once, however many pages it has.
     """
 
-    def run(batches):
-        for b in batches:
-            out = []
-            for d, p, a, w in zip(b["doc_id"], b["page_no"], b["words"], b["result"]):
-                a, w = list(a), list(w) if w is not None else []
-                for tag, i, j, *_ in SequenceMatcher(None, a, w, autojunk=False).get_opcodes():
-                    if tag in ("delete", "replace") and j - i >= least:
-                        out.append((d, p, i, j - i, " ".join(a[i:j])))
-            yield pd.DataFrame(out, columns=["doc_id", "page_no", "start", "n", "words"])
+    def run(key, p: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        out, m = [], SequenceMatcher(None, autojunk=False)
+        m.set_seq2([w for x in r["words"] if x is not None for w in x])
+        for page, words in zip(p["page_no"], p["words"]):
+            a = list(words)
+            m.set_seq1(a)
+            out += [(*key, page, i, j - i, " ".join(a[i:j])) for tag, i, j, *_ in m.get_opcodes() if tag in ("delete", "replace") and j - i >= least]
+        return pd.DataFrame(out, columns=["doc_id", "page_no", "start", "n", "words"])
 
-    both = pages.filter(F.size("words") >= least).join(results.select("doc_id", F.col("words").alias("result")), "doc_id", "left")
-    return both.select("doc_id", "page_no", "words", "result").mapInPandas(run, "doc_id long, page_no int, start int, n int, words string")
+    line = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
+    long = pages.filter(F.size("words") >= least).select("doc_id", "page_no", "words")
+    whole = results.select(F.col("doc_id").alias("d"), F.col("words").alias("there"))
+    open_ = long.join(whole, (F.col("doc_id") == F.col("d")) & F.contains(line("there"), line("words")), "left_anti")
+    there = results.select("doc_id", "words").join(open_.select("doc_id").distinct(), "doc_id", "left_semi")
+    return open_.groupBy("doc_id").cogroup(there.groupBy("doc_id")).applyInPandas(run, "doc_id long, page_no int, start int, n int, words string")
 
 
 def missing_grams(pages: DataFrame, results: DataFrame, n: int = RUN) -> DataFrame:
@@ -140,7 +161,7 @@ def missing_tables(cells: DataFrame) -> DataFrame:
     r = t.filter("side = 'result' and not has_drawing").alias("r")
     shared = F.size(F.array_intersect("s.keys", "r.keys"))
     same = (F.col("s.doc_id") == F.col("r.doc_id")) & (F.col("s.rows") == F.col("r.rows")) & (F.col("s.columns") == F.col("r.columns"))
-    enough = (shared >= TABLE_SOURCE * F.size("s.keys")) & (shared >= TABLE_RESULT * F.size("r.keys")) & (shared > 0)
+    enough = (shared / F.size("s.keys") >= TABLE_SOURCE) & (shared / F.size("r.keys") >= TABLE_RESULT) & (shared > 0)
     return s.join(r, same & enough, "left_anti").select("doc_id", "table_no")
 
 

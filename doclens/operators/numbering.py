@@ -111,6 +111,30 @@ def zipped(a: DataFrame, a_order: str, b: DataFrame, b_order: str) -> DataFrame:
     return x.join(y, ["doc_id", "k"])
 
 
+def stacked_figures(panels: DataFrame, tables: DataFrame, least: float = 0.7) -> DataFrame:
+    """(doc_id, fig_no, ord): figures whose panels are set one above the other: the n-th figure with panels stands in the n-th figure table, which has one row and a filled cell
+    for each of its panels, two at least, all of known width and `least` of a line wide.
+
+    panels: (doc_id, fig_no, ratio); tables: (doc_id, ord, rows, cells), cells with content.
+    """
+    figures = panels.groupBy("doc_id", "fig_no").agg(F.count("*").alias("n"), F.bool_and(F.coalesce(F.col("ratio") >= least, F.lit(False))).alias("wide"))
+    both = zipped(figures, "fig_no", tables, "ord").select("doc_id", F.col("left").alias("fig_no"), F.col("right").alias("ord"))
+    told = both.join(figures, ["doc_id", "fig_no"]).join(tables.select("doc_id", "ord", "rows", "cells"), ["doc_id", "ord"])
+    return told.filter("n >= 2 and wide and rows = 1 and cells = n").select("doc_id", "fig_no", "ord")
+
+
+def resized_images(widths: DataFrame, source_images: DataFrame, shapes: DataFrame, text_width: Column) -> DataFrame:
+    """(doc_id, image_no, width, height): new sizes of images, aspect kept, of documents that have as many shapes as their source has images.
+
+    widths: (doc_id, image_no, ratio); source_images: (doc_id, ...), one row each; shapes: (doc_id, image_no, width, height).
+    """
+    count = lambda d, n: d.groupBy("doc_id").agg(F.count("*").alias(n))
+    equal = count(source_images, "a").join(count(shapes, "b"), "doc_id").filter("a = b").select("doc_id")
+    new = F.round(F.col("ratio") * text_width)
+    both = shapes.join(widths, ["doc_id", "image_no"]).join(equal, "doc_id", "left_semi")
+    return both.select("doc_id", "image_no", new.cast("long").alias("width"), F.bround(F.col("height") * new / F.col("width")).cast("long").alias("height"))
+
+
 def insertion_points(missing: DataFrame, captions: DataFrame) -> DataFrame:
     """(doc_id, number, ord): the first caption of a greater number, null at the end. missing: (doc_id, number); captions: (doc_id, number, ord)."""
     c = captions.select("doc_id", F.col("number").alias("other"), "ord")

@@ -57,7 +57,7 @@ def fewer(source: DataFrame, result: DataFrame, what: str) -> DataFrame:
 def without_prefix(records: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """records (doc_id, prefix, ...) of which no paragraph of the result starts with the prefix."""
     p = paragraphs.select(F.col("doc_id").alias("d"), F.col("text").alias("para"))
-    return records.join(p, (F.col("doc_id") == F.col("d")) & F.startswith(F.ltrim("para"), F.col("prefix")), "left_anti")
+    return records.join(p, (F.col("doc_id") == F.col("d")) & F.startswith(T.stripped("para"), F.col("prefix")), "left_anti")
 
 
 def incomplete_captions(records: DataFrame, paragraphs: DataFrame, chars: int = 7) -> DataFrame:
@@ -83,8 +83,8 @@ def missing_panels(panels: DataFrame, paragraphs: DataFrame) -> DataFrame:
 
 
 def unique_messages(messages: DataFrame) -> DataFrame:
-    """(run_id, seq, message): first occurrences of messages that aren't blank, in order."""
-    first = messages.filter(F.trim("message") != "").groupBy("run_id", "message").agg(F.min("seq").alias("first"))
+    """(run_id, seq, message): first occurrences of messages that aren't blank, without white space at their ends, in order."""
+    first = messages.withColumn("message", T.stripped("message")).filter("message <> ''").groupBy("run_id", "message").agg(F.min("seq").alias("first"))
     return first.select("run_id", (F.row_number().over(Window.partitionBy("run_id").orderBy("first")) - 1).alias("seq"), "message")
 
 

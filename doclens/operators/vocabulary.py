@@ -18,6 +18,26 @@ def word_rows(rows: DataFrame, *keys: str, pattern: str = T.WORD2) -> DataFrame:
     return rows.select(*keys, F.posexplode(T.words(F.col("text"), pattern)).alias("pos", "word"))
 
 
+def line_words(rows: DataFrame, *keys: str, pattern: str = T.WORD2, normalize: bool = False) -> DataFrame:
+    """(keys, words): each line's words in order, lower-cased, in one row; lines without words have none. normalize: after Unicode compatibility composition."""
+    text = T.normalized(F.col("text")) if normalize else F.col("text")
+    return rows.select(*keys, T.words(text, pattern).alias("words")).filter(F.size("words") > 0)
+
+
+def neighbours(lines: DataFrame, *scope: str) -> DataFrame:
+    """(scope, l, r): distinct words that follow each other within a line (words array). Neighbours stand in one row, so nothing is sorted."""
+    both = F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda i: F.struct(F.get("words", i - 1).alias("l"), F.get("words", i).alias("r")))
+    return lines.filter(F.size("words") > 1).select(*scope, F.explode(both).alias("p")).select(*scope, "p.l", "p.r").distinct()
+
+
+def document_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pattern: str = T.WORD2) -> DataFrame:
+    """(doc_id, pairs): distinct neighbours within a line of each document, as two words with a null character between. A document is one row, so nothing is sent."""
+    line = lambda w: F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws("\0", F.get(w, i - 1), F.get(w, i)))).otherwise(F.expr("cast(array() as array<string>)"))
+    # Words of a line are bound once, or each look-up would split them again.
+    lines = F.transform(F.split(text_col, "\n"), lambda x: T.words(x, pattern))
+    return docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.array_distinct(F.flatten(F.transform(lines, line))).alias("pairs"))
+
+
 def counts(words: DataFrame, *scope: str) -> DataFrame:
     return words.groupBy(*scope, "word").agg(F.count("*").alias("n"))
 
@@ -39,9 +59,7 @@ def adjacent_pairs(words: DataFrame, line: tuple[str, ...], scope: tuple[str, ..
 
 def boundary_evidence(words: DataFrame, pairs: DataFrame) -> DataFrame:
     """(l, r): neighbours that are never written as one word."""
-    distinct = words.select("word").distinct()
-    each = pairs.select("l", "r").distinct()
-    return each.join(distinct, F.concat("l", "r") == F.col("word"), "left_anti")
+    return pairs.select("l", "r").distinct().join(words.select("word").distinct(), F.concat("l", "r") == F.col("word"), "left_anti")
 
 
 def glued_literal(words: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from doclens.functions import tex
@@ -14,13 +14,13 @@ from doclens.sources import files
 def page_words(pages: DataFrame) -> DataFrame:
     """(doc_id, page_no, words) of pages (doc_id, page_no, text): lines that are the page's own number are left out."""
     own = (F.col("page_no") + 1).cast("string")
-    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != own)
-    return pages.select("doc_id", "page_no", T.words(T.nfkc(F.array_join(lines, "\n"))).alias("words"))
+    lines = F.filter(F.split("text", "\n"), lambda x: T.stripped(x) != own)
+    return pages.select("doc_id", "page_no", T.words(T.normalized(F.array_join(lines, "\n"))).alias("words"))
 
 
 def lost_passages(pages: DataFrame, results: DataFrame) -> DataFrame:
     """Runs of six words of a page at least that the whole result (doc_id, text) lacks in order."""
-    return matching.missing_runs(page_words(pages), results.select("doc_id", T.words(T.nfkc("text")).alias("words")))
+    return matching.missing_runs(page_words(pages), results.select("doc_id", T.words(T.normalized(F.col("text"))).alias("words")))
 
 
 def source_records(sources: DataFrame, which: str) -> DataFrame:
@@ -34,6 +34,20 @@ def source_records(sources: DataFrame, which: str) -> DataFrame:
     return tex.table_of(sources, f, "number int, prefix string, caption string")
 
 
+#: Findings in the order of a report.
+ORDER = (
+    "fewer tables", "table caption not found", "table caption incomplete", "caption twice in a paragraph", "fewer images", "figure caption not found", "figure caption incomplete", "panel not found",
+    "reference to an undefined label", "citation without an entry", "fewer bibliography paragraphs", "title not in the bibliography", "link missing", "link different",
+)
+
+
+def listed(findings: DataFrame) -> DataFrame:
+    """(doc_id, ord, finding, detail): a document's findings as a report lists them: by kind, keys in order of their code points; missing and different links together."""
+    kind = F.array_position(F.array(*map(F.lit, ORDER)), F.regexp_replace("finding", "^link different$", "link missing"))
+    ord_ = F.row_number().over(Window.partitionBy("doc_id").orderBy(kind, "detail", "finding"))
+    return findings.select("doc_id", ord_.alias("ord"), "finding", "detail")
+
+
 def audit(sources: DataFrame, elements: DataFrame, entries: DataFrame, shown: DataFrame, expected: DataFrame) -> DataFrame:
     """(doc_id, finding, detail): all findings of a converted document.
 
