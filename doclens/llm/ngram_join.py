@@ -451,7 +451,10 @@ def _families(num: int, den: int):
 
 
 def by_hubs(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) that connect all linked nodes, from candidate pairs (u, c) and sets (node, set): step 4."""
+    """Links (a, b) that connect all linked nodes, from candidate pairs (u, c) and sets (node, set): step 4.
+
+    No pair is compared twice, so rounds end; a bucket's sets meet a new hub in each, and as buckets are narrowed by an element of their hub's difference, few rounds (of the order of the log of the largest bucket) are expected.
+    """
     # The more nodes a hub was compared with, the earlier it is a hub again.
     ranks = pairs.groupBy("c").agg(F.count("*").alias("rank")).withColumnRenamed("c", "node")
     sets = written(sets.join(ranks, "node", "left").select("node", "set", F.coalesce("rank", F.lit(0).cast("long")).alias("rank")), "ranked")
