@@ -62,7 +62,7 @@ class Remembered(dict):
 class ForcedBoundaryBPE:
     """Byte-level BPE of a tokenizers JSON file. Encoded texts are little-endian unsigned 32-bit ids."""
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 150_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         byte = printable()

@@ -98,7 +98,7 @@ def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], dict[str, list]], sch
 class WordHashes(dict):
     """Word (UTF-8 bytes) to its 64-bit hash, computed on first use. Bounded: emptied beyond `most` words, which costs time only."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 100_000):
         super().__init__()
         self.most = most
 
