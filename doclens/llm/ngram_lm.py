@@ -200,7 +200,7 @@ def _send(shards: int, known: Known, room: float, chunk: int):
             key = (place[slot] << bits | code[left]) << bits | code[ids[ok + 2]]
         doc = doc[ok]
         del ids, ok, left, middle, slot, split
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)  # the order of texts within a trigram says nothing
         key, doc = key[order], doc[order]
         del order
         at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -335,27 +335,37 @@ def _shard(known: Known, types: dict[int, int], room: float, discount: float):
 
     def run(t: pa.Table) -> pa.Table:
         rows = [(c, None, x) for c, x in zip(t["chunk"].to_pylist(), t["header"].to_pylist()) if x is not None]
-        parts, of, docs = [], [], []
-        for c, x, d in zip(t["chunk"].to_pylist(), t["trigrams"].to_pylist(), t["docs"].to_pylist()):
-            if x is not None:
-                m, runs, left, right, n, train, rare = unpacked(x)
-                h = known.hashes(rare)
-                parts.append((np.repeat(h[np.cumsum(m)], runs), h[ungapped(left, runs.astype(np.int64))], h[right], train, n))
-                of.append(c)
-                docs.append(d)
-        if parts:
-            m, left, right, train = (np.concatenate([p[i] for p in parts]) for i in range(4))
-            times = [p[4] for p in parts]
+        got = [(c, d, unpacked(x)) for c, x, d in zip(t["chunk"].to_pylist(), t["trigrams"].to_pylist(), t["docs"].to_pylist()) if x is not None]
+        if got:
+            # Words are numbered by the list, and beyond it by the shard's own dictionary.
+            k, of, docs = len(known.h), [c for c, *_ in got], [d for _, d, _ in got]
+            own = [np.cumsum(x[6], dtype=np.uint64) for *_, x in got]
+            rare, number = np.unique(np.concatenate(own), return_inverse=True)
+            begin = np.cumsum([0, *map(len, own)])
+
+            def numbered(codes: np.ndarray, number: np.ndarray) -> np.ndarray:
+                codes = codes.astype(np.int64)
+                beyond = np.flatnonzero(codes >= k)
+                codes[beyond] = k + number[codes[beyond] - k]
+                return codes
+
+            parts = []
+            for i, (*_, (m, runs, left, right, n, train, _)) in enumerate(got):
+                here = number[begin[i] : begin[i + 1]]
+                parts.append((numbered(np.cumsum(m), here), runs, numbered(ungapped(left, runs.astype(np.int64)), here), numbered(right, here), train, n))
+            del got, own
+            m, runs, li, ri, train = (np.concatenate([p[i] for p in parts]) for i in range(5))
+            times = [p[5] for p in parts]
             cuts = np.cumsum([0, *map(len, times)])
             del parts
-            (ms, mi), (ls, li), (rs, ri) = (np.unique(x, return_inverse=True) for x in (m, left, right))
-            del m, left, right
-            nl, nr = len(ls), len(rs)
+            ms, mi = np.unique(m, return_inverse=True)
+            mi = np.repeat(mi, runs)
+            nl = nr = k + len(rare)
             if len(ms) * nl * nr < 1 << 62:
                 key = (mi * nl + li) * nr + ri
             else:
                 key = np.unique(mi * nl + li, return_inverse=True)[1] * nr + ri
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             first = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0]))
             at = order[first]
             inverse = np.empty(len(key), np.int64)
@@ -363,31 +373,31 @@ def _shard(known: Known, types: dict[int, int], room: float, discount: float):
             c = np.add.reduceat(train[order].astype(np.int64), first)
             del key, order, train
             mi, li, ri = mi[at], li[at], ri[at]
-            ended, begins = rs[ri] == np.uint64(AFTER), ls[li] == np.uint64(BEFORE)
+            ended, begins = ri == 2, li == 0  # nothing after the end, or before the first word
             seen = np.flatnonzero(c > 0)
-            code, whole = known.codes(ms), None
-            listed = code >= 0
+            listed, whole = ms < k, None
+            code = np.where(listed, ms, 0)
             parted = np.flatnonzero(listed & (known.classes[code] > 0))
             if len(parted):
                 pairs = [unpacked(x) for x in t["pairs"].to_pylist() if x is not None]
-                got = [(known.h[m], known.hashes(g)[r], c2) for m, r, g, c2 in pairs]
-                name, r, c2 = (np.concatenate(x) for x in zip(*got)) if got else (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
-                pair = np.searchsorted(ms, name) * nr + np.searchsorted(rs, r)
+                held = [(m, numbered(r, np.searchsorted(rare, np.cumsum(g, dtype=np.uint64))), c2) for m, r, g, c2 in pairs]
+                name, r, c2 = (np.concatenate(x) for x in zip(*held)) if held else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+                pair = np.searchsorted(ms, name) * nr + r
                 by = np.argsort(pair)
                 whole = (parted, known.n[code[parted]], np.array([types.get(x, 0) for x in code[parted].tolist()], np.int64), pair[by], c2[by])
             trie = Trie.mapped(Trie.build(mi[seen], li[seen], ri[seen], c[seen], ended[seen], (len(ms), nl, nr), discount, whole))
             found, alone, count = trie.score(mi, li, ri, begins, ended)
             found += np.where(alone, steps(count), 0)
             # Listed words' base probabilities were summed where their texts are.
-            rare = ~listed[mi]
-            base = np.where(rare, np.rint((np.log10(count + 1.0) - room) / -UNIT), 0).astype(np.int64)
-            known_ = rare & (count > 0)
+            new = ~listed[mi]
+            base = np.where(new, np.rint((np.log10(count + 1.0) - room) / -UNIT), 0).astype(np.int64)
+            known_ = new & (count > 0)
             for c_, d, n, a, b in zip(of, docs, times, cuts[:-1].tolist(), cuts[1:].tolist()):
                 which = np.repeat(inverse[a:b], n)
                 doc = unpacked(d)[0]
                 total = np.bincount(doc, found[which])
                 held = np.flatnonzero(np.bincount(doc))
-                some = np.flatnonzero(rare[which])
+                some = np.flatnonzero(new[which])
                 doc, which = doc[some], which[some]
                 few = np.flatnonzero(np.bincount(doc)) if len(doc) else np.zeros(0, np.int64)
                 sums = (np.bincount(doc, x[which])[few].astype(np.int64) if len(doc) else few for x in (*halves(base), known_))
@@ -420,7 +430,7 @@ def _sum_up(total: int):
     return run
 
 
-def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", discount: float = 0.75, top: int = TOP, split: int = SHARD // 2, chunk: int = CHUNK) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", discount: float = 0.75, top: int = TOP, split: int = SHARD, chunk: int = CHUNK) -> DataFrame:
     """Scores of all rows by the model of those that aren't held out. top, split and chunk say what is sent where; they don't move a score."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text_col).alias("text"))
