@@ -61,14 +61,17 @@ class EliasFano:
         """Index of each value, -1 where it isn't: a bucket of the high bits, then binary search among its low bits."""
         top, want = x >> self.bits, (x & ((1 << self.bits) - 1)).astype(np.uint64)
         lo, hi = self.begin[top].astype(np.int64), self.begin[top + 1].astype(np.int64)
-        end, out = hi.copy(), np.full(len(x), -1, np.int64)
+        end, out = hi, np.full(len(x), -1, np.int64)
         live = np.flatnonzero(lo < hi)
+        low, high, goal = lo[live], hi[live], want[live]
         while len(live):
-            mid = (lo[live] + hi[live]) >> 1
-            less = self.lows(mid) < want[live]
-            lo[live[less]] = mid[less] + 1
-            hi[live[~less]] = mid[~less]
-            live = live[lo[live] < hi[live]]
+            mid = (low + high) >> 1
+            less = self.lows(mid) < goal
+            low, high = np.where(less, mid + 1, low), np.where(less, high, mid)
+            more = low < high
+            done = ~more
+            lo[live[done]] = low[done]
+            live, low, high, goal = live[more], low[more], high[more], goal[more]
         at = np.flatnonzero(lo < end)
         ok = at[self.lows(lo[at]) == want[at]]
         out[ok] = lo[ok]
@@ -184,7 +187,11 @@ class Trie:
         """
         nm, nl, nr = self.n
         out = np.zeros(len(m), np.int64)
-        context = self.context.find(m * nl + left)
+        # Trigrams come in order, those of a context together: each context is looked up once.
+        key = m * nl + left
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        context = self.context.find(key[new])[np.cumsum(new) - 1]
         alone = first | (context < 0)
         pair = np.where(ended, -1, self.next.find(m * nr + np.where(ended, 0, r)))
         deep = ~first & (context >= 0) & ~ended
