@@ -803,13 +803,17 @@ def s6_sidecars(spark, sf):
     return S.sidecars(spark.createDataFrame([(2, "main.pdf"), (1, "other.pdf")], "doc_id long, path string"), fixture(spark, "files"))
 
 
-@query("SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'sure'), (4, 'plain')) AS t(doc_id, word)")
+@query(
+    f"SELECT DISTINCT doc_id, unnest([lower(x) FOR x IN regexp_extract_all(regexp_replace(regexp_replace(text, '(^|[^\\\\])%[^\\n]*', '\\1 ', 'g'), '\\\\[a-zA-Z@]+', ' ', 'g'), '{Q2}')]) AS word FROM (VALUES (CAST(1 AS BIGINT), concat('\\section sure % hidden', chr(10), '\\x')), (4, 'Plain a')) AS t(doc_id, text)"
+)
 def s5_sidecar_words(spark, sf):
     rows = [(1, "\\section sure % hidden\n\\x"), (4, "Plain a")]
     return S.sidecar_words(spark.createDataFrame(rows, "doc_id long, text string"))
 
 
-@query("SELECT * FROM (VALUES (CAST(0 AS BIGINT), 'k1', 'A {Study} of Rivers'), (0, 'k2', 'On Nets')) AS t(file_no, key, title)")
+@query(
+    r"WITH e AS (SELECT file_no, unnest(regexp_split_to_array(text, '(?:^|\n)@\w+\s*\{')) AS e FROM " + values("bib") + r"), t AS (SELECT file_no, regexp_extract(e, '^\s*([^,\s]+)', 1) AS key, regexp_extract(e, '\btitle\s*=\s*(\{(?:[^{}]|\{[^{}]*\})*\}|\"[^\"]*\")', 1) AS title FROM e) SELECT file_no, key, title[2:-2] AS title FROM t WHERE title <> ''"
+)
 def s11_bib_titles(spark, sf):
     return S.bib_titles(fixture(spark, "bib"))
 
@@ -844,7 +848,14 @@ def lit(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
-@query("SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'Costs'), (2, 'left'), (2, 'Plan')) AS t(doc_id, body)")
+#: Sources without comments; regular expressions suffice for what the fixture nests.
+BARE_PAPER = f"bare AS (SELECT doc_id, {BARE} AS t FROM {PAPER})"
+#: (doc_id, i, ratio): panels in order, the multiple of a line that their width is.
+PANELS_SQL = BARE_PAPER + r""", w AS (SELECT doc_id, regexp_extract_all(t, '\\begin\{subfigure\}(?:\[[^\]]*\])?\{([^}]*)\}', 1) AS w FROM bare), one AS (SELECT doc_id, unnest(range(len(w))) AS i, unnest(w) AS x FROM w),
+    panel AS (SELECT doc_id, CAST(i AS INTEGER) AS i, CASE WHEN regexp_matches(x, '^\s*([0-9.]+)?\s*\\(textwidth|linewidth|columnwidth)\s*$') THEN coalesce(try_cast(nullif(regexp_extract(x, '^\s*([0-9.]*)', 1), '') AS DOUBLE), 1.0) END AS ratio FROM one)"""
+
+
+@query(f"WITH {BARE_PAPER} " + r"SELECT doc_id, unnest(regexp_extract_all(t, '\\caption\*?(?:\[[^\]]*\])?\{([^{}]*)\}', 1)) AS body FROM bare")
 def t2_groups(spark, sf):
     """The group behind each caption."""
     return tex.table_of(fixture(spark, "paper"), lambda t: [(tex.group(t, m.end())[0],) for m in tex.commands(t, "caption")], "body string").select("doc_id", "body")
@@ -855,7 +866,7 @@ def t4_table_floats(spark, sf):
     return tex.table_of(fixture(spark, "paper"), lambda t: tex.environments(t, tex.TABLES), "start int, stop int").select("doc_id", "start", "stop")
 
 
-@query("SELECT CAST(2 AS BIGINT) AS doc_id, CAST(0.7 AS DOUBLE) AS ratio")
+@query(f"WITH {PANELS_SQL} SELECT doc_id, ratio FROM panel WHERE ratio >= 0.5")
 def t5_wide_panels(spark, sf):
     return tex.table_of(fixture(spark, "paper"), tex.wide_panels, "start int, stop int, ratio double").select("doc_id", "ratio")
 
@@ -876,12 +887,15 @@ def t8_t9_figure_records(spark, sf):
     return f.unionByName(p)
 
 
-@query("SELECT * FROM (VALUES (CAST(2 AS BIGINT), CAST(0 AS INTEGER), CAST(0.7 AS DOUBLE)), (2, 1, NULL)) AS t(doc_id, ord, ratio)")
+@query(f"WITH {PANELS_SQL} SELECT doc_id, i AS ord, ratio FROM panel")
 def t10_panel_ratios(spark, sf):
     return tex.table_of(fixture(spark, "paper"), tex.panels, "start int, stop int, ratio double").select("doc_id", "ord", "ratio")
 
 
-@query("SELECT * FROM (VALUES (CAST(2 AS BIGINT), CAST(0 AS INTEGER), CAST(1 AS INTEGER), false, 'Start', 's,s2'), (2, 1, 1, true, 'Thanks', ''), (2, 2, 2, false, 'More', '')) AS t(doc_id, ord, level, starred, title, labels)")
+@query(
+    f"WITH {BARE_PAPER}" + r""", h AS (SELECT doc_id, regexp_extract_all(t, '\\(?:part|chapter|(?:sub)*section|(?:sub)?paragraph)\*?\s*(?:\[[^\]]*\])?\{[^{}]*\}(?:\s*\\label\{[^}]*\})*') AS h FROM bare), one AS (SELECT doc_id, unnest(range(len(h))) AS i, unnest(h) AS x FROM h)
+    SELECT doc_id, CAST(i AS INTEGER) AS ord, CASE regexp_extract(x, '^\\([a-z]+)', 1) WHEN 'section' THEN 1 WHEN 'subsection' THEN 2 WHEN 'subsubsection' THEN 3 END AS level, regexp_matches(x, '^\\[a-z]+\*') AS starred, regexp_extract(x, '\{([^{}]*)\}', 1) AS title, array_to_string(regexp_extract_all(x, '\\label\{([^}]*)\}', 1), ',') AS labels FROM one"""
+)
 def t11_headings(spark, sf):
     f = lambda t: [(h["level"], h["starred"], h["title"], ",".join(h["labels"])) for h in tex.headings(t)]
     return tex.table_of(fixture(spark, "paper"), f, "level int, starred boolean, title string, labels string")
@@ -903,7 +917,7 @@ def t16_standalone_tables(spark, sf):
     return tex.table_of(fixture(spark, "paper"), lambda t: [(s,) for s in tex.standalone_tables(t)], "source string").select("doc_id", "source")
 
 
-@query("SELECT * FROM (VALUES (CAST(2 AS BIGINT), CAST(0 AS INTEGER), 'p.png'), (2, 1, 'q'), (4, 0, 'z')) AS t(doc_id, ord, path)")
+@query(f"WITH {BARE_PAPER} " + r", p AS (SELECT doc_id, regexp_extract_all(t, '\\includegraphics\*?\s*(?:\[[^\]]*\])?\s*\{([^}]*)\}', 1) AS p FROM bare) SELECT doc_id, CAST(unnest(range(len(p))) AS INTEGER) AS ord, unnest(p) AS path FROM p")
 def s10_images(spark, sf):
     return tex.table_of(fixture(spark, "paper"), lambda t: [(p,) for *_, p in tex.images(t)], "path string")
 
