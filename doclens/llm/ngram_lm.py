@@ -40,8 +40,8 @@ from doclens.llm.elias_fano import STEP, Trie
 
 #: Hashes of the end, of what stands before a text and of what stands after it. A word has at least one byte, so none hashes these strings but by chance.
 END, BEFORE, AFTER = (xxhash.xxh64_intdigest(b"\0" + x) for x in (b"end", b"before", b"after"))
-#: Tokens and distinct words that a task gathers before it sends them, tokens of a shard (about), and words of the list of codes.
-CHUNK, WORDS, SHARD, TOP = 3_000_000, 1_500_000, 1_500_000, 1 << 18
+#: Tokens and distinct words that a task gathers before it sends them, tokens of a shard (about) and of a word that isn't split, and words of the list of codes.
+CHUNK, WORDS, SHARD, SPLIT, TOP = 3_000_000, 1_500_000, 1_000_000, 750_000, 1 << 18
 #: Base probabilities are summed as integers, in this part of log10, and in two halves, so that no text is too long.
 UNIT, HALF = 2.0**-44, 24
 
@@ -347,7 +347,7 @@ def _shard(known: Known, types: dict[int, int], room: float, discount: float):
                 codes = codes.astype(np.int64)
                 beyond = np.flatnonzero(codes >= k)
                 codes[beyond] = k + number[codes[beyond] - k]
-                return codes
+                return codes.astype(np.int32) if k + len(rare) < 1 << 31 else codes
 
             parts = []
             for i, (*_, (m, runs, left, right, n, train, _)) in enumerate(got):
@@ -360,6 +360,7 @@ def _shard(known: Known, types: dict[int, int], room: float, discount: float):
             del parts
             ms, mi = np.unique(m, return_inverse=True)
             mi = np.repeat(mi, runs)
+            del m, runs
             nl = nr = k + len(rare)
             if len(ms) * nl * nr < 1 << 62:
                 key = (mi * nl + li) * nr + ri
@@ -430,7 +431,7 @@ def _sum_up(total: int):
     return run
 
 
-def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", discount: float = 0.75, top: int = TOP, split: int = SHARD, chunk: int = CHUNK) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", discount: float = 0.75, top: int = TOP, split: int = SPLIT, chunk: int = CHUNK) -> DataFrame:
     """Scores of all rows by the model of those that aren't held out. top, split and chunk say what is sent where; they don't move a score."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text_col).alias("text"))
