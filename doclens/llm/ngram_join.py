@@ -14,10 +14,8 @@ the Jaccard similarity of their sets is at least num/den.
    occurs in the corpus (2**20 counters, summed in the first pass), so shared passages come last. Poor sets that share one of these elements make direct pairs, or, in a large bucket, are joined to one of them, its hub: rows are in proportion to a bucket's size.
 4. Parity bitmaps refute direct pairs that can't link. What stands, with the pairs of hubs, connects sets to families; linked sets are always in one. A family of at most `FAMILY` nodes and `ELEMENTS` shingles is settled within one task, exactly: bitmaps bound
    two sets' difference from below, and what they leave is compared in full unless it is connected already.
-   A larger family is settled by comparing with hubs, in rounds of joins. Sets behind a block's hub are compared with the hubs of all its large buckets, too, so any two sets of a bucket
-   have one in common. Let u and v have been compared with a hub c, and differ from it by du and dv.
-   If u and v link and not both link with c, du and dv overlap in more than a known number of elements. Prefixes of du and dv, elements that c lacks first, therefore share
-   an element; (c, element) is a new, smaller bucket with a hub of its own. No pair is compared twice, so this ends; no partner is capped.
+   A larger family is dealt into blocks of half that size, by bands of sizes and a hash (`by_blocks`). Each block is settled as a small family; its candidate pairs link blocks' components. What then isn't in the family's largest
+   component is compared, in blocks of its own, with all blocks in whose band or beside it linked sets stand. All pairs of the family are thus compared or connected, and what is shuffled is a family's sets times the blocks of its outliers.
 5. Groups are the connected components of the links.
 
 Defined cases: null and empty texts have an empty set and stand alone; a row without an id takes no part (null component);
@@ -42,7 +40,7 @@ from doclens.llm.components import components
 
 #: Signatures that a task gathers before it sends them, and documents of which sets are sent by broadcast at most.
 CHUNK, SMALL = 1_000_000, 2_000_000
-#: Nodes and shingles of a family that one task settles at most; larger ones are settled by joins.
+#: Nodes and shingles of a family that one task settles at most; larger ones are settled in blocks.
 FAMILY, ELEMENTS = 16_384, 16_000_000
 #: Sets of one signature up to which all pairs are made, a bounded number for each set; and sets of a block beyond which only their hub is sent on.
 DIRECT, LOCAL = 24, 64
@@ -319,52 +317,6 @@ def _meet(t: pa.Table, apart: int | None) -> pa.Table:
     return pa.concat_tables(out)
 
 
-TOLD = "u long, c long, rank long, linked boolean, one binary, two binary"
-
-
-def _compare(num: int, den: int):
-    """(u, c, both sets) to whether they link, and the prefixes of u's difference from c for pairs of unlinked nodes (one) and of an unlinked with a linked (two)."""
-    kappa = (den - num) / (den + num)
-
-    def run(batch):
-        out = {"u": batch.column(0), "c": batch.column(1), "rank": batch.column(2), "linked": [], "one": [], "two": []}
-        for a, b in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
-            a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-            shared = np.intersect1d(a, b, assume_unique=True)
-            union = len(a) + len(b) - len(shared)
-            linked = den * len(shared) >= num * union
-            d = union - len(shared)
-            delta = np.concatenate([np.setdiff1d(a, shared, assume_unique=True), np.setdiff1d(b, shared, assume_unique=True)])
-            # A partner v of u differs from u in at most `most`; the overlap of their differences is at least (d - s + (1 - kappa) * dv) / 2.
-            if linked:
-                one, two = 0, d - int(d * (1 - kappa) / 2 - 1e-9)
-            else:
-                s, most = kappa * (len(a) + len(b)), len(a) * (den - num) // num
-                overlap = lambda dv: max(1, int(np.ceil((d - s + (1 - kappa) * dv) / 2 - 1e-9)))  # noqa: B023, E731
-                one = d + 1 - overlap(max(d - most, int(kappa * (len(a) * num / den + len(b)) - 1e-9), 1))
-                two = d + 1 - overlap(max(d - most, 1))
-            out["linked"].append(linked)
-            out["one"].append(delta[: max(0, one)].tobytes())
-            out["two"].append(delta[: max(0, two)].tobytes())
-        return out
-
-    return run
-
-
-def _elements(batch):
-    """A row for each element of the prefixes."""
-    names = ("c", "kind", "u", "rank", "linked", "new")
-    out = {n: [] for n in (*names, "e")}
-    for u, c, rank, linked, new, one, two in zip(*(batch.column(i).to_pylist() for i in range(7))):
-        for kind, raw in ((1, one), (2, two)):
-            if raw:
-                e = np.frombuffer(raw, np.int64).tolist()
-                for name, value in zip(names, (c, kind, u, rank, linked, new)):
-                    out[name] += [value] * len(e)
-                out["e"] += e
-    return out
-
-
 def bitmap(s: np.ndarray, bits: int) -> bytes:
     """A parity bit for each residue: two sets differ in at least as many elements as their bitmaps in bits."""
     return np.packbits((np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
@@ -399,14 +351,24 @@ def _standing(num: int, den: int):
     return run
 
 
+def bitmaps(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
+    """Of one width, by the difference that linked sets have at most."""
+    most = (den - num) * 2 * max(map(len, sets)) // (den + num)
+    bits = 1 << max(8, min(16, int(8 * most).bit_length()))
+    return np.stack([np.frombuffer(bitmap(x, bits), np.uint64) for x in sets])
+
+
+def links(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return den * shared >= num * (len(a) + len(b) - shared)
+
+
 def settled(nodes: list[int], sets: list[np.ndarray], num: int, den: int) -> list[int]:
     """The least node that each reaches by links, among the sets given."""
     order = np.argsort([len(x) for x in sets], kind="stable")
     nodes, sets = np.array(nodes)[order], [sets[i] for i in order]
     size = np.array([len(x) for x in sets])
-    most = (den - num) * 2 * int(size[-1]) // (den + num)
-    bits = 1 << max(8, min(16, int(8 * most).bit_length()))
-    maps = np.stack([np.frombuffer(bitmap(x, bits), np.uint64) for x in sets])
+    maps = bitmaps(sets, num, den)
     label = np.arange(len(sets))
     for i in range(len(sets) - 1):
         j = np.arange(i + 1, np.searchsorted(size, int(size[i]) * den // num, "right"))
@@ -415,10 +377,8 @@ def settled(nodes: list[int], sets: list[np.ndarray], num: int, den: int) -> lis
             continue
         apart = np.bitwise_count(maps[j] ^ maps[i]).sum(1, dtype=np.int64)
         for k in j[apart * (den + num) <= (den - num) * (size[i] + size[j])].tolist():
-            if label[k] != label[i]:
-                shared = len(np.intersect1d(sets[i], sets[k], assume_unique=True))
-                if den * shared >= num * (len(sets[i]) + len(sets[k]) - shared):
-                    label[label == label[k]] = label[i]
+            if label[k] != label[i] and links(sets[i], sets[k], num, den):
+                label[label == label[k]] = label[i]
     least = np.full(len(sets), np.iinfo(np.int64).max)
     np.minimum.at(least, label, nodes)
     out = np.empty(len(sets), np.int64)
@@ -426,6 +386,28 @@ def settled(nodes: list[int], sets: list[np.ndarray], num: int, den: int) -> lis
     return out.tolist()
 
 
+def across(left: list[tuple], right: list[tuple], num: int, den: int) -> list[tuple[int, int]]:
+    """Links (a, b) that connect all linked sets, one of the left and one of the right, of rows (node, set, label, block, outlier). Rows of one label are connected; those of one block are told already; pairs of outliers meet where the right one is greater."""
+    left.sort(key=lambda x: len(x[1]))
+    both, out = left + right, []
+    node, label, block = (np.array([x[i] for x in both], np.int64) for i in (0, 2, 3))
+    sets, outlier = [x[1] for x in both], np.array([x[4] for x in left], bool)
+    size = np.array([len(x) for x in sets])
+    maps, n = bitmaps(sets, num, den), len(left)
+    for i in range(n, len(both)):
+        j = np.arange(np.searchsorted(size[:n], -(-int(size[i]) * num // den)), np.searchsorted(size[:n], int(size[i]) * den // num, "right"))
+        j = j[(label[j] != label[i]) & (block[j] != block[i]) & ~(outlier[j] & (node[j] > node[i]))]
+        for at in range(0, len(j), 1024):  # few bitmaps at once
+            k = j[at : at + 1024]
+            k = k[label[k] != label[i]]
+            apart = np.bitwise_count(maps[k] ^ maps[i]).sum(1, dtype=np.int64)
+            for k in k[apart * (den + num) <= (den - num) * (size[i] + size[k])].tolist():
+                if label[k] != label[i] and links(sets[i], sets[k], num, den):
+                    out.append((int(node[i]), int(node[k])))
+                    label[label == label[k]] = label[i]
+    return out
+
+
 def _families(num: int, den: int):
     """(family, node, set) in order of families, to (node, root)."""
 
@@ -450,31 +432,75 @@ def _families(num: int, den: int):
     return run
 
 
-def by_hubs(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) that connect all linked nodes, from candidate pairs (u, c) and sets (node, set): step 4.
+def _linked(num: int, den: int):
+    """(a, b, their sets) to the pairs that link."""
 
-    No pair is compared twice, so rounds end; a bucket's sets meet a new hub in each, and as buckets are narrowed by an element of their hub's difference, few rounds (of the order of the log of the largest bucket) are expected.
-    """
-    # The more nodes a hub was compared with, the earlier it is a hub again.
-    ranks = pairs.groupBy("c").agg(F.count("*").alias("rank")).withColumnRenamed("c", "node")
-    sets = written(sets.join(ranks, "node", "left").select("node", "set", F.coalesce("rank", F.lit(0).cast("long")).alias("rank")), "ranked")
-    a = sets.select(F.col("node").alias("u"), F.col("set").alias("a"), "rank")
-    b = sets.select(F.col("node").alias("c"), F.col("set").alias("b"))
-    told = None
-    while True:
-        new = written(arrow_map(pairs.join(a, "u").join(b, "c").select("u", "c", "rank", "a", "b"), _compare(num, den), TOLD), "told").withColumn("new", F.lit(True))
-        told = new if told is None else told.withColumn("new", F.lit(False)).unionByName(new)
-        # Only hubs with an unlinked node beside another can hide a link, and only where something was added.
-        open_ = told.groupBy("c").agg(F.count("*").alias("n"), F.count_if(~F.col("linked")).alias("m"), F.bool_or("new").alias("more")).filter("n > 1 and m > 0 and more").select("c")
-        prefixes = arrow_map(told.join(open_, "c", "left_semi").select("u", "c", "rank", "linked", "new", "one", "two"), _elements, "c long, kind int, u long, rank long, linked boolean, new boolean, e long")
-        key = ["c", "kind", "e"]
-        hub = F.max_by("u", F.struct("rank", -F.col("u"))).alias("hub")
-        bucket = prefixes.groupBy(key).agg(hub, F.min("u").alias("least"), F.max("u").alias("most"), F.bool_or("linked").alias("some"), F.bool_and("linked").alias("every"), F.bool_or("new").alias("more"))
-        bucket = bucket.filter("least <> most and more and (kind = 1 or some and not every)").select(*key, "hub")
-        wanted = prefixes.join(bucket, key).filter("u <> hub").select("u", F.col("hub").alias("c")).distinct()
-        pairs = written(wanted.join(told, ["u", "c"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            return told.filter("linked").select(F.col("u").alias("a"), F.col("c").alias("b"))
+    def run(batch):
+        held = [(a, b) for a, b, x, y in zip(*(batch.column(i).to_pylist() for i in range(4))) if links(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), num, den)]
+        return {"a": [a for a, _ in held], "b": [b for _, b in held]}
+
+    return run
+
+
+def _across(num: int, den: int):
+    """(task, node, set, label, block, outlier, right) in order of tasks, to links (a, b)."""
+
+    def run(batches):
+        held, now = ([], []), None
+
+        def done():
+            found = across(*held, num, den) if all(held) else []
+            return pa.RecordBatch.from_pydict({"a": [a for a, _ in found], "b": [b for _, b in found]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+        for batch in batches:
+            for task, node, raw, label, block, outlier, right in zip(*(batch.column(i).to_pylist() for i in range(7))):
+                if task != now and any(held):
+                    yield done()
+                    held = ([], [])
+                now = task
+                held[right].append((node, np.frombuffer(raw, np.uint64), label, block, outlier))
+        if any(held):
+            yield done()
+        del held
+        trim()
+
+    return run
+
+
+def by_blocks(nodes: DataFrame, pairs: DataFrame, sets: DataFrame, num: int, den: int, most: int) -> DataFrame:
+    """(node, root) of the nodes (node, family, n) of large families, from their candidate pairs (a, b) and (node, set): step 4. most: nodes of a block and of the outliers that meet it, together and about."""
+    # Of linked sets, sizes differ by den/num at most, so their bands by one.
+    nodes = nodes.withColumn("band", F.floor(F.log("n") / math.log(1.01 * den / num)))
+
+    def dealt(rows: DataFrame, name: str) -> DataFrame:
+        """Numbers of blocks within family and band: few rows say how many there are."""
+        count = F.greatest(F.count("*") / max(most // 2, 1), F.sum("n") / (ELEMENTS // 2))
+        wide = rows.groupBy("family", "band").agg(F.ceil(count).alias("wide"))
+        return rows.join(F.broadcast(wide), ["family", "band"]).withColumn(name, F.expr("pmod(xxhash64(node), wide)")).drop("wide")
+
+    placed = written(dealt(nodes, "slot").withColumn("block", F.xxhash64("family", "band", "slot")), "placed")
+    first = placed.join(sets, "node").select("block", "node", "set").repartition("block").sortWithinPartitions("block").mapInArrow(_families(num, den), "node long, root long")
+    first = written(first, "blocks")
+    a, b = first.toDF("a", "x"), first.toDF("b", "y")
+    beyond = pairs.join(a, "a").join(b, "b").filter("x <> y").select("a", "b").distinct()
+    x, y = sets.toDF("a", "left"), sets.toDF("b", "right")
+    met = arrow_map(beyond.join(x, "a").join(y, "b").select("a", "b", "left", "right"), _linked(num, den), "a long, b long")
+    labels = written(components(first.toDF("a", "b").unionByName(met)), "labels").withColumnRenamed("root", "label")
+    told = placed.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    main = told.groupBy("family", "label").agg(F.count("*").alias("rows")).groupBy("family").agg(F.max_by("label", F.struct("rows", "label")).alias("main"))
+    told = written(told.join(F.broadcast(main), "family").withColumn("outlier", F.col("label") != F.col("main")).drop("main"), "told")
+    outliers = written(dealt(told.filter("outlier"), "own"), "outliers")
+    spots = told.select("family", "band", "slot").distinct()
+    tasks = outliers.select("family", F.col("band").alias("beside"), "own").distinct().join(spots, "family").filter("abs(beside - band) <= 1")
+    tasks = written(tasks.withColumn("task", F.xxhash64("family", "beside", "own", "band", "slot")), "tasks")
+    row = ["task", "node", "label", "block", "outlier"]
+    left = told.join(tasks, ["family", "band", "slot"]).select(*row, F.lit(0).alias("right"))
+    right = outliers.withColumnRenamed("band", "beside").drop("slot").join(tasks.drop("band"), ["family", "beside", "own"]).select(*row, F.lit(1).alias("right"))
+    rows = left.unionByName(right).join(sets, "node").select("task", "node", "set", "label", "block", "outlier", "right")
+    found = rows.repartition("task").sortWithinPartitions("task").mapInArrow(_across(num, den), "a long, b long")
+    roots = components(told.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(found))
+    released(placed, first, labels, told, outliers, tasks)
+    return roots
 
 
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 4, den: int = 5, family: int = FAMILY) -> tuple[DataFrame, DataFrame]:
@@ -511,8 +537,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     weights = np.zeros(1 << RESIDUE, np.uint32) if weights is None else np.minimum(weights, 2**32 - 1).astype(np.uint32)
     rare = texts_of(poor, "poor").mapInArrow(_blocks(size, num, den, shards, weights), blobs)
     rare = written(rare.groupBy("shard").applyInArrow(_buckets(num, den, True), OUT_DDL), "rare")
-    large = rare.filter(F.col("kind") == LARGE).select("u", F.col("c").alias("bucket"), "y")
-    forced = large.filter("y = 1").select(F.col("u").alias("local"), "bucket").distinct()
+    large = rare.filter(F.col("kind") == LARGE).select("u", F.col("c").alias("bucket"))
     hubs = large.groupBy("bucket").agg(F.min("u").alias("c"))
     behind = rare.filter(F.col("kind") == STAR).select("u", "c")
     stars_ = large.join(hubs, "bucket").select("u", "c").unionByName(behind).filter("u <> c").distinct()
@@ -540,20 +565,17 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     sets = once(written(arrow_map(texts_of(families.select("node"), "held"), to_set, "node long, set binary"), "sets"))
     small = families.filter("not large").join(sets, "node").select("family", "node", "set")
     roots = small.repartition("family").sortWithinPartitions("family").mapInArrow(_families(num, den), "node long, root long")
-    large = families.filter("large").select("node")
+    large = families.filter("large").select("node", "family")
     scratch = (rare, pairs, maps, edges, families, sets)
     if large.isEmpty():
         roots = written(roots, "roots")
         released(*scratch)
         return members, roots
-    rest = edges.select(F.col("a").alias("u"), F.col("b").alias("c")).join(large.withColumnRenamed("node", "u"), "u", "left_semi")
-    # A set behind a block's hub was not sent with its bucket: it meets the hub of each bucket in which it may stand.
-    above = forced.join(hubs, "bucket").select("local", "c").filter("local <> c").distinct()
-    met = behind.withColumnRenamed("c", "local").join(large.withColumnRenamed("node", "u"), "u", "left_semi").join(above, "local").select("u", "c")
-    rest = rest.unionByName(met).filter("u <> c").distinct()
-    links = by_hubs(rest, sets.join(large, "node", "left_semi"), num, den)
-    roots = written(roots.unionByName(components(links)), "roots")
-    released(*scratch)
+    large = written(large.join(maps.select("node", "n"), "node"), "large")
+    own = large.select("node")
+    rest = edges.join(own.withColumnRenamed("node", "a"), "a", "left_semi")  # a pair lies in one family
+    roots = written(roots.unionByName(by_blocks(large, rest, sets.join(own, "node", "left_semi"), num, den, family)), "roots")
+    released(*scratch, large)
     return members, roots
 
 

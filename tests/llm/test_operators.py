@@ -95,6 +95,28 @@ def test_groups_against_brute_force(spark, family, size, num, den):
     assert got == brute_groups(rows, size, num, den)
 
 
+def test_large_families_are_settled_on_little_disk(spark, monkeypatch):
+    """No table of the join is much larger than the sets, and no link is lost, where a family of many outliers goes beyond a block."""
+    import pathlib
+
+    rng, rows, made, write = random.Random(0), [], {}, ngram_join.written
+    for i in range(90):
+        w = [f"w{k}" for k in range(150 if i % 3 else 130)]
+        for _ in range(rng.randint(1, 8)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(40)}"
+        rows.append((i, " ".join(w)))
+
+    def measured(df, name):
+        out = write(df, name)
+        made[name] = made.get(name, 0) + sum(f.stat().st_size for f in pathlib.Path(out.written_path.removeprefix("file:")).glob("*.parquet"))
+        return out
+
+    monkeypatch.setattr(ngram_join, "written", measured)
+    got = ngram_join.groups(spark.createDataFrame(rows, "doc_id long, text string"), size=5, num=4, den=5, family=8)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute_groups(rows, 5, 4, 5)
+    assert max(made.values()) <= 2 * made["sets"]
+
+
 def test_linked_sets_share_a_signature():
     import numpy as np
 
