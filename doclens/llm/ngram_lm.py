@@ -26,16 +26,16 @@ an empty result; other columns are ignored; texts of any length are read whole.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doclens.llm.common import GOLD, crc_mod, mix, octets, packed, released, runs_of, slices, table, trim, unpacked, written
+from doclens.llm.common import GOLD, crc_mod, mix, packed, released, runs_of, table, trim, unpacked, written
 from doclens.llm.elias_fano import STEP, Trie
 
 #: Hashes of the end, of what stands before a text and of what stands after it. A word has at least one byte, so none hashes these strings but by chance.
@@ -44,39 +44,56 @@ END, BEFORE, AFTER = (xxhash.xxh64_intdigest(b"\0" + x) for x in (b"end", b"befo
 CHUNK, WORDS, SHARD, SPLIT, TOP = 3_000_000, 1_500_000, 1_000_000, 750_000, 1 << 18
 #: Base probabilities are summed as integers, in this part of log10, and in two halves, so that no text is too long.
 UNIT, HALF = 2.0**-44, 24
+#: Bytes of the texts that are parted into words at once; a longer text is parted alone.
+ROOM = 1 << 21
+
+
+def worded(batches: Iterator[pa.RecordBatch], column: int, room: int = ROOM) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """(some rows, how many words each has, the words as numbers, the hashes of the distinct words that these name): lower-cased in ASCII, parted by ASCII white space."""
+    for batch in batches:
+        texts = pc.fill_null(batch.column(column), "")
+        ends, at = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + room, "right")))
+            lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.slice(at, to - at)))
+            sizes, coded = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), lists.flatten().dictionary_encode()
+            codes, words = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.cast(pa.binary()).to_pylist()
+            if b"" in words:  # before or after white space at an end
+                void = words.index(b"")
+                sizes = sizes - np.bincount(np.repeat(np.arange(len(sizes)), sizes)[codes == void], minlength=len(sizes))
+                codes = codes[codes != void]
+                codes = codes - (codes > void)
+                del words[void]
+            yield batch.slice(at, to - at), sizes, codes, np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+            at = to
 
 
 def unigrams(training: DataFrame) -> DataFrame:
     """(h, n): each token's hash and count, of texts in the only column. Counted within tasks first, of which each holds a bounded number of words."""
 
+    def merged(h: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        h, at = np.unique(np.concatenate(h), return_inverse=True)
+        return h, np.bincount(at, np.concatenate(n), len(h)).astype(np.int64)
+
     def run(batches):
-        counts: Counter[bytes] = Counter()
-        texts = 0
-
-        def send():
-            h = np.array([*map(xxhash.xxh64_intdigest, counts), END], np.uint64).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(h), pa.array([*counts.values(), texts], pa.int64())], ["h", "n"])
-
-        for batch in slices(batches):
-            for t in octets(batch, 0):
-                counts.update(t.lower().split())
-                if len(counts) >= WORDS // 4:
-                    yield send()
-                    counts.clear()
-                    texts = 0
-                texts += 1
-        if counts or texts:
-            yield send()
+        h, n, size = [], [], 0
+        for _, sizes, codes, words in worded(batches, 0):
+            h.append(np.append(words, np.uint64(END)))
+            n.append(np.append(np.bincount(codes, minlength=len(words)), len(sizes)))
+            size += len(words) + 1
+            if size >= WORDS:
+                one, count = merged(h, n)
+                h, n, size = [one], [count], len(one)
+                if size >= WORDS // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(one.astype(np.int64)), pa.array(count)], ["h", "n"])
+                    h, n, size = [], [], 0
+        if h:
+            one, count = merged(h, n)
+            yield pa.RecordBatch.from_arrays([pa.array(one.astype(np.int64)), pa.array(count)], ["h", "n"])
 
     return training.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 0")
 
 
-class Ids(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self) + 3
-        return n
-
-
 class Known:
     """The list of codes: what stands before, the end, what stands after, then the most frequent words; their training counts; classes of split words (0: whole)."""
 
@@ -106,24 +123,31 @@ class Chunk:
     """Tokens of texts, as numbers of the task's own."""
 
     def __init__(self, most: int):
-        self.most, self.words, self.held, self.docs, self.size = most, Ids(), [], [], 0
-
-    def add(self, text: bytes) -> int:
-        """The number of its tokens, with the end."""
-        w = text.lower().split()
-        x = np.empty(len(w) + 3, np.int32)
-        x[0], x[-2], x[-1] = 0, 1, 2
-        x[1:-2] = np.fromiter(map(self.words.__getitem__, w), np.int32, len(w))
+        self.most, self.words, self.held, self.sizes, self.docs, self.size, self.named = most, [], [], [], [], 0, 0
+
+    def add(self, sizes: np.ndarray, codes: np.ndarray, words: np.ndarray) -> None:
+        """Texts as `worded` gives them."""
+        sizes = sizes + 3
+        x, end = np.full(int(sizes.sum()), -1, np.int32), np.cumsum(sizes)
+        x[end - sizes], x[end - 2], x[end - 1] = 0, 1, 2
+        x[x < 0] = codes + np.int32(self.named + 3)
+        self.words.append(words)
         self.held.append(x)
-        self.size += len(x)
-        return len(w) + 1
+        self.sizes.append(sizes)
+        self.size, self.named = self.size + len(x), self.named + len(words)
 
-    @property
-    def full(self) -> bool:
-        return self.size >= self.most or len(self.words) >= WORDS
+    def full(self, sizes: np.ndarray) -> bool:
+        """Whether texts of so many words go beyond it."""
+        return bool(self.held) and (self.size + int(sizes.sum()) + 3 * len(sizes) > self.most or self.named >= WORDS)
 
-    def hashes(self) -> np.ndarray:
-        return np.array([BEFORE, END, AFTER, *map(xxhash.xxh64_intdigest, self.words)], np.uint64)
+    def told(self) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes of the distinct tokens, the tokens as numbers of these); what was added goes."""
+        h, back = np.unique(np.concatenate(self.words), return_inverse=True)
+        of = np.concatenate([np.arange(3), back + 3]).astype(np.int32)
+        ids = of[np.concatenate(self.held)]
+        self.words.clear()
+        self.held.clear()
+        return np.concatenate([np.array([BEFORE, END, AFTER], np.uint64), h]), ids
 
 
 def slots(h: np.ndarray, code: np.ndarray, known: Known, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -164,9 +188,7 @@ def _send(shards: int, known: Known, room: float, chunk: int):
     listed = np.rint((np.log10(known.n + 1.0) - room) / -UNIT).astype(np.int64)
 
     def flush(number: int, c: Chunk) -> Iterator[pa.RecordBatch]:
-        ids, sizes = np.concatenate(c.held), np.array([len(x) for x in c.held])
-        c.held.clear()
-        h = c.hashes()
+        (h, ids), sizes = c.told(), np.concatenate(c.sizes)
         code, rare = known.codes(h), np.zeros(0, np.uint64)
         new = np.flatnonzero(code < 0)
         new = new[np.argsort(h[new])]
@@ -234,13 +256,13 @@ def _send(shards: int, known: Known, room: float, chunk: int):
         from pyspark import TaskContext
 
         number, c = TaskContext.get().partitionId() << 24, Chunk(chunk)
-        for batch in slices(batches):
-            for i, out, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), octets(batch, 2)):
-                c.docs.append((i, out, c.add(t)))
-                if c.full:
-                    yield from flush(number, c)
-                    number, c = number + 1, Chunk(chunk)
-                    trim()
+        for batch, sizes, codes, words in worded(batches, 2, min(ROOM, 2 * chunk)):
+            if c.full(sizes):
+                yield from flush(number, c)
+                number, c = number + 1, Chunk(chunk)
+                trim()
+            c.add(sizes, codes, words)
+            c.docs += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), (sizes + 1).tolist())
         if c.held:
             yield from flush(number, c)
         del c
@@ -252,23 +274,19 @@ def _send(shards: int, known: Known, room: float, chunk: int):
 def _send_pairs(shards: int, known: Known, chunk: int):
     """Map side: (shard, pairs), bigrams after split words, each with the shards that hold it and its training count."""
 
-    def flush(c: Chunk, train: list[bool]) -> pa.RecordBatch:
-        ids = np.concatenate(c.held)
-        trained = np.repeat(np.array(train, bool), [len(x) for x in c.held])
-        c.held.clear()
-        h = c.hashes()
-        code = known.codes(h)
-        code[code < 0] = len(known.h)
-        classes, first, shard = slots(h, code, known, shards)
-        classes[1] = 0  # no word follows the end
-        at = np.flatnonzero(classes[ids])
-        middle, right = ids[at], ids[at + 1]
-        target = shard[first[middle] + (mix(h[ids[at - 1]]) % classes[middle].astype(np.uint64)).astype(np.int64)]
+    split = known.h[known.classes > 0]
+    split = split[split != np.uint64(END)]  # no word follows the end
+    wide, first, shard = slots(split, known.codes(split), known, shards)
+
+    def flush(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        middle, left, right, trained = (np.concatenate(x) for x in zip(*parts))
+        target = shard[first[middle] + (mix(left) % wide[middle].astype(np.uint64)).astype(np.int64)]
+        h, right = np.unique(right, return_inverse=True)
         words, to_word = np.unique(middle, return_inverse=True)
         keys, to_key = np.unique((to_word * shards + target) * len(h) + right, return_inverse=True)
-        count = np.bincount(to_key, trained[at], len(keys)).astype(np.uint32)
+        count = np.bincount(to_key, trained, len(keys)).astype(np.uint32)
         right = h[keys % len(h)]
-        middle, target = h[words[keys // len(h) // shards]], (keys // len(h) % shards).astype(np.uint32)
+        middle, target = split[words[keys // len(h) // shards]], (keys // len(h) % shards).astype(np.uint32)
         to = (mix(middle ^ mix(right)) % np.uint64(shards)).astype(np.int64)
         order = np.argsort(to, kind="stable")
         rows = []
@@ -279,18 +297,33 @@ def _send_pairs(shards: int, known: Known, chunk: int):
         return pa.RecordBatch.from_pydict({"shard": pa.array([r[0] for r in rows], pa.int32()), "pairs": pa.array([r[1] for r in rows], pa.binary())})
 
     def run(batches):
-        c, train = Chunk(chunk), []
-        for batch in slices(batches):
-            for out, t in zip(batch.column(0).to_pylist(), octets(batch, 1)):
-                c.add(t)
-                train.append(not out)
-                if c.full:
-                    yield flush(c, train)
-                    c, train = Chunk(chunk), []
-                    trim()
-        if c.held:
-            yield flush(c, train)
-        del c
+        parts, held = [], 0
+        for batch, sizes, codes, words in worded(batches, 1, min(ROOM, 2 * chunk)):
+            order = np.argsort(words)
+            place = np.searchsorted(words, split, sorter=order)
+            own = np.full(len(words), -1)
+            here = np.flatnonzero(place < len(words))
+            here = here[words[order[place[here]]] == split[here]]
+            own[order[place[here]]] = here
+            middle = own[codes]
+            at = np.flatnonzero(middle >= 0)
+            if not len(at):
+                continue
+            end = np.cumsum(sizes)
+            begins, ends = np.zeros(len(codes) + 1, bool), np.zeros(len(codes) + 1, bool)
+            begins[end - sizes], ends[end[sizes > 0] - 1] = True, True
+            left, right = words[codes[at - 1]], words[codes[np.minimum(at + 1, len(codes) - 1)]]
+            left[begins[at]], right[ends[at]] = np.uint64(BEFORE), np.uint64(END)
+            train = np.array([not out for out in batch.column(0).to_pylist()], bool)
+            parts.append((middle[at], left, right, np.repeat(train, sizes)[at]))
+            held += len(at)
+            if held >= chunk:
+                yield flush(parts)
+                parts, held = [], 0
+                trim()
+        if parts:
+            yield flush(parts)
+        del parts
         trim()
 
     return run

@@ -333,3 +333,46 @@ def test_reordered_passages_and_short_items():
     assert [m[0] for m in b.match(f"xx {' '.join(words[7:])} yy {' '.join(words[:7])} zz".encode())] == [1]
     assert [m[0] for m in b.match(b"so One, TWO!")] == [2]
     assert b.match(" ".join(words[:6]).encode()) == [] and b.match(None) == [] and b.match(b"") == []
+
+
+def test_words_are_numbered_a_batch_at_a_time():
+    """As Python parts and lower-cases them: odd white space, ends, nulls, long texts and batches in parts; each distinct word is hashed once in a part."""
+    import pyarrow as pa
+    import xxhash
+
+    from doclens.llm import ngram_lm
+
+    texts = ["  A b\tA\x0b\n", None, "", " \n ", "É\x1cx\u00a0y É", "x " * 5000, "a", "b\r\x0cB  end"]
+    for batch in (pa.RecordBatch.from_pydict({"t": texts}), pa.RecordBatch.from_pydict({"t": ["cut off", *texts]}).slice(1)):
+        for room in (1, 40, 1 << 21):
+            got = []
+            for part, sizes, codes, words in ngram_lm.worded(iter([batch]), 0, room):
+                assert len(sizes) == part.num_rows and sizes.sum() == len(codes) and len(set(words.tolist())) == len(words)
+                got += [words[codes[e - n : e]].tolist() for e, n in zip(sizes.cumsum(), sizes)]
+            assert got == [[xxhash.xxh64_intdigest(w) for w in (t or "").encode().lower().split()] for t in texts]
+
+
+def test_pairs_of_split_words_alone_are_counted(monkeypatch):
+    """The pass before the model's reads other words only as neighbours, and its counts are those of the texts."""
+    import collections
+
+    import numpy as np
+    import pyarrow as pa
+    import xxhash
+
+    from doclens.llm import ngram_lm
+    from doclens.llm.common import unpacked
+
+    name = xxhash.xxh64_intdigest
+    held = [name(w) for w in (b"hot", b"cold")]
+    known = ngram_lm.Known(np.array([ngram_lm.BEFORE, ngram_lm.END, ngram_lm.AFTER, *held], np.uint64), np.array([0, 4, 0, 9, 2]), 3)
+    monkeypatch.setattr(ngram_lm, "Chunk", None)  # no other word is numbered
+    rows = [(False, "hot a"), (False, ""), (True, "hot a hot b"), (False, "cold Hot"), (False, "b hot a"), (False, "cold")]
+    batch = pa.RecordBatch.from_pydict({"held_out": [x for x, _ in rows], "text": [t for _, t in rows]})
+    got = collections.Counter()
+    for out in ngram_lm._send_pairs(4, known, 100)(iter([batch])):
+        for value in out["pairs"].to_pylist():
+            middle, _, code, gaps, count = unpacked(value)
+            for m, r, c in zip(known.h[middle].tolist(), known.hashes(gaps)[code].tolist(), count.tolist()):
+                got[m, r] += c
+    assert got == {(held[0], name(b"a")): 2, (held[0], name(b"b")): 0, (held[0], ngram_lm.END): 1}
